@@ -1,0 +1,6 @@
+"""Registered queries over the tables of a folder."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
