@@ -99,7 +99,7 @@ def sketch(doc: np.ndarray, code: np.ndarray, weight: np.ndarray, n_docs: int) -
     now = np.zeros(len(doc))
     doc, code, weight = doc.astype(np.int64), code, weight
     for j in range(m):
-        u = (mix64(code + _STEP * _U(j + 1)) >> _U(11)).astype(np.float64) * 2.0**-53
+        u = (mix64(code + _U(int(_STEP) * (j + 1) % 2**64)) >> _U(11)).astype(np.float64) * 2.0**-53
         now = now - np.log1p(-u) / (weight * (m - j))
         slot = doc * m + (begin + j * step) % m
         np.minimum.at(first, slot, now)

@@ -78,12 +78,13 @@ def _repeat_words(words: Column) -> Column:
 def measure(docs: DataFrame, *keep: str) -> DataFrame:
     """One row per document: the columns named in ``keep`` and its measurements."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    with_words = docs.select(*keep, text.alias("text"), words_of(F.col("text")).alias("words"))
+    carried = F.struct(*keep).alias("__row")
+    with_words = docs.select(carried, text.alias("text"), words_of(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     dup = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
     spaces, symbols = (F.length(F.translate("text", x, "")) for x in (SPACES, SYMBOLS))
     return with_words.select(
-        *keep,
+        *[F.col("__row")[c].alias(c) for c in keep],
         F.size("words").cast("long").alias("n_words"),
         spaces.cast("long").alias("word_chars"),
         (F.length("text") - symbols).cast("long").alias("n_symbols"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import embdedup, langid, licenses, linededup, neardup, packing, quality, toxicity
+from . import embdedup, langid, licenses, linededup, mixing, neardup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
+    "op4_pii": pii.op4_pii,
     "op5_neardup": neardup.op5_neardup,
     "op6_langid": langid.op6_langid,
     "op7_licenses": licenses.op7_licenses,
