@@ -1,9 +1,9 @@
 """Toxicity: subword-bag embeddings, averaged into a linear softmax.
 
 A word is the bag of its character n-grams, so that misspellings and unseen endings share vectors
-with words that were learned. The vectors of the words in a window of ``SPAN`` words are averaged
-into a two-class linear softmax, and a text scores as its most toxic window, so a long text hides
-nothing. Vectors and classifier are trained jointly in numpy on a bounded sample of labelled rows
+with words that were learned. The vectors of a window's n-grams are averaged into a two-class linear
+softmax, and a text scores as its most toxic window, so a long text hides nothing. Windows are of
+``SPAN`` words; one did best on held-out rows. Vectors and classifier are trained jointly in numpy on a bounded sample of labelled rows
 (``PER_CLASS`` of each label by a hash of ``doc_id``, texts up to ``MAX_CHARS`` characters); the
 gradient of a text flows through its most toxic window. Vectors start at their n-grams' log odds.
 
@@ -29,7 +29,9 @@ from .common import bounded, not_held_out, table
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
-SPAN = 4
+SPAN = 1
+#: Imagined texts of the rarer label that hold a bucket.
+PRIOR = 3.0
 PER_CLASS = {1: 1000, 0: 1500}
 MAX_CHARS = 12_000
 ROUNDS = 24
@@ -69,6 +71,7 @@ class Model:
     #: What a bucket's vector adds to the log odds; the softmax is linear, so the vectors fold into it.
     odds: np.ndarray
     bias: float
+    slope: float = 1.0
 
     def words(self, words: list[str]) -> np.ndarray:
         """Mean log odds of each word's bag."""
@@ -76,7 +79,7 @@ class Model:
         return np.bincount(w, self.odds[b], len(words)) / np.maximum(np.bincount(w, minlength=len(words)), 1)
 
     def score(self, peak: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(peak + self.bias, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * peak + self.bias, -40, 40)))
 
 
 def peaks(values: np.ndarray, sizes: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +104,39 @@ def peaks(values: np.ndarray, sizes: np.ndarray, span: int = SPAN) -> tuple[np.n
     return out, at
 
 
-def fit(texts: list[str], labels: np.ndarray, seed: int = 0) -> Model | None:
-    """None unless both labels occur."""
+def fit(texts: list[str], labels: np.ndarray, check: int = 4) -> Model | None:
+    """None unless both labels occur. Every ``check``-th text of a label is kept from the training, to set score levels by."""
     if len(set(labels.tolist())) < 2:
         return None
+    nth = np.zeros(len(labels), dtype=np.int64)
+    for x in (0, 1):
+        nth[labels == x] = np.arange((labels == x).sum())
+    apart = nth % check == check - 1
+    if min((apart & (labels == x)).sum() for x in (0, 1)) < 3:
+        return train(texts, labels)
+    model = train([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart])
+    words = [WORD.findall(t.lower()) for t, a in zip(texts, apart, strict=True) if a]
+    peak, _ = peaks(model.words([w for ws in words for w in ws]), np.array([len(ws) for ws in words]))
+    model.slope, model.bias = levels(peak, labels[apart].astype(float))
+    return model
+
+
+def levels(peak: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and intercept of a logistic regression on peaks, with a little ridge; labels weigh alike."""
+    x = np.stack([peak, np.ones(len(peak))], axis=1)
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+    beta = np.zeros(2)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        pull = np.array([1e-3, 1e-5])
+        grad = x.T @ (weight * (p - y)) + pull * beta
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pull)
+        beta = beta - np.clip(np.linalg.solve(hess, grad), -2, 2)
+    return max(float(beta[0]), 1e-3), float(beta[1])
+
+
+def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> Model:
+    """Vectors and classifier together."""
     vocab: dict[str, int] = {}
     docs = [np.array([vocab.setdefault(w, len(vocab)) for w in WORD.findall(t.lower())], dtype=np.int64) for t in texts]
     w_of, b_of = subwords(list(vocab))
@@ -121,7 +153,9 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 0) -> Model | None:
     db = np.unique(np.repeat(d, reps) * BUCKETS + b_of[by_word[place]])
     pos = np.bincount(db % BUCKETS, y[db // BUCKETS], BUCKETS)
     neg = np.bincount(db % BUCKETS, 1 - y[db // BUCKETS], BUCKETS)
-    odds = np.log((pos + 2) / (y.sum() + 4)) - np.log((neg + 2) / ((1 - y).sum() + 4))
+    # Smoothed so that a bucket that no text has says nothing.
+    ratio = (1 - y).sum() / y.sum()
+    odds = np.log((pos + PRIOR) * ratio / (neg + PRIOR * ratio))
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.05, (BUCKETS, DIM))
     vectors[:, 0] = odds
