@@ -1 +1 @@
-"""functions of the engine."""
+"""Functions: strict JSON parsing, shapes, identities, and column expressions over them."""

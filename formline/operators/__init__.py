@@ -1 +1 @@
-"""operators of the engine."""
+"""Operators over record streams: classify, profile, register, retrieve, compare, consolidate, evaluate."""

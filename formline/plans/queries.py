@@ -1,6 +1,636 @@
-"""Registered queries over the tables of a folder."""
+"""Registered queries over the tables of a folder, each beside the SQL that it is held against."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.identity import DEFAULT_TAGS, bucket_key, field_band, shape_fingerprint, source_digest
+from ..functions.records import observe, parse_records
+from ..operators import classify, dlp, evaluate, gates, lifecycle, profile, registry, reshape, retrieval, semantic, umbrella
+from ..sources import files
+from .derive import CANONICAL, RECORDS, SUMMARY, canonical_case, case, records, sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE_SQL[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _known(spark: SparkSession) -> DataFrame:
+    """A registry of the first two shapes."""
+    rows = [(f"sch-{k}", CANONICAL[k], *SUMMARY[k]) for k in (0, 1)]
+    made = spark.createDataFrame(rows, "schema_id string, canonical string, n_fields int, depth int, keys array<string>")
+    return made.select("schema_id", shape_fingerprint(F.col("canonical")).alias("fp"), bucket_key(F.col("n_fields"), F.col("depth"), F.col("keys")).alias("bucket"))
+
+
+def _fp_sql(canonical: str) -> str:
+    return f"sha256(concat('{DEFAULT_TAGS.canon}', chr(0), {canonical}))"
+
+
+# Parsing, shapes, classification.
+
+_FATE = case({0: "'known'", 1: "'known'", 2: "'provisional'", 3: "'provisional'", 7: "'provisional'", 4: "'malformed'", 5: "'malformed'"}, "'tombstone'")
+
+
+@query(f"SELECT {_FATE} AS fate, {case({k: f"'{v[1]}'" for k, v in SUMMARY.items()})} AS depth, count(*) AS n, count(DISTINCT {canonical_case()}) AS n_shapes FROM events GROUP BY 1, 2")
+def classify_fates(spark, sf_dir):
+    done = classify.classify(classify.with_identity(records(spark, sf_dir)), _known(spark))
+    return done.groupBy("fate", F.col("depth").cast("string").alias("depth")).agg(F.count("*").alias("n"), F.count_distinct("fp").alias("n_shapes"))
+
+
+@query(f"SELECT {case({4: "'duplicate_key'", 5: "'parse_error'"})} AS reason, source, count(*) AS n FROM (SELECT event_id, source FROM ({RECORDS.replace('event_id AS rec_id', 'event_id')})) WHERE event_id % 8 IN (4, 5) GROUP BY 1, 2")
+def quarantine_reasons(spark, sf_dir):
+    return parse_records(records(spark, sf_dir)).where("reason is not null").groupBy("reason", "source").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id AS rec_id, {_fp_sql(canonical_case())} AS fp FROM events WHERE event_id % 8 IN (0, 1, 2, 3, 7)")
+def fingerprint(spark, sf_dir):
+    return classify.with_identity(records(spark, sf_dir)).where("fp is not null").select("rec_id", "fp")
+
+
+_KEYS = case({k: "substr(sha256(concat_ws(chr(0), " + ", ".join(f"'{x}'" for x in v[2]) + ")), 1, 8)" for k, v in SUMMARY.items()})
+
+
+@query(f"SELECT concat('formline:index:', {case({0: "'4:2'", 1: "'2:4'", 2: "'2:3'", 3: "'2:2'", 7: "'4:2'"})}, ':', {_KEYS}) AS bucket, count(*) AS n FROM events WHERE event_id % 8 IN (0, 1, 2, 3, 7) GROUP BY 1")
+def bucket_histogram(spark, sf_dir):
+    return classify.with_identity(records(spark, sf_dir)).where("fp is not null").groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n, CASE WHEN n = 0 THEN 0 WHEN n <= 1 THEN 1 WHEN n <= 2 THEN 2 WHEN n <= 4 THEN 4 WHEN n <= 8 THEN 8 WHEN n <= 16 THEN 16 WHEN n <= 32 THEN 32 ELSE 64 END AS band FROM (SELECT DISTINCT CAST(p_size AS BIGINT) AS n FROM part WHERE p_size <= 64)")
+def field_bands(spark, sf_dir):
+    return sql(spark, sf_dir, "SELECT DISTINCT CAST(p_size AS BIGINT) AS n FROM part WHERE p_size <= 64").withColumn("band", field_band(F.col("n")))
+
+
+@query(f"SELECT source, sha256(concat(source, chr(0))) AS tail, count(*) AS n FROM ({RECORDS}) WHERE value IS NULL GROUP BY 1")
+def tombstones(spark, sf_dir):
+    done = classify.classify(classify.with_identity(records(spark, sf_dir)), _known(spark)).where("fate = 'tombstone'")
+    return done.groupBy("source").agg(F.sha2(F.concat(F.first("source").cast("binary"), F.lit(b"\0")), 256).alias("tail"), F.count("*").alias("n"))
+
+
+@query("SELECT source, sha256(concat('s', source)) AS src FROM (" + RECORDS + ") GROUP BY source")
+def source_ids(spark, sf_dir):
+    return records(spark, sf_dir).select("source").distinct().select("source", source_digest(F.col("source")).alias("src"))
+
+
+@query("SELECT event_id % 8 AS kind, CAST(sum(CASE WHEN event_id % 16 < 8 THEN 3 ELSE 2 END) AS BIGINT) AS n_headers FROM events WHERE event_id % 8 = 0 GROUP BY 1")
+def header_hygiene(spark, sf_dir):
+    pair = lambda k: F.struct(F.lit(k).alias("key"), F.lit(b"1").alias("value"))
+    rows = sql(spark, sf_dir, "SELECT event_id FROM events WHERE event_id % 8 = 0")
+    given = F.when(F.col("event_id") % 16 < 8, F.array(pair("trace"), pair("X-Formline-Schema"))).otherwise(F.array(pair("x-FORMLINE-origin")))
+    out = rows.withColumn("h", classify.tag_headers(given, F.lit("sch"), F.lit("t/0/1")))
+    return out.groupBy((F.col("event_id") % 8).alias("kind")).agg(F.sum(F.size("h")).cast("long").alias("n_headers"))
+
+
+# Profiles.
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.profile(observe(records(spark, sf_dir).where("rec_id % 8 in (0, 3, 7)"), "source"), "source")
+
+
+_PATHS = f"""SELECT source, '' AS path, 5 AS kind, 0 AS mask, true AS whole FROM r WHERE k IN (0, 3, 7)
+ UNION ALL SELECT source, '/id', 2, CASE WHEN rec_id = 0 THEN 2 WHEN rec_id <= 10 THEN 4 WHEN rec_id <= 100 THEN 8 ELSE 16 END, true FROM r WHERE k IN (0, 3, 7)
+ UNION ALL SELECT source, '/kind', CASE k WHEN 0 THEN 3 ELSE 0 END, 0, true FROM r WHERE k IN (0, 7)
+ UNION ALL SELECT source, '/amount', 2, CASE WHEN k = 7 THEN 1 WHEN user_id = 0 THEN 2 WHEN user_id <= 10 THEN 4 WHEN user_id <= 100 THEN 8 ELSE 16 END, k = 0 FROM r WHERE k IN (0, 7)
+ UNION ALL SELECT source, '/tags', 4, 0, true FROM r WHERE k = 3"""
+_WITH_PATHS = f"WITH r AS (SELECT rec_id, user_id, source, rec_id % 8 AS k FROM ({RECORDS})), o AS ({_PATHS})"
+
+
+@query(f"""{_WITH_PATHS} SELECT source, path, count(*) AS present, count(*) FILTER (WHERE kind = 0) AS t_null, count(*) FILTER (WHERE kind = 2) AS t_num,
+ count(*) FILTER (WHERE kind = 3) AS t_str, count(*) FILTER (WHERE kind = 4) AS t_arr, count(*) FILTER (WHERE kind = 5) AS t_obj, CAST(bit_or(mask) AS BIGINT) AS mask, bool_and(whole) AS whole FROM o GROUP BY 1, 2""")
+def profile_merge(spark, sf_dir):
+    return _profiles(spark, sf_dir).select("source", "path", "present", "t_null", "t_num", "t_str", "t_arr", "t_obj", F.col("mask").cast("long").alias("mask"), "whole")
+
+
+@query(f"""{_WITH_PATHS} SELECT path, count(*) AS present, count(DISTINCT source) AS n_sources, CAST(bit_or(mask) AS BIGINT) AS mask FROM o GROUP BY 1""")
+def profile_of_profiles(spark, sf_dir):
+    parts = _profiles(spark, sf_dir)
+    n = parts.groupBy("path").agg(F.count_distinct("source").alias("n_sources"))
+    return profile.merge(parts.drop("source")).join(n, "path").select("path", "present", "n_sources", F.col("mask").cast("long").alias("mask"))
+
+
+@query(f"""{_WITH_PATHS}, d AS (SELECT source, count(*) AS docs FROM o WHERE path = '' GROUP BY 1), p AS (SELECT source, path, count(*) AS present FROM o WHERE path <> '' GROUP BY 1, 2)
+ SELECT p.source, path, present, docs AS denom, present < docs AS optional FROM p JOIN d ON p.source = d.source""")
+def value_profile_leaves(spark, sf_dir):
+    p = profile.with_denominators(_profiles(spark, sf_dir), "source")
+    return profile.leaves(p, "source").select("source", "path", "present", "denom", "optional")
+
+
+@query(f"""{_WITH_PATHS}, d AS (SELECT source, count(*) AS docs FROM o WHERE path = '' GROUP BY 1), p AS (SELECT source, path, count(*) AS present FROM o WHERE path <> '' GROUP BY 1, 2)
+ SELECT p.source, count(*) AS n_leaves, count(*) FILTER (WHERE present = docs) AS n_required FROM p JOIN d ON p.source = d.source GROUP BY 1""")
+def leaf_requirements(spark, sf_dir):
+    return profile.leaf_counts(_profiles(spark, sf_dir), "source")
+
+
+@query(f"""{_WITH_PATHS}, d AS (SELECT source, count(*) AS docs FROM o WHERE path = '' GROUP BY 1),
+ f AS (SELECT o.source, path, '{{"optional":' || CASE WHEN count(*) < any_value(docs) THEN 'true' ELSE 'false' END || ',"types":[' ||
+  concat_ws(',', CASE WHEN bool_or(kind = 4) THEN '"array"' END, CASE WHEN bool_or(kind = 0) THEN '"null"' END, CASE WHEN bool_or(kind = 2) THEN '"number"' END, CASE WHEN bool_or(kind = 3) THEN '"string"' END) || ']}}' AS body
+  FROM o JOIN d ON o.source = d.source WHERE path <> '' GROUP BY 1, 2),
+ c AS (SELECT source, '{{"optional":false,"types":["object"],"children":{{' || string_agg('"' || substr(path, 2) || '":' || body, ',' ORDER BY path) || '}}}}' AS canonical FROM f GROUP BY 1)
+ SELECT source, canonical, sha256(concat('{DEFAULT_TAGS.generalizer}', chr(0), '{{"gen":"{DEFAULT_TAGS.generalizer}","fields":', canonical, '}}')) AS fingerprint FROM c""")
+def generalized_schemas(spark, sf_dir):
+    p = _profiles(spark, sf_dir)
+    docs = p.where("path = ''").select("source", F.col("present").alias("n"))
+    return profile.generalized(p, docs, "source").select("source", "canonical", "fingerprint")
+
+
+@query(f"""{_WITH_PATHS}, t AS (SELECT DISTINCT source, CASE path WHEN '' THEN '$' ELSE substr(path, 2) END || ':' || CASE kind WHEN 0 THEN 'null' WHEN 2 THEN 'number' WHEN 3 THEN 'string' WHEN 4 THEN 'array' ELSE 'object' END AS token FROM o),
+ h AS (SELECT source, substr(sha256(concat('{DEFAULT_TAGS.simhash}', chr(0), token)), 1, 16) AS h FROM t),
+ b AS (SELECT source, i, sum(CASE WHEN (instr('0123456789abcdef', substr(h, CAST(i // 4 AS INT) + 1, 1)) - 1) & (8 >> CAST(i % 4 AS INT)) <> 0 THEN 1 ELSE -1 END) AS s FROM h, (SELECT unnest(range(64)) AS i) GROUP BY 1, 2),
+ n AS (SELECT source, i // 4 AS d, sum(CASE WHEN s > 0 THEN 8 >> CAST(i % 4 AS INT) ELSE 0 END) AS v FROM b GROUP BY 1, 2)
+ SELECT source, string_agg(substr('0123456789abcdef', CAST(v AS INT) + 1, 1), '' ORDER BY d) AS simhash FROM n GROUP BY 1""")
+def simhash_sketch(spark, sf_dir):
+    return profile.simhash(_profiles(spark, sf_dir), "source")
+
+
+# The registry and the cold lane.
+
+_DRAFTS = "SELECT concat('sch-', CAST(p_partkey AS STRING)) AS schema_id, p_brand AS family_id, p_type AS canonical, p_partkey AS ord FROM part"
+
+
+def _drafts(spark, sf_dir):
+    return sql(spark, sf_dir, _DRAFTS).withColumnRenamed("ord", "order")
+
+
+def _registry(spark, sf_dir):
+    empty = spark.createDataFrame([], "schema_id string, family_id string, canonical string, version long")
+    first = registry.publish(empty, _drafts(spark, sf_dir).where("order <= 100"))
+    return registry.publish(first, _drafts(spark, sf_dir))
+
+
+_VERSIONS = f"SELECT schema_id, family_id, canonical, row_number() OVER (PARTITION BY family_id ORDER BY CASE WHEN ord <= 100 THEN 0 ELSE 1 END, ord, schema_id) AS version FROM ({_DRAFTS})"
+
+
+@query(_VERSIONS)
+def publish_versions(spark, sf_dir):
+    return _registry(spark, sf_dir)
+
+
+@query(f"SELECT family_id, max(version) AS versions, max_by(schema_id, version) AS latest FROM ({_VERSIONS}) GROUP BY 1")
+def family_listing(spark, sf_dir):
+    return registry.families(_registry(spark, sf_dir))
+
+
+@query(f"SELECT schema_id, family_id, canonical, version FROM ({_VERSIONS}) WHERE schema_id > 'sch-15' ORDER BY schema_id LIMIT 20")
+def schema_page(spark, sf_dir):
+    return registry.page(_registry(spark, sf_dir), "schema_id", "sch-15", 20)
+
+
+@query("SELECT p_brand AS bucket, p_type AS fp, min(p_name) AS schema_id FROM part GROUP BY 1, 2")
+def variant_index(spark, sf_dir):
+    v = sql(spark, sf_dir, "SELECT p_brand AS bucket, p_type AS fp, p_name AS schema_id, p_partkey FROM part")
+    return registry.variant_index(v.where("p_partkey % 3 = 0"), v.where("p_partkey % 3 <> 0"))
+
+
+@query("SELECT 'dangling' AS problem, p_brand AS bucket, p_type AS fp FROM part WHERE p_partkey % 5 = 0 AND (p_brand, p_type) NOT IN (SELECT (p_brand, p_type) FROM part WHERE p_partkey % 5 = 1) UNION ALL SELECT 'missing', p_brand, p_type FROM part WHERE p_partkey % 5 = 1 AND (p_brand, p_type) NOT IN (SELECT (p_brand, p_type) FROM part WHERE p_partkey % 5 = 0)")
+def index_check(spark, sf_dir):
+    v = sql(spark, sf_dir, "SELECT p_brand AS bucket, p_type AS fp, p_partkey FROM part")
+    return registry.verify_index(v.where("p_partkey % 5 = 0"), v.where("p_partkey % 5 = 1"))
+
+
+@query("SELECT event_type AS source, min(user_id) AS first_seen, max(user_id) AS last_seen, count(*) AS n FROM events GROUP BY 1")
+def source_registry(spark, sf_dir):
+    return registry.sources(sql(spark, sf_dir, "SELECT event_type AS source, user_id AS at FROM events"))
+
+
+@query("SELECT c_custkey AS id, coalesce(s, CAST(c_custkey AS VARCHAR)) AS resolved FROM customer LEFT JOIN (SELECT o_custkey, concat('sch-', CAST(min(o_orderkey) AS VARCHAR)) AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def alias_lookup(spark, sf_dir):
+    ids = sql(spark, sf_dir, "SELECT c_custkey AS id FROM customer")
+    aliases = sql(spark, sf_dir, "SELECT o_custkey AS candidate, concat('sch-', CAST(min(o_orderkey) AS STRING)) AS schema_id FROM orders GROUP BY 1")
+    return registry.resolve_alias(ids.withColumn("id", F.col("id")), aliases).select("id", F.coalesce("schema_id", F.col("id").cast("string")).alias("resolved"))
+
+
+_CANDIDATES = "SELECT concat(CAST(o_custkey AS STRING), '') AS candidate, count(*) AS samples, min(o_orderkey) * 1000 AS first_seen, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS n_leaves, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS n_required, 60000000 AS now FROM orders GROUP BY 1"
+
+
+@query(f"SELECT candidate, CASE WHEN samples < 10 THEN 'too_few_samples' WHEN now - first_seen < 300000 THEN 'too_young' END AS reason FROM ({_CANDIDATES})")
+def promotion_policy(spark, sf_dir):
+    return sql(spark, sf_dir, _CANDIDATES).select("candidate", lifecycle.PromotionPolicy().reason().alias("reason"))
+
+
+@query(f"""SELECT candidate, CASE WHEN samples < 8 THEN 'too_few_samples' WHEN now - first_seen < 600000 THEN 'too_young' WHEN n_leaves = 0 THEN 'no_leaves'
+ WHEN n_required < 2 THEN 'too_few_required' WHEN n_required * 1.0 / n_leaves + 1e-9 < 0.5 THEN 'ratio_too_low' END AS reason FROM ({_CANDIDATES})""")
+def auto_promote_eligible(spark, sf_dir):
+    return sql(spark, sf_dir, _CANDIDATES).select("candidate", lifecycle.AutoPromotePolicy(min_samples=8).reason().alias("reason"))
+
+
+@query("SELECT concat('c', CAST(user_id AS VARCHAR)) AS candidate, min(event_type) AS source, count(*) AS samples, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events GROUP BY 1")
+def candidate_rollup(spark, sf_dir):
+    return lifecycle.rollup(sql(spark, sf_dir, "SELECT concat('c', CAST(user_id AS STRING)) AS candidate, event_type AS source, event_id AS at FROM events"))
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20")
+def retained_samples(spark, sf_dir):
+    return lifecycle.keep_newest(sql(spark, sf_dir, "SELECT user_id, event_id FROM events"), "user_id", F.desc("event_id"), 20)
+
+
+_NAMES = "SELECT DISTINCT f FROM (SELECT p_name AS f FROM part UNION ALL SELECT replace(p_type, ' ', '_') FROM part UNION ALL SELECT concat('unit_', o_orderpriority) FROM orders UNION ALL SELECT n_name FROM nation UNION ALL SELECT unnest(['lat', 'lng_x', 'updated_at', 'spot', 'currency', 'zone', 'co2_kg', 'demand', 'unit', 'verified', 'votes', 'Label', 'value', 'latency', '']) )"
+
+
+@query("SELECT f, CASE WHEN regexp_matches(lower(f), '(^|_)(lat|latitude)($|_)') THEN 'cfid_latitude' WHEN regexp_matches(lower(f), '(^|_)(lon|lng|longitude)($|_)') THEN 'cfid_longitude' "
+       + " ".join(f"WHEN regexp_matches(lower(f), '{p}') THEN '{c}'" for p, c in lifecycle.FIELD_RULES[2:]) + f" END AS cfid FROM ({_NAMES})")
+def heuristic_cfid(spark, sf_dir):
+    return sql(spark, sf_dir, _NAMES.replace("unnest([", "explode(array(").replace("''])", "''))")).select("f", lifecycle.canonical_field(F.col("f")).alias("cfid"))
+
+
+@query("SELECT p_name AS name, CASE WHEN trim(p_name) = '' THEN 'empty' WHEN length(trim(p_name)) > 60 THEN 'too_long' END AS problem FROM part")
+def name_governance(spark, sf_dir):
+    return sql(spark, sf_dir, "SELECT p_name AS name FROM part").withColumn("problem", lifecycle.name_problem(F.col("name")))
+
+
+@query()
+def ordered_clusters(spark, sf_dir):
+    """Fold of distinct shapes per source, in order of arrival."""
+    rows = sql(spark, sf_dir, "SELECT event_type AS source, event_id AS seq, user_id FROM events")
+    fp = lambda n: F.concat(F.lit("f"), (F.col("user_id") % n).cast("string"))
+    return lifecycle.cluster(rows.select("source", "seq", F.concat(F.lit("id"), "user_id").alias("id"), F.array(F.concat(F.lit("u"), "user_id"), fp(5), fp(7)).alias("fps")))
+
+
+# Retrieval.
+
+_TOKENS = "list_filter(string_split_regex(lower(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '')[1:16]"
+
+
+@query(f"SELECT p_partkey, array_to_string({_TOKENS.format('p_name')}, ' ') AS tokens FROM part")
+def name_tokens(spark, sf_dir):
+    return sql(spark, sf_dir, "SELECT p_partkey, p_name FROM part").select("p_partkey", F.array_join(retrieval.name_tokens(F.col("p_name")), " ").alias("tokens"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS k, list_distinct({_TOKENS.format('p_type')}) AS t, p_size AS s FROM part WHERE p_partkey <= 60)
+ SELECT a.k AS a, b.k AS b, round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 0 ELSE 1 - len(list_intersect(a.t, b.t)) * 1.0 / len(list_distinct(list_concat(a.t, b.t))) END, 6) AS names,
+ round(abs(a.s - b.s) * 1.0 / greatest(a.s, b.s, 1), 6) AS depth FROM p a JOIN p b ON a.s = b.s + 1""")
+def name_token_jaccard(spark, sf_dir):
+    p = sql(spark, sf_dir, "SELECT p_partkey AS k, p_type, p_size AS s FROM part WHERE p_partkey <= 60").withColumn("t", retrieval.name_tokens(F.col("p_type")))
+    a, b = p.alias("a"), p.alias("b")
+    pairs = a.join(b, F.col("a.s") == F.col("b.s") + 1)
+    names, depth = retrieval.jaccard_distance(F.col("a.t"), F.col("b.t")), retrieval.depth_distance(F.col("a.s"), F.col("b.s"))
+    return pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(names, 6).alias("names"), F.round(depth, 6).alias("depth"))
+
+
+_SCORED = "SELECT o_custkey AS query, o_orderpriority AS family_id, CAST(o_orderkey AS STRING) AS schema_id, o_orderkey AS version, round(o_totalprice / 1000000, 6) AS distance FROM orders"
+
+
+@query(f"""WITH b AS (SELECT * FROM ({_SCORED}) QUALIFY row_number() OVER (PARTITION BY query, family_id ORDER BY distance, version, schema_id) = 1),
+ r AS (SELECT *, row_number() OVER w AS rank, lead(distance) OVER w AS nxt FROM b WINDOW w AS (PARTITION BY query ORDER BY distance, family_id))
+ SELECT query, family_id, schema_id, version, distance, CAST(rank AS INTEGER) AS rank, round(max(CASE WHEN rank = 1 THEN coalesce(nxt - distance, 0) END) OVER (PARTITION BY query), 6) AS margin FROM r QUALIFY rank <= 3""")
+def retrieve_topk(spark, sf_dir):
+    return retrieval.rank(sql(spark, sf_dir, _SCORED), 3).withColumn("margin", F.round("margin", 6))
+
+
+@query("""WITH s AS (SELECT vec_id AS id, list_sum(list_transform(range(60), lambda i: CASE WHEN embedding[i % 16 + 1] > 0 THEN (1::BIGINT << (CAST(i AS INT))) ELSE 0 END))::BIGINT AS h FROM embeddings)
+ SELECT a.id AS id, b.id AS other, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS hamming FROM s a, s b WHERE a.id <> b.id AND bit_count(xor(a.h, b.h)) <= 8""")
+def hamming_neighbors(spark, sf_dir):
+    v = sql(spark, sf_dir, "SELECT vec_id AS id, embedding FROM embeddings")
+    bits = [F.when(F.col("embedding")[i % 16] > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(60)]
+    h = bits[0]
+    for b in bits[1:]:
+        h = h.bitwiseOR(b)
+    return retrieval.hamming_neighbours(v.select("id", h.alias("simhash")), 8)
+
+
+@query("""WITH s AS (SELECT p_partkey AS k, CAST(p_size % 12 AS BIGINT) AS n, p_size % 5 AS d FROM part),
+ f AS (SELECT *, CASE WHEN n <= 0 THEN 0 WHEN n = 1 THEN 1 WHEN n <= 2 THEN 2 WHEN n <= 4 THEN 4 WHEN n <= 8 THEN 8 ELSE 16 END AS band FROM s),
+ q AS (SELECT k AS query, x, n, d FROM f, (SELECT unnest([-1, 0, 1]) AS x) WHERE k <= 40),
+ qb AS (SELECT DISTINCT query, CASE WHEN n + x <= 0 THEN 0 WHEN n + x = 1 THEN 1 WHEN n + x <= 2 THEN 2 WHEN n + x <= 4 THEN 4 WHEN n + x <= 8 THEN 8 ELSE 16 END AS band, d FROM q)
+ SELECT query, k FROM qb JOIN f ON qb.band = f.band AND f.d BETWEEN greatest(qb.d - 1, 0) AND qb.d + 1""")
+def band_depth_candidates(spark, sf_dir):
+    f = sql(spark, sf_dir, "SELECT p_partkey AS k, CAST(p_size % 12 AS BIGINT) AS n_fields, p_size % 5 AS depth FROM part").withColumn("band", field_band(F.col("n_fields")))
+    return retrieval.candidates(f.where("k <= 40"), f, "k")
+
+
+@query("""WITH t AS (SELECT l_orderkey AS o, l_linenumber AS path, list_sort(list_distinct(list(l_returnflag))) AS ty FROM lineitem WHERE l_orderkey <= 400 GROUP BY 1, 2),
+ p AS (SELECT DISTINCT o AS a, o + 1 AS b FROM t WHERE o + 1 IN (SELECT o FROM t)), l AS (SELECT a, b, path, ty FROM p JOIN t ON a = o), r AS (SELECT a, b, path, ty FROM p JOIN t ON b = o)
+ SELECT coalesce(l.a, r.a) AS a, coalesce(l.b, r.b) AS b, round(avg(CASE WHEN l.ty IS NULL OR r.ty IS NULL THEN 1.0 ELSE 1 - len(list_intersect(l.ty, r.ty)) * 1.0 / len(list_distinct(list_concat(l.ty, r.ty))) END), 6) AS path_type
+ FROM l FULL JOIN r ON l.a = r.a AND l.b = r.b AND l.path = r.path GROUP BY 1, 2""")
+def path_type_distances(spark, sf_dir):
+    t = sql(spark, sf_dir, "SELECT l_orderkey AS o, l_linenumber AS path, collect_set(l_returnflag) AS types FROM lineitem WHERE l_orderkey <= 400 GROUP BY 1, 2")
+    have = t.select("o").distinct()
+    pairs = have.select(F.col("o").alias("a"), (F.col("o") + 1).alias("b")).join(have.select(F.col("o").alias("b")), "b")
+    return retrieval.path_type_distance(pairs, t, "a", "b", "o").withColumn("path_type", F.round("path_type", 6))
+
+
+# The semantic layer.
+
+_FEATURES = "SELECT l_suppkey AS schema_id, concat(l_returnflag, CAST(l_linenumber AS STRING)) AS feature, CASE l_linenumber % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'field' ELSE 'unit' END AS kind FROM lineitem WHERE l_partkey % 50 = l_suppkey % 50"
+
+
+def _signatures(spark, sf_dir):
+    return semantic.signature(sql(spark, sf_dir, _FEATURES))
+
+
+_IDF = f"""s AS (SELECT schema_id, feature, kind, least(count(*), 4) AS c FROM ({_FEATURES}) GROUP BY 1, 2, 3), n AS (SELECT count(DISTINCT schema_id) AS n FROM s),
+ i AS (SELECT feature, CAST(CASE WHEN n < 32 OR count(*) = 0 THEN 16 WHEN n // count(*) < 2 THEN 0 ELSE least(CAST(floor(log2(n // count(*))) AS BIGINT), 16) END AS BIGINT) AS idf FROM s, n GROUP BY feature, n)"""
+
+
+@query(f"WITH {_IDF} SELECT feature, idf FROM i")
+def idf_multiplier(spark, sf_dir):
+    return semantic.idf(_signatures(spark, sf_dir))
+
+
+_WEIGHTED = f"""{_IDF}, w AS (SELECT schema_id, s.feature, c, idf * CASE kind WHEN 'event' THEN 24 WHEN 'field' THEN 12 ELSE 4 END AS w FROM s JOIN i ON s.feature = i.feature WHERE idf > 0),
+ m AS (SELECT schema_id, sum(w * c) AS mass FROM w GROUP BY 1),
+ p AS (SELECT a.schema_id AS a, b.schema_id AS b, sum(a.w * least(a.c, b.c)) AS num FROM w a JOIN w b ON a.feature = b.feature AND a.schema_id <> b.schema_id GROUP BY 1, 2),
+ j AS (SELECT a, b, CAST(num AS BIGINT) AS num, CAST(x.mass + y.mass - num AS BIGINT) AS den FROM p JOIN m x ON x.schema_id = a JOIN m y ON y.schema_id = b)"""
+
+
+@query(f"WITH {_WEIGHTED} SELECT a, b, num, den, concat(CAST(num * 1000000 // den // 1000000 AS VARCHAR), '.', lpad(CAST(num * 1000000 // den % 1000000 AS VARCHAR), 6, '0')) AS score FROM j")
+def signature_weighted_jaccard(spark, sf_dir):
+    s = _signatures(spark, sf_dir)
+    return semantic.similarities(s, semantic.idf(s)).withColumn("score", semantic.ratio_text(F.col("num"), F.col("den")))
+
+
+@query(f"WITH {_WEIGHTED} SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY CASE WHEN num * 2 >= den THEN 3 ELSE 1 END DESC, CAST(num AS DECIMAL(38, 18)) / den DESC, num DESC, b) AS INTEGER) AS rank FROM j QUALIFY rank <= 5")
+def semantic_neighbors(spark, sf_dir):
+    s = _signatures(spark, sf_dir)
+    pairs = semantic.similarities(s, semantic.idf(s)).withColumn("strength", F.when(F.col("num") * 2 >= F.col("den"), "strong").otherwise("weak")).withColumn("anchors", F.col("num"))
+    return semantic.neighbours(pairs, 5).select("a", "b", "rank")
+
+
+_CLUSTER = "CASE split_part({0}, '.', 2) WHEN 'compute' THEN 'tech' WHEN 'energy' THEN 'energy' WHEN 'grid' THEN 'energy' WHEN 'weather' THEN 'geo' END"
+
+
+@query(f"WITH s AS (SELECT DISTINCT source FROM ({RECORDS})) SELECT a.source AS a, b.source AS b, CASE WHEN {_CLUSTER.format('a.source')} <> {_CLUSTER.format('b.source')} THEN 'veto_proven_disjoint' ELSE 'keep' END AS gate FROM s a JOIN s b ON split_part(a.source, '.', 3) = split_part(b.source, '.', 3)")
+def domain_gate(spark, sf_dir):
+    s = records(spark, sf_dir).select("source").distinct().withColumn("c", F.split_part("source", F.lit("."), F.lit(3)))
+    pairs = s.select(F.col("source").alias("a"), "c").join(s.select(F.col("source").alias("b"), "c"), "c")
+    return pairs.select("a", "b", semantic.domain_gate(F.col("a"), F.col("b")).alias("gate"))
+
+
+@query("SELECT concat(a.n_regionkey, '') AS sem_id, a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def semantic_collisions(spark, sf_dir):
+    return semantic.collisions(sql(spark, sf_dir, "SELECT CAST(n_regionkey AS STRING) AS sem_id, n_nationkey AS schema_id FROM nation"))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_nationkey % 2 = 0 AND least(a, b) >= 0.8 THEN 'strong' WHEN s_nationkey % 2 = 0 AND least(a, b) > 0 THEN 'medium' ELSE 'weak' END AS strength FROM (SELECT *, s_suppkey % 11 / 10.0 AS a, s_suppkey % 7 / 6.0 AS b FROM supplier)")
+def collision_strength(spark, sf_dir):
+    s = sql(spark, sf_dir, "SELECT s_suppkey AS id, s_nationkey, s_suppkey % 11 / 10.0 AS a, s_suppkey % 7 / 6.0 AS b FROM supplier")
+    return s.select("id", semantic.collision_strength(F.col("s_nationkey") % 2 == 0, F.col("a"), F.col("b")).alias("strength"))
+
+
+@query("SELECT user_id AS schema_id, max_by(event_type, event_id) AS sem_id, max(event_id) AS revision, count(*) AS n_revisions FROM events GROUP BY 1")
+def active_revisions(spark, sf_dir):
+    return semantic.active_revisions(sql(spark, sf_dir, "SELECT user_id AS schema_id, event_id AS revision, event_type AS sem_id FROM events"))
+
+
+@query("""WITH t AS (SELECT l_orderkey AS k, l_linenumber AS path, l_returnflag AS ty, l_linestatus AS tz FROM lineitem WHERE l_orderkey <= 1000),
+ b AS (SELECT coalesce(x.k, y.k) AS k, x.ty AS a, y.tz AS b FROM (SELECT k, path, min(ty) AS ty FROM t WHERE path <> 3 GROUP BY 1, 2) x FULL JOIN (SELECT k, path, CASE WHEN min(tz) = 'O' THEN 'N' ELSE 'R' END AS tz FROM t WHERE path <> 5 GROUP BY 1, 2) y ON x.k = y.k AND x.path = y.path)
+ SELECT k, CASE WHEN NOT bool_or(a IS NOT NULL AND b IS NOT NULL AND a <> b) THEN 'compatible' WHEN bool_and(a IS NOT NULL AND b IS NOT NULL) THEN 'identical_paths_changed_types' ELSE 'incompatible' END AS relation FROM b GROUP BY 1""")
+def semantic_drift_relations(spark, sf_dir):
+    t = sql(spark, sf_dir, "SELECT l_orderkey AS k, l_linenumber AS path, l_returnflag AS ty, l_linestatus AS tz FROM lineitem WHERE l_orderkey <= 1000")
+    a = t.where("path <> 3").groupBy("k", "path").agg(F.min("ty").alias("types"))
+    b = t.where("path <> 5").groupBy("k", "path").agg(F.expr("if(min(tz) = 'O', 'N', 'R')").alias("types"))
+    return semantic.structural_relation(a, b, "k")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN (same OR (anchors >= 2 AND cov >= 0.5)) AND NOT differ THEN 'strong' WHEN same OR (anchors >= 2 AND cov >= 0.5) OR anchors >= 1 OR (ns AND oc) THEN 'medium' WHEN weak THEN 'weak' ELSE 'insufficient' END AS strength
+ FROM (SELECT o_orderkey, o_orderkey % 13 = 0 AS same, o_orderkey % 3 = 0 AS differ, o_orderkey % 4 AS anchors, o_orderkey % 10 / 9.0 AS cov, o_orderkey % 2 = 0 AS ns, o_orderkey % 7 = 0 AS oc, o_orderkey % 5 = 0 AS weak FROM orders)""")
+def match_strength(spark, sf_dir):
+    o = sql(spark, sf_dir, "SELECT o_orderkey AS id FROM orders")
+    m = lambda n: F.col("id") % n
+    return o.select("id", semantic.strength(m(13) == 0, m(3) == 0, m(4), m(10) / 9.0, m(2) == 0, m(7) == 0, m(5) == 0).alias("strength"))
+
+
+# Consolidation.
+
+_UNITS = "SELECT p_partkey, p_retailprice AS v, CASE p_partkey % 5 WHEN 0 THEN 'kW' WHEN 1 THEN 'MW' WHEN 2 THEN 'W' WHEN 3 THEN 'Cel' ELSE 'GW' END AS unit FROM part"
+
+
+@query(f"SELECT p_partkey, round(CASE unit WHEN 'W' THEN v WHEN 'kW' THEN v * 1000.0 WHEN 'MW' THEN v * 1000000.0 WHEN 'GW' THEN v * 1000000000.0 END, 3) AS watts, round(CASE unit WHEN 'Cel' THEN v + 273.15 END, 3) AS kelvin FROM ({_UNITS})")
+def unit_convert(spark, sf_dir):
+    p = sql(spark, sf_dir, _UNITS)
+    return p.select("p_partkey", F.round(umbrella.convert(F.col("v"), F.col("unit"), "W"), 3).alias("watts"), F.round(umbrella.convert(F.col("v"), F.col("unit"), "K"), 3).alias("kelvin"))
+
+
+_FIELDS = "SELECT l_suppkey AS schema_id, concat('c', CAST(l_linenumber AS STRING)) AS cfid, CASE WHEN l_linenumber % 2 = 0 THEN 'decimal' ELSE 'integer' END AS type FROM lineitem WHERE l_orderkey % 40 = 1"
+
+
+@query(f"""WITH s AS (SELECT schema_id, array_to_string(list_sort(list_distinct(list(concat(cfid, '=', type)))), '|') AS signature FROM ({_FIELDS}) GROUP BY 1)
+ SELECT signature, array_to_string(list_sort(list(schema_id)), ',') AS members, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 2""")
+def umbrella_groups(spark, sf_dir):
+    g = umbrella.groups(sql(spark, sf_dir, _FIELDS))
+    return g.select("signature", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "n")
+
+
+_CHILD = "SELECT p_partkey AS schema_id, p_name AS path, concat('c', CAST(p_size % 4 AS STRING)) AS cfid, CASE p_partkey % 3 WHEN 0 THEN 'integer' WHEN 1 THEN 'decimal' ELSE 'string' END AS type, CASE p_partkey % 4 WHEN 0 THEN 'kW' WHEN 1 THEN 'W' WHEN 2 THEN 'm' END AS unit FROM part"
+
+
+@query(f"""SELECT schema_id, cfid, CASE WHEN type = 'string' THEN 'unknown' WHEN unit = 'W' THEN 'exact_equivalent' WHEN unit = 'kW' THEN 'same_quantity_different_unit' ELSE 'unknown' END AS verdict FROM ({_CHILD}) WHERE cfid IN ('c1', 'c2')""")
+def field_pairing(spark, sf_dir):
+    u = spark.createDataFrame([("c1", "power", "decimal", "W"), ("c2", "load", "decimal", "W")], "cfid string, target string, target_type string, target_unit string")
+    return umbrella.pair_fields(sql(spark, sf_dir, _CHILD), u).select("schema_id", "cfid", "verdict")
+
+
+_BINDINGS = [
+    umbrella.Binding("order_id", "o_orderkey", "integer", required=True),
+    umbrella.Binding("kilowatts", "o_totalprice", "decimal", ("W", "kW")),
+    umbrella.Binding("status", "st", "string", default="none"),
+    umbrella.Binding("clerk", "num", "integer", required=True),
+]
+_ORDERS = "SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS st, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE CAST(o_custkey AS STRING) END AS num FROM orders"
+
+
+@query(f"SELECT o_orderkey AS order_id, round(o_totalprice * 0.001, 6) AS kilowatts, coalesce(st, 'none') AS status, TRY_CAST(num AS BIGINT) AS clerk, CASE WHEN TRY_CAST(num AS BIGINT) IS NULL THEN 'clerk' END AS rejected FROM ({_ORDERS})")
+def transform_apply(spark, sf_dir):
+    out = umbrella.transform(sql(spark, sf_dir, _ORDERS), _BINDINGS)
+    return out.select("order_id", F.round("kilowatts", 6).alias("kilowatts"), "status", "clerk", "rejected")
+
+
+_EVIDENCE = "SELECT concat('c', CAST(s_nationkey AS STRING)) AS cfid, s_suppkey AS schema_id, CASE s_suppkey % 3 WHEN 0 THEN 4 WHEN 1 THEN 24 ELSE 5 END AS mask, s_suppkey % 60 AS support, CASE WHEN s_suppkey % 4 = 0 THEN 'W' ELSE 'kW' END AS unit FROM supplier"
+
+
+@query(f"WITH e AS ({_EVIDENCE}) SELECT a.cfid AS cfid, a.schema_id AS a, b.schema_id AS b, CASE WHEN a.unit <> b.unit THEN 'not_comparable' WHEN least(a.support, b.support) < 30 THEN 'unknown' WHEN a.mask & b.mask = 0 THEN 'contradictory' ELSE 'compatible' END AS verdict FROM e a JOIN e b ON a.cfid = b.cfid AND a.schema_id < b.schema_id")
+def value_guard(spark, sf_dir):
+    return umbrella.value_guard(sql(spark, sf_dir, _EVIDENCE))
+
+
+# Sensitive data and gates.
+
+
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\b(bearer|basic)\\s+[A-Za-z0-9+/._~=-]{8,}') OR regexp_matches(text, '[a-z][a-z0-9+.-]*://[^/\\s:@]+:[^/\\s:@]+@') OR regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') THEN 'secret' WHEN regexp_matches(text, '\\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\b') THEN 'pii' END AS class FROM documents")
+def dlp_classes(spark, sf_dir):
+    return sql(spark, sf_dir, "SELECT doc_id, text FROM documents").select("doc_id", dlp.pattern_class(F.col("text")).alias("class"))
+
+
+_CARD = "SELECT o_orderkey, concat('4', lpad(CAST(o_orderkey AS STRING), 7, '0'), lpad(CAST(o_custkey AS STRING), 8, '7')) AS card FROM orders"
+
+
+@query(f"SELECT o_orderkey, list_sum(list_transform(range(16), lambda i: CASE WHEN i % 2 = 0 THEN CAST(card[16 - i] AS INT) WHEN CAST(card[16 - i] AS INT) > 4 THEN CAST(card[16 - i] AS INT) * 2 - 9 ELSE CAST(card[16 - i] AS INT) * 2 END)) % 10 = 0 AS ok FROM ({_CARD})")
+def luhn_cards(spark, sf_dir):
+    return sql(spark, sf_dir, _CARD).select("o_orderkey", dlp.luhn_ok(F.col("card")).alias("ok"))
+
+
+@query("SELECT f, regexp_matches(regexp_replace(lower(f), '[^a-z0-9]', '', 'g'), '" + "|".join(dlp.SENSITIVE) + "') AS sensitive FROM (SELECT DISTINCT concat(p_brand, CASE p_partkey % 4 WHEN 0 THEN '_apiKey' WHEN 1 THEN '-Pass.Word' WHEN 2 THEN 'Total' ELSE '_i_b_a_n' END) AS f FROM part)")
+def sensitive_names(spark, sf_dir):
+    f = sql(spark, sf_dir, "SELECT DISTINCT concat(p_brand, CASE p_partkey % 4 WHEN 0 THEN '_apiKey' WHEN 1 THEN '-Pass.Word' WHEN 2 THEN 'Total' ELSE '_i_b_a_n' END) AS f FROM part")
+    return f.select("f", dlp.sensitive_name(F.col("f")).alias("sensitive"))
+
+
+@query("SELECT event_id, concat('{\"id\":', CAST(event_id AS VARCHAR), ',\"password\":\"[REDACTED_FIELD]\",\"note\":\"', CASE WHEN event_id % 3 = 0 THEN '[REDACTED_PII]' ELSE event_type END, '\"}') AS document, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS findings FROM events WHERE event_id <= 2000")
+def redacted_records(spark, sf_dir):
+    rows = sql(spark, sf_dir, "SELECT event_id, concat('{\"id\":', CAST(event_id AS STRING), ',\"password\":\"x\",\"note\":\"', CASE WHEN event_id % 3 = 0 THEN 'to a.b@mail.example.com' ELSE event_type END, '\"}') AS doc FROM events WHERE event_id <= 2000")
+    return rows.withColumn("r", dlp.redacted(F.col("doc"))).select("event_id", "r.document", "r.findings")
+
+
+_GATE = "SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS is_match, CAST(o_orderkey % 3 + 1 AS INT) AS rank, o_orderkey % 40 / 100.0 AS distance, o_orderkey % 25 / 100.0 AS margin, o_orderkey % 50 AS observations, CASE o_orderkey % 4 WHEN 0 THEN 'exact' WHEN 1 THEN 'compatible_drift' ELSE 'other' END AS relation, o_orderkey % 5 <> 0 AS compatible, o_orderkey % 11 = 0 AS collision FROM orders"
+
+
+@query(f"""SELECT id, concat_ws(',', CASE WHEN NOT is_match THEN 'no_match_proposed' END, CASE WHEN rank <> 1 THEN 'rank_not_one' END, CASE WHEN distance > 0.15 THEN 'distance_exceeded' END, CASE WHEN margin < 0.10 THEN 'margin_too_small' END,
+ CASE WHEN observations < 20 THEN 'insufficient_observations' END, CASE WHEN relation = 'other' THEN 'relation_not_eligible' END, CASE WHEN NOT compatible THEN 'deterministic_compatibility_failed' END, CASE WHEN collision THEN 'redaction_collision' END) AS reasons FROM ({_GATE})""")
+def policy_gate(spark, sf_dir):
+    return sql(spark, sf_dir, _GATE).select("id", F.array_join(gates.gate_reasons(), ",").alias("reasons"))
+
+
+@query("SELECT l_orderkey, count(l_returnflag) <> count(DISTINCT l_returnflag) AS collision FROM lineitem GROUP BY 1")
+def redaction_collision(spark, sf_dir):
+    return gates.redaction_collision(sql(spark, sf_dir, "SELECT l_orderkey, l_returnflag AS path FROM lineitem"), "l_orderkey")
+
+
+# Evaluation.
+
+_CASES = """SELECT o_orderkey AS id, o_orderpriority AS family, CASE o_orderkey % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'new' ELSE 'abstain' END AS expected, CASE o_custkey % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'new' ELSE 'abstain' END AS predicted,
+ o_orderkey % 4 <> 0 AS has_gold, CASE WHEN o_custkey % 7 < 6 THEN o_custkey % 7 + 1 END AS gold_rank, o_custkey % 300 AS observations, o_custkey % 101 / 100.0 AS confidence, o_orderkey % 3 = o_custkey % 3 AS correct FROM orders"""
+
+
+@query(f"""SELECT CASE WHEN observations < 20 THEN 'low' WHEN observations < 200 THEN 'mid' ELSE 'high' END AS bucket, count(*) AS n, round(avg(CASE WHEN gold_rank <= 1 THEN 1.0 ELSE 0 END), 9) AS recall_1, round(avg(CASE WHEN gold_rank <= 3 THEN 1.0 ELSE 0 END), 9) AS recall_3,
+ round(avg(CASE WHEN gold_rank <= 5 THEN 1.0 ELSE 0 END), 9) AS recall_5, round(avg(coalesce(1.0 / gold_rank, 0)), 9) AS mrr, round(avg(CASE WHEN gold_rank IS NULL THEN 1.0 ELSE 0 END), 9) AS miss_rate FROM ({_CASES}) WHERE has_gold GROUP BY 1""")
+def recall_mrr(spark, sf_dir):
+    c = sql(spark, sf_dir, _CASES).withColumn("bucket", evaluate.observation_bucket(F.col("observations")))
+    out = evaluate.retrieval(c, "bucket")
+    return out.select("bucket", "n", *[F.round(m, 9).alias(m) for m in ("recall_1", "recall_3", "recall_5", "mrr", "miss_rate")])
+
+
+@query(f"""SELECT family, count(*) AS n, round(avg(CASE WHEN predicted = expected THEN 1.0 ELSE 0 END), 9) AS accuracy, round(count(*) FILTER (WHERE expected = 'abstain' AND predicted = 'abstain') * 1.0 / count(*) FILTER (WHERE predicted = 'abstain'), 9) AS abstain_precision,
+ round(count(*) FILTER (WHERE expected = 'abstain' AND predicted = 'abstain') * 1.0 / count(*) FILTER (WHERE expected = 'abstain'), 9) AS abstain_recall, round(count(*) FILTER (WHERE predicted = 'match' AND expected <> 'match') * 1.0 / count(*), 9) AS false_merge, round(count(*) FILTER (WHERE predicted = 'new' AND expected = 'match') * 1.0 / count(*), 9) AS false_split FROM ({_CASES}) GROUP BY 1""")
+def eval_metrics(spark, sf_dir):
+    out = evaluate.decisions(sql(spark, sf_dir, _CASES), "family")
+    return out.select("family", "n", *[F.round(m, 9).alias(m) for m in ("accuracy", "abstain_precision", "abstain_recall", "false_merge", "false_split")])
+
+
+@query(f"SELECT round(avg(f), 9) AS macro_f1 FROM (SELECT 2.0 * count(*) FILTER (WHERE predicted = c AND expected = c) / (count(*) FILTER (WHERE predicted = c) + count(*) FILTER (WHERE expected = c)) AS f FROM ({_CASES}), (SELECT unnest(['match', 'new', 'abstain']) AS c) GROUP BY c)")
+def macro_f1(spark, sf_dir):
+    return evaluate.macro_f1(sql(spark, sf_dir, _CASES), ["match", "new", "abstain"]).select(F.round("macro_f1", 9).alias("macro_f1"))
+
+
+@query(f"""WITH b AS (SELECT least(floor(confidence * 10), 9) AS bin, count(*) AS n, avg(confidence) AS c, avg(CASE WHEN correct THEN 1.0 ELSE 0 END) AS a, sum(power(confidence - CASE WHEN correct THEN 1 ELSE 0 END, 2)) AS sq FROM ({_CASES}) GROUP BY 1)
+ SELECT round(sum(sq) / sum(n), 8) AS brier, round(sum(abs(c - a) * n) / sum(n), 8) AS ece FROM b""")
+def brier_ece(spark, sf_dir):
+    c = sql(spark, sf_dir, _CASES).withColumn("confidence", F.col("confidence").cast("double"))
+    return evaluate.brier_ece(c).select(F.round("brier", 8).alias("brier"), F.round("ece", 8).alias("ece"))
+
+
+@query(f"""WITH c AS (SELECT CAST(confidence AS DOUBLE) AS confidence, count(*) AS n, count(*) FILTER (WHERE NOT correct) AS w FROM ({_CASES}) GROUP BY 1)
+ SELECT confidence, round(sum(n) OVER o * 1.0 / sum(n) OVER (), 9) AS coverage, round(sum(w) OVER o * 1.0 / sum(n) OVER o, 9) AS risk FROM c WINDOW o AS (ORDER BY confidence DESC ROWS UNBOUNDED PRECEDING)""")
+def risk_coverage(spark, sf_dir):
+    c = sql(spark, sf_dir, _CASES).withColumn("confidence", F.col("confidence").cast("double"))
+    return evaluate.risk_coverage(c).select("confidence", F.round("coverage", 9).alias("coverage"), F.round("risk", 9).alias("risk"))
+
+
+_PAIRS = "SELECT o_orderkey AS id, o_orderkey % 3 <> 0 AS a_correct, o_custkey % 4 <> 0 AS b_correct FROM orders"
+
+
+@query(f"WITH c AS (SELECT count(*) FILTER (WHERE a_correct AND NOT b_correct) AS only_a, count(*) FILTER (WHERE NOT a_correct AND b_correct) AS only_b FROM ({_PAIRS})) SELECT only_a, only_b, round(power(greatest(abs(only_a - only_b) - 1, 0), 2) / (only_a + only_b), 9) AS statistic FROM c")
+def mcnemar(spark, sf_dir):
+    return evaluate.mcnemar(sql(spark, sf_dir, _PAIRS)).withColumn("statistic", F.round("statistic", 9))
+
+
+@query()
+def paired_bootstrap(spark, sf_dir):
+    """Interval of an accuracy difference; random draws have no SQL counterpart."""
+    return evaluate.bootstrap(sql(spark, sf_dir, _PAIRS), 400, 7)
+
+
+_Z = "1.959963984540054"
+
+
+@query(f"""WITH c AS (SELECT o_orderpriority AS family, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS k FROM orders GROUP BY 1), p AS (SELECT *, k * 1.0 / n AS p FROM c)
+ SELECT family, round((p + {_Z} * {_Z} / (2 * n) - {_Z} * sqrt(p * (1 - p) / n + {_Z} * {_Z} / (4.0 * n * n))) / (1 + {_Z} * {_Z} / n), 9) AS low, round((p + {_Z} * {_Z} / (2 * n) + {_Z} * sqrt(p * (1 - p) / n + {_Z} * {_Z} / (4.0 * n * n))) / (1 + {_Z} * {_Z} / n), 9) AS high FROM p""")
+def wilson_bounds(spark, sf_dir):
+    c = sql(spark, sf_dir, "SELECT o_orderpriority AS family, count(*) AS n, count_if(o_orderstatus = 'F') AS k FROM orders GROUP BY 1")
+    return c.select("family", F.round(evaluate.wilson(F.col("k"), F.col("n")), 9).alias("low"), F.round(evaluate.wilson(F.col("k"), F.col("n"), True), 9).alias("high"))
+
+
+@query("""WITH v AS (SELECT event_type, user_id AS x, row_number() OVER (PARTITION BY event_type ORDER BY user_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE user_id IS NOT NULL)
+ SELECT event_type, CAST(p AS DOUBLE) AS percent, x AS value FROM v, (SELECT unnest([50, 95, 99]) AS p) WHERE i = floor(p / 100.0 * (n - 1) + 0.5)""")
+def latency_percentiles(spark, sf_dir):
+    return evaluate.nearest_rank(sql(spark, sf_dir, "SELECT event_type, user_id FROM events"), "user_id", [50, 95, 99], "event_type")
+
+
+_FEEDBACK = "SELECT event_id AS id, event_id AS at, concat('k', CAST(event_id % 4000 AS STRING)) AS cluster, concat('f', CAST(user_id AS STRING)) AS family, event_type AS label_source, event_id % 17 = 0 AS unsafe FROM events"
+
+
+@query(f"""WITH o AS (SELECT * FROM ({_FEEDBACK.replace(' AS at', ' AS ts')}) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY ts, id) = 1), c AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY family, label_source ORDER BY ts, id) <= 5)
+ SELECT id, family, CASE WHEN unsafe THEN 'safety' WHEN ((instr('0123456789abcdef', substr(sha256(family), 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(sha256(family), 2, 1)) - 1) % 5 = 0 THEN 'holdout' ELSE 'train' END AS split FROM c""")
+def feedback_split(spark, sf_dir):
+    return evaluate.feedback_splits(sql(spark, sf_dir, _FEEDBACK), 5).select("id", "family", "split")
+
+
+@query("""WITH f AS (SELECT user_id AS family, min(event_id) AS born, count(*) AS n FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY born DESC, family) AS age FROM f)
+ SELECT event_id AS id, user_id AS family, CASE WHEN age <= 10 THEN 'cross_source' WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= ceil(n * 0.7) THEN 'train' ELSE 'test' END AS tier FROM events JOIN r ON user_id = family""")
+def tier_split(spark, sf_dir):
+    return evaluate.tiers(sql(spark, sf_dir, "SELECT event_id AS id, user_id AS family, event_id AS order FROM events"), 10, 0.7)
+
+
+# Reshaping, sources, exports.
+
+
+@query("SELECT o_orderkey, CAST(unnest(range(0, o_orderkey % 4)) AS BIGINT) AS a FROM orders UNION ALL SELECT o_orderkey, 7 AS a FROM orders WHERE o_orderkey % 9 = 0")
+def unwrap_arrays(spark, sf_dir):
+    rows = sql(spark, sf_dir, "SELECT o_orderkey FROM orders")
+    many = F.transform(F.when(F.col("o_orderkey") % 4 > 0, F.sequence(F.lit(0).cast("long"), F.col("o_orderkey") % 4 - 1)).otherwise(F.array().cast("array<bigint>")), lambda x: F.struct(x.alias("a")))
+    docs = rows.withColumn("j", F.to_json(F.struct(many.alias("Items")))).unionByName(rows.where("o_orderkey % 9 = 0").withColumn("j", F.lit('{"Items":{"a":7}}')))
+    return reshape.unwrap(docs, "j", "$.Items").select("o_orderkey", F.variant_get("item", "$.a", "bigint").alias("a"))
+
+
+@query("SELECT n_nationkey, CAST(i AS INTEGER) AS place, n_name || i AS a, i * 2 AS b FROM nation, (SELECT unnest([0, 1, 2]) AS i)")
+def parallel_arrays_zip(spark, sf_dir):
+    rows = sql(spark, sf_dir, "SELECT n_nationkey, array(concat(n_name, '0'), concat(n_name, '1'), concat(n_name, '2')) AS a, array(0, 2, 4) AS b FROM nation")
+    return reshape.zipped(rows, "a", "b")
+
+
+@query("SELECT n_nationkey, k, CASE k WHEN 'name' THEN n_name ELSE CAST(n_regionkey AS VARCHAR) END AS v FROM nation, (SELECT unnest(['name', 'region']) AS k)")
+def map_to_rows(spark, sf_dir):
+    rows = sql(spark, sf_dir, "SELECT n_nationkey, map('name', n_name, 'region', CAST(n_regionkey AS STRING)) AS m FROM nation")
+    return reshape.entries(rows, "m", "k", "v").select("n_nationkey", "k", "v")
+
+
+@query("SELECT n_nationkey, concat('[', n_nationkey, ']') AS body, n_name AS name, CAST(NULL AS VARCHAR) AS missing FROM nation")
+def wrapped_calls(spark, sf_dir):
+    rows = sql(spark, sf_dir, "SELECT n_nationkey, concat('cb.x([', n_nationkey, ']);') AS t, array(n_name) AS a FROM nation")
+    return rows.select("n_nationkey", reshape.unwrapped_call(F.col("t")).alias("body"), *reshape.named(F.col("a"), ["name", "missing"]))
+
+
+@query("SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ',') AS names FROM nation WHERE n_nationkey % 3 <> 0 GROUP BY 1")
+def regrouped(spark, sf_dir):
+    rows = sql(spark, sf_dir, "SELECT n_regionkey, n_nationkey, n_name FROM nation")
+    out = reshape.regroup(rows, "n_regionkey", F.when(F.col("n_nationkey") % 3 != 0, F.col("n_name")))
+    return out.where(F.size("items") > 0).select("n_regionkey", F.array_join("items", ",").alias("names"))
+
+
+@query("SELECT 'hits' AS name, n_name AS nation, CAST(n_nationkey AS DOUBLE) AS value FROM nation")
+def metrics_lines(spark, sf_dir):
+    rows = sql(spark, sf_dir, "SELECT concat('hits{nation=\"', n_name, '\",x=\"1\"} ', n_nationkey) AS value FROM nation UNION ALL SELECT '# HELP hits'")
+    return files.metrics_text(rows).select("name", F.col("labels")["nation"].alias("nation"), "value")
+
+
+@query("SELECT split, count(*) AS n FROM (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'holdout' ELSE 'safety' END AS split FROM orders) GROUP BY 1")
+def snapshot_manifest(spark, sf_dir):
+    rows = sql(spark, sf_dir, "SELECT o_orderkey, o_totalprice, CASE o_orderkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'holdout' ELSE 'safety' END AS split FROM orders")
+    return files.snapshot(rows, "o_orderkey").where(F.length("digest") == 64).select("split", "n")
+
+
+@query(f"SELECT CASE WHEN f = 'known' THEN 'known' WHEN f IN ('malformed', 'tombstone') THEN 'none' ELSE 'candidate' END AS tag, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'view') AS view FROM (SELECT {_FATE} AS f, event_type FROM events) GROUP BY 1")
+def tag_outcomes(spark, sf_dir):
+    done = classify.classify(classify.with_identity(records(spark, sf_dir)), _known(spark))
+    tag = F.when(F.col("fate") == "known", "known").when(F.col("fate") == "provisional", "candidate").otherwise("none")
+    return done.groupBy(tag.alias("tag")).pivot("event_type", ["click", "view"]).count().na.fill(0)

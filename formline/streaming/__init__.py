@@ -1 +1 @@
-"""streaming of the engine."""
+"""Streams: tagging with three sinks, and clustering with state."""
