@@ -35,7 +35,7 @@ GRID = 64
 SHARD_CHARS = 3_000_000
 CLOSING_ID = 2
 #: Words whose ids a Python worker remembers, of up to MEMO_CHARS each.
-MEMO_WORDS, MEMO_CHARS = 200_000, 48
+MEMO_WORDS, MEMO_CHARS = 400_000, 48
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long"
 
@@ -44,38 +44,59 @@ class Encoder:
     """Ids of whole texts, as the tokenizer gives them, with a memo of words.
 
     The tokenizer's pattern never spans white space, so the ids of a text are those of its words in
-    order. Texts with separators U+001C to U+001F, on which Python and the tokenizer disagree, go
-    to the tokenizer whole.
+    order. New words go to the tokenizer many at a time, with a word between them whose one id no
+    other word can give. Texts with separators U+001C to U+001F, on which Python and the tokenizer
+    disagree about white space, go to the tokenizer whole.
     """
 
     ODD = frozenset("\x1c\x1d\x1e\x1f")
+    MARKS = "~^`♥★"
+    AT_ONCE = 400
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, list[int]] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.ODD.isdisjoint(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        words, memo = text.split(), self.memo
-        new = [w for w in set(words) if w not in memo]
-        rest: dict[str, list[int]] = {}
-        if new:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                (memo if len(w) <= MEMO_CHARS and len(memo) < MEMO_WORDS else rest)[w] = e.ids
-        ids: list[int] = []
-        if rest:
-            for w in words:
-                ids += memo[w] if w in memo else rest[w]
-        else:
-            for w in words:
-                ids += memo[w]
-        return np.array(ids, dtype=np.uint32)
+        self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.memo: dict[str, bytes] = {}
+        self.between, self.mark = next(((c, int(x[0])) for c in self.MARKS if len(x := self._ids(c)) == 1), (None, None))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if self.between not in w and len(w) <= MEMO_CHARS] if self.between else []
+        known = dict.fromkeys(plain)
+        out = {w: self._ids(w).tobytes() for w in words if w not in known}
+        parts = [plain[i : i + self.AT_ONCE] for i in range(0, len(plain), self.AT_ONCE)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([f" {self.between} ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.kind)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * self.kind.itemsize
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                out[w] = raw[at:end]
+                at = end + self.kind.itemsize
+        return out
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        words = [t.split() if self.ODD.isdisjoint(t) else None for t in texts]
+        memo = self.memo
+        asked = {w for ws in words if ws for w in ws}
+        new = [w for w in asked if w not in memo]
+        if len(memo) >= MEMO_WORDS and 2 * len(new) > len(asked):
+            memo.clear()  # other words than before are common now
+            new = list(asked)
+        rest = self._new(new)
+        for w, ids in rest.items():
+            if len(memo) >= MEMO_WORDS:
+                break
+            if len(w) <= MEMO_CHARS:
+                memo[w] = ids
+        out = []
+        for text, ws in zip(texts, words, strict=True):
+            ids = self._ids(text) if ws is None else np.frombuffer(b"".join([memo[w] if w in memo else rest[w] for w in ws]), dtype=self.kind)
+            out.append(ids)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -98,10 +119,18 @@ def combinations(classes: int) -> np.ndarray:
     return out
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that minimises |ax - b|, by projected gradient with momentum and restarts."""
-    gram, target = a.T @ a, a.T @ b
-    step = 1.0 / max(np.linalg.norm(gram, 2), 1e-12)
+@lru_cache(maxsize=4)
+def _problem(classes: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """The combinations, their products, and the step that suits them: the same for every shard."""
+    a = combinations(classes)
+    gram = a.T @ a
+    return a, gram, 1.0 / np.linalg.norm(gram, 2)
+
+
+def nnls(classes: int, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
+    """x >= 0 that minimises |combinations x - histogram|, by projected gradient with momentum and restarts."""
+    a, gram, step = _problem(classes)
+    target = a.T @ histogram
     x = y = np.zeros(a.shape[1])
     t = 1.0
     for _ in range(rounds):
@@ -116,11 +145,6 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
-def _problem(classes: int) -> np.ndarray:
-    return combinations(classes)
-
-
 def plan(lengths: np.ndarray, window: int = WINDOW, grid: int = GRID) -> pd.DataFrame:
     """Pieces (item, start, length, sequence, offset, window) of items of the given lengths."""
     lengths = np.asarray(lengths, dtype=np.int64)
@@ -142,8 +166,8 @@ def plan(lengths: np.ndarray, window: int = WINDOW, grid: int = GRID) -> pd.Data
     classes = window // grid
     kind = -(-left // grid)
     hist = np.bincount(kind, minlength=classes + 1)[1:]
-    matrix = _problem(classes)
-    repeats = np.floor(nnls(matrix, hist.astype(float)) + 1e-6).astype(np.int64)
+    matrix = _problem(classes)[0]
+    repeats = np.floor(nnls(classes, hist.astype(float)) + 1e-6).astype(np.int64)
     order = np.argsort(kind, kind="stable")
     ends = np.cumsum(np.bincount(kind, minlength=classes + 1))
     nxt = ends - np.bincount(kind, minlength=classes + 1)  # next unused item of each class, in ``order``
@@ -208,8 +232,8 @@ def plan(lengths: np.ndarray, window: int = WINDOW, grid: int = GRID) -> pd.Data
 def _packer(path: str, window: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         encode = encoder(path)
-        closing = np.array([CLOSING_ID], dtype=np.uint32)
-        ids = [np.concatenate([encode(t), closing]) for t in pdf["text"]]
+        closing = np.array([CLOSING_ID], dtype=encode.kind)
+        ids = [np.concatenate([x, closing]) for x in encode(list(pdf["text"]))]
         out = plan(np.array([len(x) for x in ids], dtype=np.int64), window)
         item = out["item"].to_numpy()
         crc = [zlib.crc32(ids[i][s : s + n].astype("<u4").tobytes()) for i, s, n in zip(item, out["start"], out["length"], strict=True)]
