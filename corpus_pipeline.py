@@ -8,7 +8,7 @@ sequences. Nulls, empty tables and repeated rows are as the operators' modules s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.llm import linededup, mixing, neardup, packing, quality
@@ -16,28 +16,41 @@ from formline.llm.common import SPACES, Workspace
 from formline.session import ship
 
 
+def _apart(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns that a stage reads, and all others in one, so that no name meets one of the stage's."""
+    rest = [c for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*rest) if rest else F.lit(None)).alias("__rest"))
+
+
+def _together(rows: DataFrame, columns: list[str], **own: Column) -> DataFrame:
+    return rows.select(*[(own[c] if c in own else F.col("__rest")[c]).alias(c) for c in columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    columns = docs.columns
-    return quality.ledger(docs, *columns).where(quality.passes("v1")).select(*columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("__all"))
+    return quality.ledger(rows, "__all").where(quality.passes("v1")).select(*[F.col("__all")[c].alias(c) for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(docs)
-    replaced = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast(docs.schema["n_chars"].dataType)}
+    out = linededup.dedup_lines(_apart(docs, "doc_id", "text"))
     left = out.where(F.btrim("kept_text", F.lit(SPACES)) != "")
-    return left.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in docs.columns])
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return _together(left, docs.columns, **own)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    gone = neardup.classes(docs).where("class_id <> doc_id").select("doc_id").distinct()
+    gone = neardup.classes(docs.select("doc_id", "text")).where("class_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    mixed = mixing.mix(docs, mixing.domains_of(docs), least=1.0)
-    return mixing.repeat(mixed, docs.columns)
+    mixed = mixing.mix(_apart(docs, "doc_id", "text", "lang"), mixing.domains_of(docs), least=1.0)
+    own = ("doc_id", "text", "lang")
+    return _together(mixing.repeat(mixed, [*own, "__rest"]), docs.columns, **{c: F.col(c) for c in own})
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
