@@ -41,22 +41,23 @@ class Model:
     languages: list[str]
     letters: np.ndarray  # letter class of each code point, 0: no letter
     grams: list[np.ndarray]  # by order: place of an n-gram code among the landmarks' n-grams, or -1
-    landmarks: list[np.ndarray]  # by order: n-grams x landmarks, scaled
+    landmarks: list[np.ndarray]  # by order: n-grams x landmarks, presence
     weights: np.ndarray  # landmarks x languages
     base: int
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.landmarks[0].shape[1]), dtype=np.float32)
+        out = np.zeros((len(texts), self.landmarks[0].shape[1]))
         for places, marks, (rows, codes) in zip(self.grams, self.landmarks, _codes(texts, self.letters, self.base), strict=True):
             at = places[codes]
             known = at >= 0
             seen = np.zeros((len(texts), marks.shape[0]), dtype=np.float32)
             seen[rows[known], at[known]] = 1
-            out += (seen @ marks) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True), 1))
+            # Products of presences are whole numbers, so they do not hang on a text's place in the block.
+            out += (seen @ marks) / np.sqrt(np.maximum(seen.sum(axis=1, keepdims=True, dtype=np.float64), 1) * np.maximum(marks.sum(axis=0, keepdims=True, dtype=np.float64), 1))
         return out / len(ORDERS)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return self.kernel(texts) @ self.weights
+        return np.round(self.kernel(texts) @ self.weights, 9)
 
 
 def _codes(texts: list[str], letters: np.ndarray, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -102,7 +103,7 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
         plane = np.zeros((len(known), len(marks)), dtype=np.float32)
         plane[places[codes], rows] = 1
         grams.append(places)
-        planes.append(plane / np.sqrt(np.maximum(plane.sum(axis=0, keepdims=True), 1)))
+        planes.append(plane)
     model = Model(languages, letters, grams, planes, np.zeros((len(marks), len(languages))), base)
     k_nm = np.concatenate([model.kernel(texts[i : i + BLOCK]) for i in range(0, len(texts), BLOCK)]).astype(float)
     values, vectors = np.linalg.eigh(model.kernel(marks).astype(float))
