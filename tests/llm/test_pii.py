@@ -1,0 +1,101 @@
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+
+from formline.llm import pii
+from tests.llm.helpers import corpus, documents
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": True,
+                "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")),
+                "card": 12 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(d[::-1])) % 10 == 0,
+                "phone": 9 <= len(d) <= 15,
+            }[kind]
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def crf():
+    return pii.train(pii.labelled())
+
+
+def test_base_spans_are_those_of_the_plain_patterns():
+    rng = random.Random(0)
+    bits = ["1", "22", "255", "256", "001.2.3.4", ".", "-", " ", "+", "(", ")", "a", "@", "b.c", "ü", "@x.y", "4111111111111111", "4111 1111-1111 1111", "+1 (555) 010-9999", "\n", "%", "+49"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        assert pii.base_spans(text) == plain_spans(text), text
+
+
+def test_viterbi_and_the_shortcut_are_exact(crf):
+    rng = random.Random(1)
+    lines = [[w for w, _ in x] for x in pii.labelled(60, seed=8)]
+    lines += [[rng.choice(["token", "=", "a", "12", "(555)", "x@y.zz", "1.2.3.4", "dot", "at", "|"]) for _ in range(rng.randint(1, 9))] for _ in range(200)]
+    got = dict(pii.Decoder(crf)(lines))
+    for i, line in enumerate(lines):
+        names = [None, *map(pii.shape, line), None]
+        s = np.array([crf.of_shape(names[t + 1])[0] + crf.of_shape(names[t])[1] + crf.of_shape(names[t + 2])[2] for t in range(len(line))])
+        best, back = s[0] + crf.begin, []
+        for t in range(1, len(line)):
+            reach = best[:, None] + crf.move
+            back.append(reach.argmax(axis=0))
+            best = reach.max(axis=0) + s[t]
+        path = [int(best.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert got.get(i, np.zeros(len(line))).tolist() == path[::-1], line
+
+
+def test_unseen_lines_are_labelled(crf):
+    d = pii.Decoder(crf)
+    lines = pii.labelled(150, seed=77)
+    got = dict(d([[w for w, _ in x] for x in lines]))
+    right = sum([pii.MARKS[m] for m in got.get(i, [0] * len(x))] == [m for _, m in x] for i, x in enumerate(lines))
+    assert right >= 0.95 * len(lines)
+
+
+def test_find(spark):
+    texts, _ = corpus(120)
+    token = "token = \"" + "9f3a" * 10 + "\""
+    planted = ["call +1 (555) 010-9999 now", f"é {token}### x", "mail jo.do@post2.example.com, thanks", "from 10.0.0.255 to 300.1.1.1", "card 4111 1111 1111 1111 ok"]
+    odd = [None, "", "\n\n", "1" * 20_000, "+" + "1 " * 5_000, "a@" * 2_000, "@@@@", "x" * 30_000]
+    all_ = [*texts, *planted, *odd, *planted]
+    rows = {r["doc_id"]: r for r in pii.find(documents(spark, all_, spans="x", base_spans=1)).collect()}
+    for i, t in enumerate(all_):
+        base = pii._join(plain_spans(t or ""))
+        assert rows[i]["base_spans"] == base
+        assert set(filter(None, base.split(","))) <= set(rows[i]["spans"].split(","))
+    assert all(rows[i]["spans"] == "" for i in range(len(texts)))
+    n = len(texts)
+    secret = rows[n + 1]["spans"].split(":")
+    assert secret[0] == "secret" and all_[n + 1][int(secret[1]) : int(secret[2])] == "9f3a" * 10
+    assert pii.redact(all_[n + 2], rows[n + 2]["spans"]) == "mail <email>, thanks"
+    assert rows[n]["spans"] == rows[n + len(planted) + len(odd)]["spans"]
+    assert pii.find(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_digest(spark, small):
+    rows = pii.op4_pii(spark, small).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in rows:
+        spans = plain_spans(texts[r["doc_id"]] or "")
+        assert r["base_sha256"] == hashlib.sha256(pii._join(spans).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in PLAIN] == [sum(s[1] == i for s in spans) for i in range(4)]
