@@ -180,6 +180,8 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TI
         return compare(by_tile[key[0]], by_tile[key[1]] if key[0] != key[1] else None, turn, threshold)
 
     found = space.save(sent.groupBy("x", "y").applyInPandas(run, "vec_id long, links long, least long"), "found")
+    for done in (placed, blobs):
+        space.drop(done)
     stars = least_members(found.select(F.col("vec_id").alias("a"), F.col("least").alias("b")), space)
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     of_rep = reps.select("h1", "h2", "n", "vec_id").join(links, "vec_id", "left").join(stars.withColumnRenamed("id", "vec_id"), "vec_id", "left")

@@ -45,6 +45,7 @@ class LineRuns:
     def __init__(self, space: Workspace, buckets: int, fanout: int = FANOUT):
         self.space, self.buckets, self.fanout = space, buckets, fanout
         self.levels: list[list[str]] = [[]]
+        self.met: list[DataFrame] = []
 
     def _write(self, keys: DataFrame) -> str:
         name = f"formline_run_{uuid.uuid4().hex}"
@@ -64,6 +65,7 @@ class LineRuns:
             run = spark.table(name).withColumnRenamed("owner", "found")
             met = met.join(run, ["h1", "h2"], "left").withColumn("earlier", F.coalesce("earlier", "found")).drop("found")
         met = self.space.save(met, "met")
+        self.met.append(met)  # the returned rows read it
         self.levels[0].append(self._write(met.where("earlier is null").select("h1", "h2", F.col("least").alias("owner"))))
         self._compact()
         repeated = met.where("earlier is not null or most > least").select("h1", "h2", F.coalesce("earlier", "least").alias("owner"))
@@ -84,8 +86,11 @@ class LineRuns:
             self.space.spark.sql(f"DROP TABLE {name}")
 
     def forget(self) -> None:
-        """Drops the catalog's entries of the runs; their files stay in the shared folder."""
+        """Drops the catalog's entries of the runs, and what batches wrote; the runs' files stay in the shared folder."""
         self._drop(self.runs())
+        for met in self.met:
+            self.space.drop(met)
+        self.met = []
         self.levels = [[]]
 
 
@@ -99,6 +104,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     runs = LineRuns(space, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     gone = [space.save(runs.absorb(lines.where(F.col("batch") == i)), "gone") for i in range(len(set(cuts)) + 1)]
     runs.forget()
+    space.drop(lines)
     return reduce(DataFrame.unionByName, gone).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 

@@ -248,6 +248,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     more = sent.join(sets, "doc_id").groupBy("key", F.lit(0).alias("z"), "x", "y").applyInPandas(_rest(threshold), "a long, b long")
     more = space.save(more, "more")
     least = least_members(stars.select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(more), space) if more.head(1) else stars
+    for done in (members, pairs, sets, edges, more):
+        space.drop(done)
     of_rep = reps.select("h1", "h2", "rep").join(least.withColumnRenamed("id", "rep"), "rep", "left").select("h1", "h2", F.coalesce("least", "rep").alias("class_id"))
     return rows.select("doc_id", "h1", "h2").join(of_rep, ["h1", "h2"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
