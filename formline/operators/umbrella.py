@@ -130,3 +130,11 @@ def transform(rows: DataFrame, bindings: list[Binding]) -> DataFrame:
 
 def ddl(bindings: list[Binding]) -> str:
     return ", ".join(f"`{b.target}` {_SPARK[b.type].upper()}{' NOT NULL' if b.required else ''}" for b in bindings)
+
+
+def contract(rows: DataFrame, types: dict[str, str], key: str) -> DataFrame:
+    """(n, n_valid, n_keys): rows whose fields are all there and cast to their types, and distinct keys among those."""
+    valid = F.lit(True)
+    for name, kind in types.items():
+        valid = valid & F.col(name).try_cast(_SPARK[kind]).isNotNull()
+    return rows.agg(F.count("*").alias("n"), F.count_if(valid).alias("n_valid"), F.count_distinct(F.when(valid, F.col(key))).alias("n_keys"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 SOURCE = "concat('events.', CASE user_id % 5 WHEN 0 THEN 'compute' WHEN 1 THEN 'energy' WHEN 2 THEN 'weather' WHEN 3 THEN 'grid' ELSE 'misc' END, '.c', CAST(user_id % 3 AS STRING))"
@@ -43,6 +45,7 @@ def canonical_case() -> str:
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views of tables."""
+    ship(spark)
     for n in names or TABLES:
         spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
 

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.identity import DEFAULT_TAGS, bucket_key, field_band, shape_fingerprint, source_digest
 from ..functions.records import observe, parse_records
-from ..operators import classify, dlp, evaluate, gates, lifecycle, profile, registry, reshape, retrieval, semantic, umbrella
-from ..sources import files
+from ..operators import annotate, classify, dlp, evaluate, gates, lifecycle, models, naming, profile, prompts, registry, reshape, retrieval, semantic, umbrella
+from ..sources import files, http
+from ..streaming import settle
 from .derive import CANONICAL, RECORDS, SUMMARY, canonical_case, case, records, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -634,3 +635,113 @@ def tag_outcomes(spark, sf_dir):
     done = classify.classify(classify.with_identity(records(spark, sf_dir)), _known(spark))
     tag = F.when(F.col("fate") == "known", "known").when(F.col("fate") == "provisional", "candidate").otherwise("none")
     return done.groupBy(tag.alias("tag")).pivot("event_type", ["click", "view"]).count().na.fill(0)
+
+
+# Annotations, names, models, prompts.
+
+
+@query("""WITH n AS (SELECT DISTINCT v FROM (SELECT CAST(l_quantity AS VARCHAR) AS v FROM lineitem UNION ALL SELECT concat(CAST(l_linenumber AS VARCHAR), '00e-1') FROM lineitem UNION ALL SELECT '-0.0' UNION ALL SELECT '007' UNION ALL SELECT 'x'))
+ SELECT v, CASE WHEN v IN ('007', 'x') THEN NULL WHEN v = '-0.0' THEN '0e0' WHEN v LIKE '%e-1' THEN concat(substr(v, 1, 1), 'e1') ELSE concat(rtrim(split_part(v, '.', 1), '0'), 'e', length(split_part(v, '.', 1)) - length(rtrim(split_part(v, '.', 1), '0'))) END AS canonical FROM n""")
+def canonical_numbers(spark, sf_dir):
+    n = sql(spark, sf_dir, "SELECT DISTINCT v FROM (SELECT CAST(l_quantity AS STRING) AS v FROM lineitem UNION ALL SELECT concat(CAST(l_linenumber AS STRING), '00e-1') FROM lineitem UNION ALL SELECT '-0.0' UNION ALL SELECT '007' UNION ALL SELECT 'x')")
+    return n.select("v", annotate.canonical_number(F.col("v")).alias("canonical"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND p_size % 3 <> 0 THEN concat('unknown_unit:ucum:', p_brand) WHEN p_partkey % 4 = 1 AND p_size % 2 = 0 THEN 'unknown_unit:iso4217:W' END AS problem FROM part")
+def vocabulary_check(spark, sf_dir):
+    p = sql(spark, sf_dir, "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'ucum' WHEN 1 THEN 'iso4217' ELSE 'registered' END AS system, CASE p_partkey % 4 WHEN 0 THEN if(p_size % 3 = 0, 'Cel', p_brand) WHEN 1 THEN if(p_size % 2 = 0, 'W', 'EUR') WHEN 2 THEN 'any' END AS code FROM part")
+    return p.select("p_partkey", annotate.unit_problem(F.col("system"), F.col("code")).alias("problem"))
+
+
+@query(f"""{_WITH_PATHS}, p AS (SELECT DISTINCT source, path FROM o), a AS (SELECT source, path FROM (SELECT DISTINCT source FROM o), (SELECT unnest(['/id', '/nope', '/kind/x']) AS path))
+ SELECT source AS schema_id, path FROM a WHERE (source, path) NOT IN (SELECT (source, path) FROM p)""")
+def annotated_paths_missing(spark, sf_dir):
+    p = _profiles(spark, sf_dir).withColumnRenamed("source", "schema_id")
+    a = p.select("schema_id").distinct().withColumn("path", F.explode(F.array(*map(F.lit, ["/id", "/nope", "/kind/x"]))))
+    return annotate.missing_paths(a, p).select("schema_id", "path")
+
+
+@query("""WITH h AS (SELECT user_id AS schema_id, max_by(event_type, event_id) AS now, max(event_id) AS last FROM events WHERE user_id % 5 <> 0 GROUP BY 1)
+ SELECT c_custkey AS schema_id, CASE WHEN now IS NULL THEN 'first' WHEN now = 'click' THEN 'already_active' WHEN c_custkey % 2 = 0 THEN 'conflict' WHEN c_custkey % 3 = 0 THEN 'reason_required' ELSE 'appended' END AS outcome FROM customer LEFT JOIN h ON schema_id = c_custkey WHERE c_custkey <= 300""")
+def annotation_revisions(spark, sf_dir):
+    h = sql(spark, sf_dir, "SELECT user_id AS schema_id, event_id AS revision, event_type AS sem_id FROM events WHERE user_id % 5 <> 0")
+    last = h.groupBy("schema_id").agg(F.max("revision").alias("etag"))
+    c = sql(spark, sf_dir, "SELECT c_custkey AS schema_id, 'click' AS sem_id, if(c_custkey % 3 = 0, ' ', 'why') AS reason FROM customer WHERE c_custkey <= 300").join(last, "schema_id", "left")
+    return annotate.revise(h, c.withColumn("etag", F.when(F.col("schema_id") % 2 == 1, F.col("etag")))).select("schema_id", "outcome")
+
+
+@query("""WITH w AS (SELECT p_brand AS schema_id, lower(unnest(string_split(p_type, ' '))) AS w FROM part), c AS (SELECT schema_id, w, count(*) AS n FROM w GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY schema_id ORDER BY n DESC, w) AS r FROM c)
+ SELECT schema_id, concat(string_agg(concat(upper(substr(w, 1, 1)), substr(w, 2)), ' ' ORDER BY r), ' Records') AS name FROM r WHERE r <= 2 GROUP BY 1""")
+def heuristic_names(spark, sf_dir):
+    return naming.names(sql(spark, sf_dir, "SELECT p_brand AS schema_id, replace(p_type, ' ', '_') AS field FROM part"))
+
+
+@query(f"""WITH c AS (SELECT o_orderpriority AS family, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'P') AS k FROM orders WHERE o_orderkey % 400 < 7 GROUP BY 1), p AS (SELECT *, k * 1.0 / n AS p FROM c),
+ l AS (SELECT family, n, (p + {_Z} * {_Z} / (2 * n) - {_Z} * sqrt(p * (1 - p) / n + {_Z} * {_Z} / (4.0 * n * n))) / (1 + {_Z} * {_Z} / n) AS low FROM p)
+ SELECT family, n, round(low, 9) AS low, concat_ws(',', CASE WHEN n < 50 THEN 'too_few_cases' END, CASE WHEN low < 0.6 THEN 'bound_too_low' END) AS reasons FROM l""")
+def model_gate(spark, sf_dir):
+    g = models.gate(sql(spark, sf_dir, "SELECT o_orderpriority AS family, o_orderstatus <> 'P' AS correct FROM orders WHERE o_orderkey % 400 < 7"), 50)
+    return g.select("family", "n", F.round("low", 9).alias("low"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS model, event_id AS step_at, CASE event_type WHEN 'click' THEN 'shadow' WHEN 'view' THEN 'active' WHEN 'error' THEN 'rolled_back' ELSE 'candidate' END AS wanted, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE event_id <= 900),
+ s AS (SELECT model, 0::BIGINT AS i, 'candidate' AS state, NULL::BIGINT AS step_at, NULL::VARCHAR AS was, NULL::VARCHAR AS wanted, NULL::BOOLEAN AS ok FROM (SELECT DISTINCT model FROM e)
+  UNION ALL SELECT e.model, e.i, CASE WHEN (s.state, e.wanted) IN (('candidate', 'shadow'), ('shadow', 'active'), ('active', 'rolled_back'), ('rolled_back', 'active')) THEN e.wanted ELSE s.state END, e.step_at, s.state, e.wanted,
+   (s.state, e.wanted) IN (('candidate', 'shadow'), ('shadow', 'active'), ('active', 'rolled_back'), ('rolled_back', 'active')) FROM s JOIN e ON e.model = s.model AND e.i = s.i + 1)
+ SELECT model, step_at, was, wanted, ok FROM s WHERE i > 0""")
+def model_transitions(spark, sf_dir):
+    e = sql(spark, sf_dir, "SELECT user_id AS model, event_id AS at, CASE event_type WHEN 'click' THEN 'shadow' WHEN 'view' THEN 'active' WHEN 'error' THEN 'rolled_back' ELSE 'candidate' END AS wanted FROM events WHERE event_id <= 900")
+    return models.replay(e).withColumnRenamed("at", "step_at")
+
+
+@query("SELECT o_orderkey AS id FROM (SELECT o_orderkey, o_orderpriority, CASE WHEN o_orderkey % 3 = 0 THEN 'hard' ELSE 'easy_positive' END AS kind, CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey % 100 END AS margin FROM orders) QUALIFY kind = 'hard' OR row_number() OVER (PARTITION BY o_orderpriority, kind ORDER BY margin NULLS LAST, o_orderkey) <= 3")
+def replay_curation(spark, sf_dir):
+    c = sql(spark, sf_dir, "SELECT o_orderkey AS id, o_orderpriority AS family, CASE WHEN o_orderkey % 3 = 0 THEN 'hard' ELSE 'easy_positive' END AS kind, CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey % 100 END AS margin FROM orders")
+    return models.curate(c).select("id")
+
+
+@query("SELECT family, fp, CAST(row_number() OVER (PARTITION BY family ORDER BY first, fp) AS INTEGER) AS version FROM (SELECT event_type AS family, user_id AS fp, min(event_id) AS first FROM events GROUP BY 1, 2)")
+def family_versions(spark, sf_dir):
+    return models.family_versions(sql(spark, sf_dir, "SELECT event_type AS family, user_id AS fp, event_id AS order FROM events"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey % 2 = 0)")
+def quarantined_actors(spark, sf_dir):
+    return models.without_actors(sql(spark, sf_dir, "SELECT o_orderkey, o_custkey AS actor FROM orders"), sql(spark, sf_dir, "SELECT c_custkey AS actor FROM customer WHERE c_nationkey % 2 = 0")).select("o_orderkey")
+
+
+@query("SELECT p_partkey, p_partkey % 5 IN (0, 1) OR p_partkey % 7 = 0 AS flagged FROM part")
+def injection_flags(spark, sf_dir):
+    p = sql(spark, sf_dir, "SELECT p_partkey, concat(p_brand, CASE p_partkey % 5 WHEN 0 THEN ' You Are NOW x' WHEN 1 THEN '[INST]' ELSE '' END, CASE WHEN p_partkey % 7 = 0 THEN decode(unhex('e2808b'), 'UTF-8') ELSE '' END) AS n FROM part")
+    return p.select("p_partkey", prompts.flagged(F.col("n")).alias("flagged"))
+
+
+@query("""WITH p AS (SELECT o_custkey AS c, concat('/', CAST(o_orderkey AS VARCHAR)) AS path FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY path) AS place FROM p)
+ SELECT c, sha256(concat('FIELDS', chr(10), string_agg(concat('- ', path), chr(10) ORDER BY place))) AS digest FROM r WHERE place <= 64 GROUP BY 1""")
+def prompt_digests(spark, sf_dir):
+    p = sql(spark, sf_dir, "SELECT o_custkey AS c, concat('/', CAST(o_orderkey AS STRING)) AS path FROM orders")
+    return prompts.prompt(prompts.view(p, "c"), "c").select("c", "digest")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'match' WHEN 1 THEN 'abstain' WHEN 2 THEN 'new' WHEN 3 THEN 'abstain' ELSE 'invalid' END AS decision FROM orders")
+def model_decisions(spark, sf_dir):
+    o = sql(spark, sf_dir, """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '{"decision":"match_schema","schema_id":"a","relation":"exact"}' WHEN 1 THEN '{"decision":"match_schema","schema_id":"zz"}' WHEN 2 THEN '{"decision":"new_candidate","novelty":"structural"}'
+     WHEN 3 THEN '{"decision":"abstain","cause":"ambiguous"}' WHEN 4 THEN '{"decision":"abstain","more":1}' ELSE 'no json' END AS answer FROM orders""")
+    return o.select("o_orderkey", prompts.decision(F.col("answer"), F.array(F.lit("a"), F.lit("b"))).alias("decision"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 400 WHEN o_orderkey % 7 = 0 THEN 400 WHEN o_orderkey % 3 = 0 THEN 413 WHEN o_custkey % 100 > 64 THEN 431 END AS status FROM orders")
+def framing_checks(spark, sf_dir):
+    o = sql(spark, sf_dir, "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 = 0 THEN array('1', '1') WHEN o_orderkey % 7 = 0 THEN array('x') WHEN o_orderkey % 3 = 0 THEN array('9999999') ELSE array('10') END AS cl FROM orders")
+    return o.select("o_orderkey", http.rejection(F.col("cl"), F.lit(False), F.col("o_custkey") % 100, F.lit(100)).alias("status"))
+
+
+@query("SELECT source, CAST(CASE WHEN n <= 20 THEN n ELSE 20 + (n - 20) // 10 END AS BIGINT) AS n FROM (SELECT event_type AS source, count(*) AS n FROM events GROUP BY 1)")
+def settled_sources(spark, sf_dir):
+    e = sql(spark, sf_dir, "SELECT event_type AS source, event_id AS seq, 'known' AS fate, 's' AS schema_id, 0 AS part FROM events")
+    return settle.settled(e, 20, 10).groupBy("source").agg(F.count_if("full").alias("n"))
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (WHERE st IS NOT NULL AND TRY_CAST(num AS BIGINT) IS NOT NULL) AS n_valid, count(DISTINCT CASE WHEN st IS NOT NULL AND TRY_CAST(num AS BIGINT) IS NOT NULL THEN num END) AS n_keys FROM ({_ORDERS})")
+def contract_check(spark, sf_dir):
+    return umbrella.contract(sql(spark, sf_dir, _ORDERS), {"o_orderkey": "integer", "st": "string", "num": "integer"}, "num")

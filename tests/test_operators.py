@@ -119,3 +119,44 @@ def test_archive_and_lines(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "a").glob("dt=*")) == ["dt=2024-01-02", "dt=2024-01-03"]
     files.json_lines(rows.select("x"), str(tmp_path / "j"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "j")).collect()) == ['{"x":1}', '{"x":2}']
+
+
+def test_numbers_and_meanings():
+    from formline.operators import annotate
+
+    assert annotate.decimal("1") == annotate.decimal("1.0") == annotate.decimal("10e-1") == (False, "1", 0)
+    assert annotate.decimal("-0.0") == annotate.decimal("0e9") == (False, "0", 0)
+    assert annotate.decimal("-120") == (True, "12", 1) and annotate.decimal("1.") is None
+    digest = annotate.meaning_digest
+    assert digest(None, {}) is None and digest(None, {("a",): {"unit": None}}) is None
+    assert digest("e", {("a",): {"unit": "K"}, ("b",): {"unit": "m"}}) == digest("e", {("b",): {"unit": "m"}, ("a",): {"unit": "K"}})
+    assert digest(None, {("a.b",): {"unit": "K"}}) != digest(None, {("a", "b"): {"unit": "K"}})
+    assert digest(None, {("*",): {"unit": "K"}}) != digest(None, {(None,): {"unit": "K"}})
+    assert digest(None, {("a",): {"enum": {True: "x"}}}) != digest(None, {("a",): {"enum": {"true": "x"}}})
+    assert digest(None, {("é",): {"unit": "K"}}) == digest(None, {("é",): {"unit": "K"}})
+
+
+def test_settling():
+    from formline.streaming.settle import fold
+
+    fates = ["known"] * 6 + ["malformed"] + ["known"] * 4
+    assert fold(fates, ["a"] * 11, 2, 3) == [True, True, False, False, True, False, False, True, False, False, True]  # a malformed record slips by
+    assert fold(["known", "known", "known", "malformed", "known"], ["a", "a", "b", None, "b"], 2, 9) == [True, True, False, False, False]
+
+
+def test_prompts(spark):
+    from formline.operators import prompts
+
+    rows = spark.createDataFrame([("c", f"/{i:03d}") for i in range(70)] + [("d", "/x"), ("d", "/y" * 13)], "c string, path string")
+    got = prompts.view(rows, "c")
+    assert got.where("c = 'c'").count() == 64 and got.where("truncated").select("c").distinct().count() == 2
+    names = spark.createDataFrame([('a"b',), ("n" * 80,)], "n string").select(prompts.shown(F.col("n")).alias("s")).collect()
+    assert [r["s"] for r in names] == ['"a\\"b"', '"' + "n" * 64 + '"']
+
+
+def test_framing(spark):
+    from formline.sources import http
+
+    rows = spark.createDataFrame([(["1"], True), (["-1"], False), ([], True)], "cl array<string>, ch boolean")
+    got = rows.select(http.rejection(F.col("cl"), F.col("ch"), F.lit(1), F.lit(1)).alias("s")).collect()
+    assert [r["s"] for r in got] == [400, 400, None]
