@@ -160,3 +160,34 @@ def test_framing(spark):
     rows = spark.createDataFrame([(["1"], True), (["-1"], False), ([], True)], "cl array<string>, ch boolean")
     got = rows.select(http.rejection(F.col("cl"), F.col("ch"), F.lit(1), F.lit(1)).alias("s")).collect()
     assert [r["s"] for r in got] == [400, 400, None]
+
+
+def test_catalog(spark):
+    from formline.api import Catalog
+
+    def make(schema, *rows):
+        return spark.createDataFrame(list(rows), schema)
+
+    c = Catalog(
+        schemas=make("schema_id string, family_id string, canonical string, version long, simhash long, source string", ("a", "f", "A", 1, 0, "s"), ("b", "f", "B", 2, 7, "s"), ("z", "g", "Z", 1, -1, "s")),
+        candidates=make("candidate string, source string, samples long, first_seen long, last_seen long, state string", ("c1", "s", 12, 0, 9, "provisional"), ("c2", "s", 3, 5, 8, "rejected")),
+        profiles=make("schema_id string, path string, present long", ("a", "/x", 4), ("b", "/y", 5)),
+        revisions=make("schema_id string, revision long, sem_id string", ("a", 1, "m"), ("a", 2, "n"), ("b", 1, "n")),
+        features=make("schema_id string, feature string, kind string", *[(i, f, "field") for i, f in zip("aabbz", "pqpqr", strict=True)]),
+        names=make("schema_id string, name string, by string, at long", ("a", "Things", "human", 1)),
+        samples=make("candidate string, at long, document string", *[("c1", i, "{}") for i in range(30)]),
+        aliases=make("candidate string, schema_id string", ("c0", "a")),
+        umbrellas=make("umbrella_id string, state string", ("u", "approved")),
+        bindings=make("umbrella_id string, schema_id string, target string, path string", ("u", "a", "t", "/x"), ("u", "b", "t", "/y")),
+    )
+    assert [r["schema_id"] for r in c.list_schemas("a", 1).collect()] == ["b"]
+    assert c.schema("c0").first()["schema_id"] == c.schema("a").first()["schema_id"] == "a"
+    assert c.annotation("a").first()["sem_id"] == "n" and c.annotation_history("a").count() == 2
+    assert {r[0] for r in c.schemas_meaning("n").collect()} == {"a", "b"}
+    assert [r["other"] for r in c.similar_by_structure("a").collect()] == ["b"]
+    assert [r["b"] for r in c.similar_by_meaning("a").collect()] == ["b"]
+    assert {r["family_id"]: r["latest"] for r in c.families().collect()} == {"f": "b", "g": "z"}
+    assert c.list_candidates().count() == 1 and c.candidate_samples("c1").count() == 20
+    assert c.promotion("c1", 10**9).first()["reason"] is None
+    assert c.sources().first()["last_seen"] == 9 and c.list_umbrellas("approved").count() == 1
+    assert len(c.lineage("u").first()["comes_from"]) == 2 and c.name("a").first()["name"] == "Things"
