@@ -148,3 +148,19 @@ def regression_delta(candidate: DataFrame, baseline: DataFrame, metrics: list[st
     """Differences of one-row metric tables."""
     b = baseline.select(*[F.col(m).alias(f"__{m}") for m in metrics])
     return candidate.crossJoin(F.broadcast(b.limit(1))).select(*[(F.col(m) - F.col(f"__{m}")).alias(m) for m in metrics])
+
+
+def sensitivity(runs: DataFrame, base: str, other: str) -> DataFrame:
+    """(n, changed): cases whose decision differs between two runs, such as with the first two candidates swapped; from (run, id, decision)."""
+    a = runs.where(F.col("run") == base).select("id", F.col("decision").alias("a"))
+    b = runs.where(F.col("run") == other).select("id", F.col("decision").alias("b"))
+    return a.join(b, "id").agg(F.count("*").alias("n"), share(~F.col("a").eqNullSafe(F.col("b"))).alias("changed"))
+
+
+def difficult(cases: DataFrame, versions: DataFrame, floor: int) -> DataFrame:
+    """(id, tags) of cases (id, family, fp, observations): several versions, seen too little, gold not in the pool."""
+    many = versions.groupBy("family").agg((F.count("*") > 1).alias("many"))
+    known = versions.select("family", "fp", F.lit(True).alias("known"))
+    joined = cases.join(many, "family", "left").join(known, ["family", "fp"], "left")
+    tags = F.array(F.when(F.col("many"), "multi_version"), F.when(F.col("observations") < floor, "below_floor"), F.when(F.col("known").isNull(), "gold_absent"))
+    return joined.select("id", F.array_compact(tags).alias("tags"))

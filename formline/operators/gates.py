@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MAX_DISTANCE, MIN_MARGIN, MIN_OBSERVATIONS = 0.15, 0.10, 20
@@ -39,3 +40,17 @@ def unseen(cases: DataFrame, seen: DataFrame) -> DataFrame:
     """Cases (candidate, candidate_set) that no earlier sweep classified."""
     keyed = cases.withColumn("set_hash", F.sha2(F.array_join(F.sort_array("candidate_set"), "\0"), 256))
     return keyed.join(seen.select("candidate", "set_hash"), ["candidate", "set_hash"], "left_anti")
+
+
+def top_one(ranked: DataFrame) -> DataFrame:
+    """(query, decision, schema_id): the nearest schema whatever its distance, or a new one if nothing was found."""
+    first = ranked.where("rank = 1").select("query", "schema_id")
+    return ranked.select("query").distinct().join(first, "query", "left").select("query", F.when(F.col("schema_id").isNull(), "new").otherwise("match").alias("decision"), "schema_id")
+
+
+def deterministic(ranked: DataFrame, max_distance: float = MAX_DISTANCE, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """(query, decision): match if near and apart from the second, new if far, else abstain. A single one has room on all sides."""
+    single = F.count("*").over(W.partitionBy("query")) == 1
+    first = ranked.withColumn("__single", single).where("rank = 1")
+    decision = F.when(F.col("distance") > max_distance, "new").when(F.col("__single") | (F.col("margin") >= min_margin), "match").otherwise("abstain")
+    return first.select("query", decision.alias("decision"))

@@ -124,3 +124,28 @@ def name_to_keep(names: DataFrame) -> DataFrame:
     """(schema_id, name, by): a person's name over others, then the latest (schema_id, name, by, at)."""
     rank = F.struct((F.col("by") == "human").alias("h"), F.col("at"), F.col("name"))
     return names.groupBy("schema_id").agg(F.max_by(F.struct("name", "by"), rank).alias("k")).select("schema_id", "k.name", "k.by")
+
+
+def within_novelty(candidates: DataFrame, per_minute: int = 10) -> DataFrame:
+    """Candidates (candidate, source, first_seen in ms) that a source may start: the first few of each minute."""
+    minute = F.floor(F.col("first_seen") / 60_000)
+    order = W.partitionBy("source", minute).orderBy("first_seen", "candidate")
+    return candidates.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_minute).drop("__n")
+
+
+def next_state(state: Column, wanted: Column) -> Column:
+    """The state of a candidate after a request: rejected is final, staging needs a provisional one, unknown ones stay unknown."""
+    return (
+        F.when(state.isNull(), "not_found").when(state == "rejected", "rejected")
+        .when(wanted == "rejected", "rejected").when((wanted == "staged") & (state == "provisional"), "staged").otherwise(state)
+    )
+
+
+def with_source(schemas: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Schemas with a source: their own, or that of the candidate they came from."""
+    known = candidates.select("candidate", F.col("source").alias("__source"))
+    return schemas.join(known, "candidate", "left").withColumn("source", F.coalesce("source", "__source")).drop("__source")
+
+
+def unexpired(rows: DataFrame, at: str, now: Column, days: int = 7) -> DataFrame:
+    return rows.where(now - F.col(at) < days * 86_400_000)

@@ -116,3 +116,23 @@ def collision_strength(has_event: Column, coverage_a: Column, coverage_b: Column
 def active_revisions(revisions: DataFrame) -> DataFrame:
     """The last revision of each schema (schema_id, revision, sem_id, recorded_at)."""
     return revisions.groupBy("schema_id").agg(F.max_by("sem_id", "revision").alias("sem_id"), F.max("revision").alias("revision"), F.count("*").alias("n_revisions"))
+
+#: Canonical fields that say too little to anchor a match.
+GENERIC_FIELDS = ("timestamp", "name", "status", "count", "value")
+MAX_CANDIDATES = 20_000
+
+
+def anchors(signatures: DataFrame, idfs: DataFrame, generic: tuple[str, ...] = GENERIC_FIELDS) -> DataFrame:
+    """(schema_id, anchored): has an event, a namespace, or a field that is not generic and of some weight."""
+    s = signatures.join(idfs, "feature")
+    telling = (F.col("kind") == "field") & ~F.col("feature").isin(*generic) & (F.col("idf") >= 2)
+    return s.groupBy("schema_id").agg(F.bool_or(F.col("kind").isin("event", "idns") | telling).alias("anchored"))
+
+
+def candidates_of(signatures: DataFrame, schema_id, most: int = MAX_CANDIDATES) -> DataFrame:
+    """Schemas that share a feature with one; too many are an error and never cut."""
+    own = signatures.where(F.col("schema_id") == schema_id).select("feature").distinct()
+    found = signatures.join(own, "feature").where(F.col("schema_id") != schema_id).select("schema_id").distinct()
+    if found.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} candidates")
+    return found

@@ -138,3 +138,56 @@ def contract(rows: DataFrame, types: dict[str, str], key: str) -> DataFrame:
     for name, kind in types.items():
         valid = valid & F.col(name).try_cast(_SPARK[kind]).isNotNull()
     return rows.agg(F.count("*").alias("n"), F.count_if(valid).alias("n_valid"), F.count_distinct(F.when(valid, F.col(key))).alias("n_keys"))
+
+
+def umbrella_digest(signature: Column) -> Column:
+    """64-bit FNV-1a of a signature's bytes as 16 hex digits, in decimals of SQL so that products do not overflow."""
+    modulus, prime = "18446744073709551616", "1099511628211"
+    start = F.struct(F.lit("14695981039346656037").cast("decimal(20,0)").alias("h"))
+
+    def step(acc, pair):
+        byte = F.conv(pair, 16, 10).cast("long")
+        low = F.pmod(acc["h"], F.lit(256)).cast("long")
+        mixed = (acc["h"] - low.cast("decimal(20,0)") + low.bitwiseXOR(byte).cast("decimal(20,0)")).cast("decimal(20,0)")
+        # mixed * prime modulo 2^64, by the halves of mixed: the upper one's product only counts in its lower 32 bits.
+        upper, lower = F.floor(mixed / F.lit("4294967296").cast("decimal(10,0)")).cast("decimal(20,0)"), F.pmod(mixed, F.lit("4294967296").cast("decimal(20,0)"))
+        high = F.pmod((upper * F.lit(prime).cast("decimal(13,0)")).cast("decimal(38,0)"), F.lit("4294967296").cast("decimal(38,0)"))
+        total = (high * F.lit("4294967296").cast("decimal(10,0)")).cast("decimal(38,0)") + (lower * F.lit(prime).cast("decimal(13,0)")).cast("decimal(38,0)")
+        return F.struct(F.pmod(total.cast("decimal(38,0)"), F.lit(modulus).cast("decimal(38,0)")).cast("decimal(20,0)").alias("h"))
+
+    pairs = F.filter(F.regexp_extract_all(F.hex(signature.cast("binary")), F.lit("(..)"), F.lit(1)), lambda x: x != "")
+    digits = F.aggregate(pairs, start, step, lambda a: a["h"]).cast("string")
+    return F.lower(F.lpad(F.conv(digits, 10, 16), 16, "0"))
+
+
+def get_path(document: dict, path: str):
+    """What stands at a dotted path of object keys; KeyError if nothing does."""
+    for key in path.split("."):
+        if not isinstance(document, dict):
+            raise KeyError(path)
+        document = document[key]
+    return document
+
+
+def set_path(document: dict, path: str, value) -> None:
+    """Puts a value at a dotted path, making objects on the way; a scalar in the way is an error."""
+    *way, last = path.split(".")
+    for key in way:
+        document = document.setdefault(key, {})
+        if not isinstance(document, dict):
+            raise ValueError(f"{path} goes through a scalar")
+    document[last] = value
+
+
+def replay(rows: DataFrame, bindings: list[Binding]) -> DataFrame:
+    """(n, n_rejected, deterministic) of applying a transform twice to samples."""
+    columns = [b.target for b in bindings]
+    once, twice = (transform(rows, bindings).select(*columns, "rejected") for _ in range(2))
+    hash_of = lambda df: df.agg(F.count("*").alias("n"), F.count("rejected").alias("n_rejected"), F.coalesce(F.bit_xor(F.xxhash64(*columns, "rejected")), F.lit(0)).alias("h"))
+    return hash_of(once).join(F.broadcast(hash_of(twice).select(F.col("h").alias("h2"))), F.lit(True)).select("n", "n_rejected", (F.col("h") == F.col("h2")).alias("deterministic"))
+
+
+def corroborated(members: DataFrame, generic: list[str]) -> DataFrame:
+    """(cfid, corroborated): all members call the field alike, and not by a generic name; from (cfid, name)."""
+    bare = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
+    return members.groupBy("cfid").agg(((F.count_distinct(bare) == 1) & ~F.first(bare).isin(*generic)).alias("corroborated"))

@@ -745,3 +745,57 @@ def settled_sources(spark, sf_dir):
 @query(f"SELECT count(*) AS n, count(*) FILTER (WHERE st IS NOT NULL AND TRY_CAST(num AS BIGINT) IS NOT NULL) AS n_valid, count(DISTINCT CASE WHEN st IS NOT NULL AND TRY_CAST(num AS BIGINT) IS NOT NULL THEN num END) AS n_keys FROM ({_ORDERS})")
 def contract_check(spark, sf_dir):
     return umbrella.contract(sql(spark, sf_dir, _ORDERS), {"o_orderkey": "integer", "st": "string", "num": "integer"}, "num")
+
+
+@query("SELECT user_id AS source, event_id AS candidate FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id * 1000 // 60000 ORDER BY event_id) <= 1")
+def novelty_limit(spark, sf_dir):
+    e = sql(spark, sf_dir, "SELECT user_id AS source, event_id AS candidate, event_id * 1000 AS first_seen FROM events")
+    return lifecycle.within_novelty(e, 1).select("source", "candidate")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'not_found' WHEN o_orderkey % 3 = 0 THEN 'rejected' WHEN o_orderkey % 2 = 0 THEN 'rejected' ELSE 'staged' END AS state FROM orders")
+def candidate_states(spark, sf_dir):
+    o = sql(spark, sf_dir, "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'provisional' ELSE 'staged' END END AS s, if(o_orderkey % 2 = 0, 'rejected', 'staged') AS w FROM orders")
+    return o.select("o_orderkey", lifecycle.next_state(F.col("s"), F.col("w")).alias("state"))
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'own' END, c_name) AS source FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 = 0")
+def schema_sources(spark, sf_dir):
+    o = sql(spark, sf_dir, "SELECT o_orderkey, o_custkey AS candidate, if(o_orderkey % 2 = 0, 'own', null) AS source FROM orders")
+    return lifecycle.with_source(o, sql(spark, sf_dir, "SELECT c_custkey AS candidate, c_name AS source FROM customer WHERE c_custkey % 3 = 0")).select("o_orderkey", "source")
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (WHERE TRY_CAST(num AS BIGINT) IS NULL) AS n_rejected, true AS deterministic FROM ({_ORDERS})")
+def transform_replay(spark, sf_dir):
+    return umbrella.replay(sql(spark, sf_dir, _ORDERS), _BINDINGS)
+
+
+@query("SELECT concat('c', n_regionkey) AS cfid, count(DISTINCT lower(substr(n_name, 1, 1))) = 1 AND lower(any_value(substr(n_name, 1, 1))) <> 'v' AS corroborated FROM nation WHERE n_nationkey % 4 = 1 GROUP BY 1")
+def name_corroboration(spark, sf_dir):
+    return umbrella.corroborated(sql(spark, sf_dir, "SELECT concat('c', n_regionkey) AS cfid, substr(n_name, 1, 1) AS name FROM nation WHERE n_nationkey % 4 = 1"), ["v"])
+
+
+@query(f"""WITH b AS (SELECT * FROM ({_SCORED}) QUALIFY row_number() OVER (PARTITION BY query, family_id ORDER BY distance, version, schema_id) = 1),
+ r AS (SELECT query, distance, row_number() OVER w AS rank, lead(distance) OVER w AS nxt FROM b WINDOW w AS (PARTITION BY query ORDER BY distance, family_id))
+ SELECT query, CASE WHEN distance > 0.15 THEN 'new' WHEN nxt IS NULL OR nxt - distance >= 0.1 THEN 'match' ELSE 'abstain' END AS decision FROM r WHERE rank = 1""")
+def deterministic_arm(spark, sf_dir):
+    return gates.deterministic(retrieval.rank(sql(spark, sf_dir, _SCORED), 3))
+
+
+@query(f"WITH {_IDF} SELECT schema_id, bool_or(kind = 'event' OR (kind = 'field' AND idf >= 2)) AS anchored FROM s JOIN i ON s.feature = i.feature GROUP BY 1")
+def semantic_anchors(spark, sf_dir):
+    s = _signatures(spark, sf_dir)
+    return semantic.anchors(s, semantic.idf(s))
+
+
+@query("SELECT count(*) AS n, round(count(*) FILTER (WHERE o_orderkey % 3 <> o_custkey % 3) * 1.0 / count(*), 9) AS changed FROM orders")
+def order_sensitivity(spark, sf_dir):
+    r = sql(spark, sf_dir, "SELECT 'a' AS run, o_orderkey AS id, o_orderkey % 3 AS decision FROM orders UNION ALL SELECT 'b', o_orderkey, o_custkey % 3 FROM orders")
+    return evaluate.sensitivity(r, "a", "b").withColumn("changed", F.round("changed", 9))
+
+
+@query("""WITH v AS (SELECT DISTINCT event_type AS family, user_id % 6 AS fp FROM events WHERE user_id % 6 < 4)
+ SELECT event_id AS id, concat_ws(',', 'multi_version', CASE WHEN event_id % 50 < 20 THEN 'below_floor' END, CASE WHEN user_id % 6 >= 4 THEN 'gold_absent' END) AS tags FROM events""")
+def difficult_cases(spark, sf_dir):
+    e = sql(spark, sf_dir, "SELECT event_id AS id, event_type AS family, user_id % 6 AS fp, event_id % 50 AS observations FROM events")
+    return evaluate.difficult(e, e.where("fp < 4").select("family", "fp").distinct(), 20).select("id", F.array_join("tags", ",").alias("tags"))

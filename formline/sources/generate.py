@@ -27,3 +27,9 @@ def records(spark: SparkSession, n: int, families: int = 16, seed: int = 0, chur
     kind = F.pmod(F.xxhash64(F.lit(seed), F.lit("kind"), "id"), F.lit(3))
     bad = F.when(kind == 0, F.replace(good, F.lit('{"id":'), F.lit('{"id":0,"id":'))).when(kind == 1, F.regexp_replace(good, r'"created_at":\d+', '"created_at":NaN')).otherwise(F.substring(good, F.lit(1), F.floor(F.length(good) * 2 / 3).cast("int")))
     return rows.select("id", "family", F.when(_share(seed, "malformed") < malformed, bad).otherwise(good).alias("value"))
+
+
+def round_robin(spark: SparkSession, documents: list[str], n: int) -> DataFrame:
+    """(id, fixture, value): n records that go round a few documents."""
+    fixtures = spark.createDataFrame(list(enumerate(documents)), "fixture long, value string")
+    return spark.range(n).withColumn("fixture", F.col("id") % len(documents)).join(F.broadcast(fixtures), "fixture").select("id", "fixture", "value")

@@ -191,3 +191,38 @@ def test_catalog(spark):
     assert c.promotion("c1", 10**9).first()["reason"] is None
     assert c.sources().first()["last_seen"] == 9 and c.list_umbrellas("approved").count() == 1
     assert len(c.lineage("u").first()["comes_from"]) == 2 and c.name("a").first()["name"] == "Things"
+
+
+def test_umbrella_digest_and_paths(spark):
+    def fnv(data):
+        h = 14695981039346656037
+        for b in data:
+            h = (h ^ b) * 1099511628211 % 2**64
+        return f"{h:016x}"
+
+    texts = ["", "a", "price=decimal\x1ftime=string", "é" * 20]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", umbrella.umbrella_digest(F.col("t")).alias("d")).collect()
+    assert {r["t"]: r["d"] for r in rows} == {t: fnv(t.encode()) for t in texts}
+    doc = {"a": {"b": 1}}
+    umbrella.set_path(doc, "a.c.d", 2)
+    assert umbrella.get_path(doc, "a.c") == {"d": 2}
+    for bad in (lambda: umbrella.set_path(doc, "a.b.x", 1), lambda: umbrella.get_path(doc, "a.b.x")):
+        try:
+            bad()
+        except (KeyError, ValueError):
+            continue
+        raise AssertionError
+
+
+def test_candidates_are_never_cut(spark):
+    rows = spark.createDataFrame([(i, "f") for i in range(6)], "schema_id int, feature string")
+    assert semantic.candidates_of(rows, 0).count() == 5
+    try:
+        semantic.candidates_of(rows, 0, most=4)
+    except ValueError:
+        return
+    raise AssertionError
+
+
+def test_round_robin(spark):
+    assert generate.round_robin(spark, ["{}", "[]"], 5).where("fixture = 0").count() == 3
