@@ -32,10 +32,10 @@ from .components import least_members
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Registers: a prime, so that a shingle's order of registers is a line modulo it. BANDS * ROWS of them are banded.
-REGISTERS = 97
-BANDS, ROWS = 24, 4
+REGISTERS = 223
+BANDS, ROWS = 36, 6
 #: Members of a block where a bucket holds several classes.
-BLOCK = 128
+BLOCK = 256
 MEMO_WORDS = 300_000
 
 _U = np.uint64
@@ -163,7 +163,12 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
-    """The larger of the Jaccard and the probability Jaccard similarity of two weighted sets (sorted codes, counts)."""
+    """The larger of the Jaccard and the probability Jaccard similarity of two weighted sets (sorted codes, counts).
+
+    0 may stand for less than ``THRESHOLD``, where sizes alone tell.
+    """
+    if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)) and na.max() == 1 and nb.max() == 1:
+        return 0.0
     both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     union = len(a) + len(b) - len(both)
     if not len(both):
