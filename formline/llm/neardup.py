@@ -1,7 +1,7 @@
 """Near-duplicate documents by ProbMinHash over weighted word shingles.
 
 A document is its shingles of ``SHINGLE`` lower-cased words (all its words, if fewer), each weighted
-by 1 + ln(count). Every shingle is a Poisson process of arrivals at the sketch's registers, faster
+by 1 + ln(count) / 8. Every shingle is a Poisson process of arrivals at the sketch's registers, faster
 for larger weights; a register keeps the first shingle to arrive, so two documents agree on a
 register with their probability Jaccard. Arrivals after the latest first arrival of all registers
 cannot matter, and a shingle stops there. Sketches are banded; documents with the same words are one
@@ -86,7 +86,8 @@ def shingled(hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def weights(counts: np.ndarray) -> np.ndarray:
-    return 1 + np.log(counts)
+    """Damped, so that documents whose sets are alike stay alike with weights, and meet in a band."""
+    return 1 + np.log(counts) / 8
 
 
 def sketch(doc: np.ndarray, code: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:

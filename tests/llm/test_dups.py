@@ -55,7 +55,7 @@ def similar(a, b):
     both = a.keys() & b.keys()
     if not both:
         return 0.0
-    x, y = ({k: 1 + np.log(v) for k, v in d.items()} for d in (a, b))
+    x, y = ({k: 1 + np.log(v) / 8 for k, v in d.items()} for d in (a, b))
     union = a.keys() | b.keys()
     weighted = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in union) for i in both)
     return max(len(both) / len(union), weighted)
