@@ -148,8 +148,15 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, h1 long, h2 long, keys array<long>")
 
 
+def packed(code: np.ndarray, count: np.ndarray) -> tuple[bytes, bytes]:
+    """A document's sorted shingles as bytes: 32 bits of each, of which two unlike ones agree once in 4e9, and no counts if all are one."""
+    short, at = np.unique((code >> _U(32)).astype(np.uint32), return_inverse=True)
+    total = np.bincount(at, count, len(short)).astype(np.int32)
+    return short.tobytes(), b"" if not len(total) or total.max() == 1 else total.tobytes()
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, codes, counts): the distinct shingles of each whole text, sorted, as bytes."""
+    """(doc_id, codes, counts): the distinct shingles of each whole text, packed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher()
@@ -157,25 +164,25 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
             words = _words(pdf)
             doc, code, count = shingled(hasher(words), np.array([len(w) for w in words], dtype=np.int64))
             ends = np.searchsorted(doc, np.arange(len(words) + 1))
-            parts = [(code[a:b].tobytes(), count[a:b].astype(np.int32).tobytes()) for a, b in zip(ends, ends[1:], strict=False)]
+            parts = [packed(code[a:b], count[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "codes": [x for x, _ in parts], "counts": [x for _, x in parts]})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, codes binary, counts binary")
 
 
-def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
+def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, threshold: float = THRESHOLD) -> float:
     """The larger of the Jaccard and the probability Jaccard similarity of two weighted sets (sorted codes, counts).
 
-    0 may stand for less than ``THRESHOLD``, where sizes alone tell.
+    0 may stand for less than ``threshold``, where sizes alone tell.
     """
-    if min(len(a), len(b)) < THRESHOLD * max(len(a), len(b)) and na.max() == 1 and nb.max() == 1:
+    if min(len(a), len(b)) < threshold * max(len(a), len(b)) and na.max() == 1 and nb.max() == 1:
         return 0.0
     both, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     union = len(a) + len(b) - len(both)
     if not len(both):
         return 0.0
     plain = len(both) / union
-    if plain >= THRESHOLD or na.max() == 1 and nb.max() == 1:
+    if plain >= threshold or na.max() == 1 and nb.max() == 1:
         return plain
     x, y = weights(na), weights(nb)
     # For each shared shingle, the sum of max(x_j / x_i, y_j / y_i): by order of x_j / y_j the larger side is known.
@@ -189,7 +196,8 @@ def similarity(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) ->
 
 
 def _set(codes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(codes, np.uint64), np.frombuffer(counts, np.int32)
+    short = np.frombuffer(codes, np.uint32)
+    return short, np.frombuffer(counts, np.int32) if counts else np.ones(len(short), dtype=np.int32)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -199,7 +207,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ok = [similarity(*_set(r.a_codes, r.a_counts), *_set(r.b_codes, r.b_counts)) >= threshold for r in pdf.itertuples()]
+            ok = [similarity(*_set(r.a_codes, r.a_counts), *_set(r.b_codes, r.b_counts), threshold) >= threshold for r in pdf.itertuples()]
             yield pdf.loc[np.array(ok, dtype=bool), ["a", "b"]]
 
     return joined.mapInPandas(run, "a long, b long")
@@ -215,7 +223,7 @@ def _rest(threshold: float):
         for i in range(len(ids)):
             for j in range(i + 1, len(ids)):
                 # Members of one block meet in the pair that the block makes with itself.
-                if cls[i] != cls[j] and (key[2] == key[3] or block[i] != block[j]) and similarity(*sets[i], *sets[j]) >= threshold:
+                if cls[i] != cls[j] and (key[2] == key[3] or block[i] != block[j]) and similarity(*sets[i], *sets[j], threshold) >= threshold:
                     found.append((ids[i], ids[j]))
                     cls[cls == cls[j]] = cls[i]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
