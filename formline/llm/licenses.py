@@ -1,11 +1,13 @@
-"""Licence scans by a positional index of rare tokens.
+"""Licence scans by the places of licence words.
 
-Templates are indexed by word and place. The inverse document frequency of every template word is
-counted over all documents. For each file the ``ANCHORS`` rarest licence words that it holds are
-looked up; each occurrence at p and posting at q vote for template and shift p - q; alignments with
-votes for half of the file's anchors in that template are checked word by word, and a template's
-label is given only if one of its mandatory key phrases stands in the file where the alignment puts
-it. The score is the best share of a template's idf that an accepted alignment covers.
+The inverse document frequency of every template word is counted over all documents. An alignment of
+a template puts its word q at place q + shift of the file, and covers the idf of the words that stand
+there. For every template whose words in the file could cover the share ``COVERED``, the words that
+the file holds least often propose shifts p - q, as many words as it takes that the others fall short
+of the share: so every alignment that covers it is proposed, however many notices a file holds.
+Proposed alignments are checked word by word, and a template's label is given only if one of its
+mandatory key phrases stands in the file where the alignment puts it. The score is the best share of a
+template's idf that an accepted alignment covers.
 
 Null and empty texts have no words, no places and empty labels. Ties between templates give both
 labels. Rows are scanned one by one; repeated rows agree. An empty table gives an empty one. Other
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
@@ -59,10 +61,10 @@ TEMPLATES = [
     ("reserved", "All rights reserved", ["all rights reserved"]),
 ]
 
-#: Rarest licence words of a file that are looked up.
-ANCHORS = 12
 #: Share of a template's idf that an alignment must cover.
 COVERED = 0.6
+#: Sums in another order may differ by this much; they only propose.
+SLACK = 1e-9
 
 
 def split(text: str) -> list[str]:
@@ -70,7 +72,7 @@ def split(text: str) -> list[str]:
 
 
 class Index:
-    """Postings of template words, with their idf."""
+    """Templates by word, with the idf of their words."""
 
     def __init__(self, templates: list[tuple[str, str, list[str]]], idf: dict[str, float]):
         self.idf = idf
@@ -78,15 +80,23 @@ class Index:
         self.words = [split(t[1]) for t in templates]
         self.keys = [[p.split() for p in t[2]] for t in templates]
         self.weight = [sum(idf[w] for w in ws) for ws in self.words]
-        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for t, ws in enumerate(self.words):
-            for q, w in enumerate(ws):
-                self.postings[w].append((t, q))
         self.base = [(p.split(), label) for p, label in BASE.items()]
         #: By word: the templates that hold it and what it adds to their covered idf.
-        self.adds = {w: [(t, idf[w] * n) for t, n in Counter(t for t, _ in ps).items()] for w, ps in self.postings.items()}
-        heads = {p[0] for p, _ in self.base} | set(self.postings)
-        self.heads = frozenset(heads)
+        self.adds: dict[str, list[tuple[int, float]]] = {}
+        for t, ws in enumerate(self.words):
+            for w, n in Counter(ws).items():
+                self.adds.setdefault(w, []).append((t, idf[w] * n))
+        self.heads = frozenset({p[0] for p, _ in self.base} | set(self.adds))
+
+    def shifts(self, t: int, at: dict[str, list[int]]) -> set[int]:
+        """Where template t may be aligned; among them every alignment that covers the share."""
+        left_out, out = 0.0, set()
+        for q, w in sorted(enumerate(self.words[t]), key=lambda x: -len(at.get(x[1], ()))):
+            if left_out + self.idf[w] < COVERED * self.weight[t] - SLACK:
+                left_out += self.idf[w]
+            else:
+                out.update(p - q for p in at.get(w, ()))
+        return out
 
     def scan(self, words: list[str]) -> tuple[int, int | None, int | None, set[str], set[str], float]:
         """Base places, the first and last of them, base labels, all labels, score."""
@@ -104,24 +114,12 @@ class Index:
                     base.add(label)
         labels, best = set(base), 0.0
         # A template whose words in this file, wherever they stand, fall short of the share has no alignment.
-        bound: dict[int, float] = defaultdict(float)
+        bound: Counter[int] = Counter()
         for w in at:
             for t, x in self.adds.get(w, ()):
                 bound[t] += x
-        open_ = {t for t, x in bound.items() if x >= COVERED * self.weight[t]}
-        votes: Counter[tuple[int, int]] = Counter()
-        present: Counter[int] = Counter()
-        anchors = sorted((w for w in at if any(t in open_ for t, _ in self.adds.get(w, ()))), key=lambda w: (-self.idf[w], w))[:ANCHORS] if open_ else []
-        for w in anchors:
-            for t in open_.intersection(t for t, _ in self.adds[w]):
-                present[t] += 1
-            for t, q in self.postings[w]:
-                if t in open_:
-                    for p in at[w]:
-                        votes[t, p - q] += 1
-        for (t, shift), n in votes.items():
-            if 2 * n < present[t] or n < min(2, len(self.words[t])):
-                continue
+        open_ = [t for t, x in bound.items() if x >= COVERED * self.weight[t] - SLACK]
+        for t, shift in ((t, shift) for t in open_ for shift in self.shifts(t, at)):
             got = sum(self.idf[w] for q, w in enumerate(self.words[t]) if 0 <= q + shift < len(words) and words[q + shift] == w)
             share = got / self.weight[t] if self.weight[t] else 0.0
             if share < COVERED or self.labels[t] in labels and share <= best:

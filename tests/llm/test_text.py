@@ -92,6 +92,43 @@ def test_licenses(spark):
     assert licenses.scan(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def aligned(index, words):
+    """Labels and score of all alignments at all shifts, by definition."""
+    labels, best = set(), 0.0
+    for t, ws in enumerate(index.words):
+        for shift in range(1 - len(ws), len(words)):
+            share = sum(index.idf[w] for q, w in enumerate(ws) if 0 <= q + shift < len(words) and words[q + shift] == w) / index.weight[t]
+            span = words[max(0, shift) : max(0, shift) + len(ws) + 4]
+            if share >= licenses.COVERED and any(span[i : i + len(k)] == k for k in index.keys[t] for i in range(len(span))):
+                labels.add(index.labels[t])
+                best = max(best, share)
+    return labels, best
+
+
+def test_several_notices(spark):
+    """Every notice of a file counts, whatever other notices and scattered licence words it holds."""
+    rng = random.Random(7)
+    prose, _ = corpus(300)
+    notices = [t[1] for t in licenses.TEMPLATES]
+    scattered = [w for n in notices for w in n.split()]
+    picks = [(a, b) for a in range(len(notices)) for b in range(len(notices)) if a != b] + [tuple(range(len(notices)))] + [tuple(rng.sample(range(len(notices)), 5)) for _ in range(40)]
+    texts = [". ".join(x for i in pick for x in (notices[i], rng.choice(prose))) for pick in picks]
+    texts += [" ".join(rng.sample(scattered, len(scattered))) + " " + n for n in notices] + [" ".join(rng.choice(scattered) for _ in range(200)) for _ in range(20)]
+    docs = documents(spark, texts + prose)
+    rows = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    total, df = licenses.document_frequency(docs)
+    index = licenses.Index(licenses.TEMPLATES, {w: np.log((1 + total) / (1 + n)) + 0.05 for w, n in df.items()})
+    for i, pick in enumerate(picks):
+        assert {licenses.TEMPLATES[j][0] for j in pick} <= set(rows[i]["labels"].split(",")), texts[i]
+    for i, n in enumerate(licenses.TEMPLATES):
+        assert n[0] in rows[len(picks) + i]["labels"].split(","), n[0]
+    for i in range(len(picks) - 41, len(texts)):
+        labels, score = aligned(index, licenses.split(texts[i]))
+        base = set(filter(None, rows[i]["base_labels"].split(",")))
+        assert set(filter(None, rows[i]["labels"].split(","))) == labels | base
+        assert abs(rows[i]["score"] - min(1, max(score, licenses.COVERED if base else 0))) < 1e-9
+
+
 def toxic_corpus(n=500):
     rng = random.Random(6)
     stems = ["scumb", "vlorp", "krazt"]
