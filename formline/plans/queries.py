@@ -272,8 +272,16 @@ def name_tokens(spark, sf_dir):
  SELECT a.k AS a, b.k AS b, round(CASE WHEN len(list_distinct(list_concat(a.t, b.t))) = 0 THEN 0 ELSE 1 - len(list_intersect(a.t, b.t)) * 1.0 / len(list_distinct(list_concat(a.t, b.t))) END, 6) AS names,
  round(abs(a.s - b.s) * 1.0 / greatest(a.s, b.s, 1), 6) AS depth FROM p a JOIN p b ON a.s = b.s + 1""")
 def name_token_jaccard(spark, sf_dir):
-    p = sql(spark, sf_dir, "SELECT p_partkey AS k, p_type, p_size AS s FROM part WHERE p_partkey <= 60").withColumn("t", retrieval.name_tokens(F.col("p_type")))
-    a, b = p.alias("a"), p.alias("b")
+    p = _typed_parts(spark, sf_dir).where("k <= 60")
+    return _token_distances(p, p)
+
+
+def _typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sql(spark, sf_dir, "SELECT p_partkey AS k, p_type, p_size AS s FROM part").withColumn("t", retrieval.name_tokens(F.col("p_type")))
+
+
+def _token_distances(a: DataFrame, b: DataFrame) -> DataFrame:
+    a, b = a.alias("a"), b.alias("b")
     pairs = a.join(b, F.col("a.s") == F.col("b.s") + 1)
     names, depth = retrieval.jaccard_distance(F.col("a.t"), F.col("b.t")), retrieval.depth_distance(F.col("a.s"), F.col("b.s"))
     return pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(names, 6).alias("names"), F.round(depth, 6).alias("depth"))
@@ -306,8 +314,12 @@ def hamming_neighbors(spark, sf_dir):
  qb AS (SELECT DISTINCT query, CASE WHEN n + x <= 0 THEN 0 WHEN n + x = 1 THEN 1 WHEN n + x <= 2 THEN 2 WHEN n + x <= 4 THEN 4 WHEN n + x <= 8 THEN 8 ELSE 16 END AS band, d FROM q)
  SELECT query, k FROM qb JOIN f ON qb.band = f.band AND f.d BETWEEN greatest(qb.d - 1, 0) AND qb.d + 1""")
 def band_depth_candidates(spark, sf_dir):
+    return _band_depth(spark, sf_dir, "k <= 40")
+
+
+def _band_depth(spark: SparkSession, sf_dir: str, searched: str) -> DataFrame:
     f = sql(spark, sf_dir, "SELECT p_partkey AS k, CAST(p_size % 12 AS BIGINT) AS n_fields, p_size % 5 AS depth FROM part").withColumn("band", field_band(F.col("n_fields")))
-    return retrieval.candidates(f.where("k <= 40"), f, "k")
+    return retrieval.candidates(f.where(searched), f, "k")
 
 
 @query("""WITH t AS (SELECT l_orderkey AS o, l_linenumber AS path, list_sort(list_distinct(list(l_returnflag))) AS ty FROM lineitem WHERE l_orderkey <= 400 GROUP BY 1, 2),
@@ -315,7 +327,11 @@ def band_depth_candidates(spark, sf_dir):
  SELECT coalesce(l.a, r.a) AS a, coalesce(l.b, r.b) AS b, round(avg(CASE WHEN l.ty IS NULL OR r.ty IS NULL THEN 1.0 ELSE 1 - len(list_intersect(l.ty, r.ty)) * 1.0 / len(list_distinct(list_concat(l.ty, r.ty))) END), 6) AS path_type
  FROM l FULL JOIN r ON l.a = r.a AND l.b = r.b AND l.path = r.path GROUP BY 1, 2""")
 def path_type_distances(spark, sf_dir):
-    t = sql(spark, sf_dir, "SELECT l_orderkey AS o, l_linenumber AS path, collect_set(l_returnflag) AS types FROM lineitem WHERE l_orderkey <= 400 GROUP BY 1, 2")
+    return _path_types(spark, sf_dir, "l_orderkey <= 400")
+
+
+def _path_types(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
+    t = sql(spark, sf_dir, f"SELECT l_orderkey AS o, l_linenumber AS path, collect_set(l_returnflag) AS types FROM lineitem WHERE {rows} GROUP BY 1, 2")
     have = t.select("o").distinct()
     pairs = have.select(F.col("o").alias("a"), (F.col("o") + 1).alias("b")).join(have.select(F.col("o").alias("b")), "b")
     return retrieval.path_type_distance(pairs, t, "a", "b", "o").withColumn("path_type", F.round("path_type", 6))
@@ -326,8 +342,8 @@ def path_type_distances(spark, sf_dir):
 _FEATURES = "SELECT l_suppkey AS schema_id, concat(l_returnflag, CAST(l_linenumber AS STRING)) AS feature, CASE l_linenumber % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'field' ELSE 'unit' END AS kind FROM lineitem WHERE l_partkey % 50 = l_suppkey % 50"
 
 
-def _signatures(spark, sf_dir):
-    return semantic.signature(sql(spark, sf_dir, _FEATURES))
+def _signatures(spark, sf_dir, features=_FEATURES):
+    return semantic.signature(sql(spark, sf_dir, features))
 
 
 _IDF = f"""s AS (SELECT schema_id, feature, kind, least(count(*), 4) AS c FROM ({_FEATURES}) GROUP BY 1, 2, 3), n AS (SELECT count(DISTINCT schema_id) AS n FROM s),
@@ -353,7 +369,10 @@ def signature_weighted_jaccard(spark, sf_dir):
 
 @query(f"WITH {_WEIGHTED} SELECT a, b, CAST(row_number() OVER (PARTITION BY a ORDER BY CASE WHEN num * 2 >= den THEN 3 ELSE 1 END DESC, CAST(num AS DECIMAL(38, 18)) / den DESC, num DESC, b) AS INTEGER) AS rank FROM j QUALIFY rank <= 5")
 def semantic_neighbors(spark, sf_dir):
-    s = _signatures(spark, sf_dir)
+    return _nearest(_signatures(spark, sf_dir))
+
+
+def _nearest(s: DataFrame) -> DataFrame:
     pairs = semantic.similarities(s, semantic.idf(s)).withColumn("strength", F.when(F.col("num") * 2 >= F.col("den"), "strong").otherwise("weak")).withColumn("anchors", F.col("num"))
     return semantic.neighbours(pairs, 5).select("a", "b", "rank")
 
@@ -388,7 +407,11 @@ def active_revisions(spark, sf_dir):
  b AS (SELECT coalesce(x.k, y.k) AS k, x.ty AS a, y.tz AS b FROM (SELECT k, path, min(ty) AS ty FROM t WHERE path <> 3 GROUP BY 1, 2) x FULL JOIN (SELECT k, path, CASE WHEN min(tz) = 'O' THEN 'N' ELSE 'R' END AS tz FROM t WHERE path <> 5 GROUP BY 1, 2) y ON x.k = y.k AND x.path = y.path)
  SELECT k, CASE WHEN NOT bool_or(a IS NOT NULL AND b IS NOT NULL AND a <> b) THEN 'compatible' WHEN bool_and(a IS NOT NULL AND b IS NOT NULL) THEN 'identical_paths_changed_types' ELSE 'incompatible' END AS relation FROM b GROUP BY 1""")
 def semantic_drift_relations(spark, sf_dir):
-    t = sql(spark, sf_dir, "SELECT l_orderkey AS k, l_linenumber AS path, l_returnflag AS ty, l_linestatus AS tz FROM lineitem WHERE l_orderkey <= 1000")
+    return _drift(spark, sf_dir, "l_orderkey <= 1000")
+
+
+def _drift(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
+    t = sql(spark, sf_dir, f"SELECT l_orderkey AS k, l_linenumber AS path, l_returnflag AS ty, l_linestatus AS tz FROM lineitem WHERE {rows}")
     a = t.where("path <> 3").groupBy("k", "path").agg(F.min("ty").alias("types"))
     b = t.where("path <> 5").groupBy("k", "path").agg(F.expr("if(min(tz) = 'O', 'N', 'R')").alias("types"))
     return semantic.structural_relation(a, b, "k")
@@ -419,7 +442,11 @@ _FIELDS = "SELECT l_suppkey AS schema_id, concat('c', CAST(l_linenumber AS STRIN
 @query(f"""WITH s AS (SELECT schema_id, array_to_string(list_sort(list_distinct(list(concat(cfid, '=', type)))), '|') AS signature FROM ({_FIELDS}) GROUP BY 1)
  SELECT signature, array_to_string(list_sort(list(schema_id)), ',') AS members, count(*) AS n FROM s GROUP BY 1 HAVING count(*) >= 2""")
 def umbrella_groups(spark, sf_dir):
-    g = umbrella.groups(sql(spark, sf_dir, _FIELDS))
+    return _grouped(spark, sf_dir, _FIELDS)
+
+
+def _grouped(spark: SparkSession, sf_dir: str, fields: str) -> DataFrame:
+    g = umbrella.groups(sql(spark, sf_dir, fields))
     return g.select("signature", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "n")
 
 
@@ -479,7 +506,11 @@ def sensitive_names(spark, sf_dir):
 
 @query("SELECT event_id, concat('{\"id\":', CAST(event_id AS VARCHAR), ',\"password\":\"[REDACTED_FIELD]\",\"note\":\"', CASE WHEN event_id % 3 = 0 THEN '[REDACTED_PII]' ELSE event_type END, '\"}') AS document, CAST(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS findings FROM events WHERE event_id <= 2000")
 def redacted_records(spark, sf_dir):
-    rows = sql(spark, sf_dir, "SELECT event_id, concat('{\"id\":', CAST(event_id AS STRING), ',\"password\":\"x\",\"note\":\"', CASE WHEN event_id % 3 = 0 THEN 'to a.b@mail.example.com' ELSE event_type END, '\"}') AS doc FROM events WHERE event_id <= 2000")
+    return _redacted(spark, sf_dir, "event_id <= 2000")
+
+
+def _redacted(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
+    rows = sql(spark, sf_dir, "SELECT event_id, concat('{\"id\":', CAST(event_id AS STRING), ',\"password\":\"x\",\"note\":\"', CASE WHEN event_id % 3 = 0 THEN 'to a.b@mail.example.com' ELSE event_type END, '\"}') AS doc FROM events").where(rows)
     return rows.withColumn("r", dlp.redacted(F.col("doc"))).select("event_id", "r.document", "r.findings")
 
 
@@ -664,9 +695,13 @@ def annotated_paths_missing(spark, sf_dir):
 @query("""WITH h AS (SELECT user_id AS schema_id, max_by(event_type, event_id) AS now, max(event_id) AS last FROM events WHERE user_id % 5 <> 0 GROUP BY 1)
  SELECT c_custkey AS schema_id, CASE WHEN now IS NULL THEN 'first' WHEN now = 'click' THEN 'already_active' WHEN c_custkey % 2 = 0 THEN 'conflict' WHEN c_custkey % 3 = 0 THEN 'reason_required' ELSE 'appended' END AS outcome FROM customer LEFT JOIN h ON schema_id = c_custkey WHERE c_custkey <= 300""")
 def annotation_revisions(spark, sf_dir):
+    return _revised(spark, sf_dir, "c_custkey <= 300")
+
+
+def _revised(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
     h = sql(spark, sf_dir, "SELECT user_id AS schema_id, event_id AS revision, event_type AS sem_id FROM events WHERE user_id % 5 <> 0")
     last = h.groupBy("schema_id").agg(F.max("revision").alias("etag"))
-    c = sql(spark, sf_dir, "SELECT c_custkey AS schema_id, 'click' AS sem_id, if(c_custkey % 3 = 0, ' ', 'why') AS reason FROM customer WHERE c_custkey <= 300").join(last, "schema_id", "left")
+    c = sql(spark, sf_dir, f"SELECT c_custkey AS schema_id, 'click' AS sem_id, if(c_custkey % 3 = 0, ' ', 'why') AS reason FROM customer WHERE {rows}").join(last, "schema_id", "left")
     return annotate.revise(h, c.withColumn("etag", F.when(F.col("schema_id") % 2 == 1, F.col("etag")))).select("schema_id", "outcome")
 
 
@@ -680,7 +715,11 @@ def heuristic_names(spark, sf_dir):
  l AS (SELECT family, n, (p + {_Z} * {_Z} / (2 * n) - {_Z} * sqrt(p * (1 - p) / n + {_Z} * {_Z} / (4.0 * n * n))) / (1 + {_Z} * {_Z} / n) AS low FROM p)
  SELECT family, n, round(low, 9) AS low, concat_ws(',', CASE WHEN n < 50 THEN 'too_few_cases' END, CASE WHEN low < 0.6 THEN 'bound_too_low' END) AS reasons FROM l""")
 def model_gate(spark, sf_dir):
-    g = models.gate(sql(spark, sf_dir, "SELECT o_orderpriority AS family, o_orderstatus <> 'P' AS correct FROM orders WHERE o_orderkey % 400 < 7"), 50)
+    return _gated(spark, sf_dir, "o_orderkey % 400 < 7")
+
+
+def _gated(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
+    g = models.gate(sql(spark, sf_dir, f"SELECT o_orderpriority AS family, o_orderstatus <> 'P' AS correct FROM orders WHERE {rows}"), 50)
     return g.select("family", "n", F.round("low", 9).alias("low"), F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -690,7 +729,11 @@ def model_gate(spark, sf_dir):
    (s.state, e.wanted) IN (('candidate', 'shadow'), ('shadow', 'active'), ('active', 'rolled_back'), ('rolled_back', 'active')) FROM s JOIN e ON e.model = s.model AND e.i = s.i + 1)
  SELECT model, step_at, was, wanted, ok FROM s WHERE i > 0""")
 def model_transitions(spark, sf_dir):
-    e = sql(spark, sf_dir, "SELECT user_id AS model, event_id AS at, CASE event_type WHEN 'click' THEN 'shadow' WHEN 'view' THEN 'active' WHEN 'error' THEN 'rolled_back' ELSE 'candidate' END AS wanted FROM events WHERE event_id <= 900")
+    return _transitions(spark, sf_dir, "event_id <= 900")
+
+
+def _transitions(spark: SparkSession, sf_dir: str, rows: str = "true") -> DataFrame:
+    e = sql(spark, sf_dir, f"SELECT user_id AS model, event_id AS at, CASE event_type WHEN 'click' THEN 'shadow' WHEN 'view' THEN 'active' WHEN 'error' THEN 'rolled_back' ELSE 'candidate' END AS wanted FROM events WHERE {rows}")
     return models.replay(e).withColumnRenamed("at", "step_at")
 
 
@@ -799,3 +842,91 @@ def order_sensitivity(spark, sf_dir):
 def difficult_cases(spark, sf_dir):
     e = sql(spark, sf_dir, "SELECT event_id AS id, event_type AS family, user_id % 6 AS fp, event_id % 50 AS observations FROM events")
     return evaluate.difficult(e, e.where("fp < 4").select("family", "fp").distinct(), 20).select("id", F.array_join("tags", ",").alias("tags"))
+
+
+# Over whole tables. The queries of the same names without _all, and their SQL, take a part of the rows.
+
+
+def _over_all(name: str, *cuts: tuple[str, str]) -> str:
+    """The SQL of a query with the filters of its rows replaced."""
+    text = ORACLE_SQL[name]
+    for cut, instead in cuts:
+        if cut not in text:
+            raise ValueError(f"{name} has no {cut}")
+        text = text.replace(cut, instead)
+    return text
+
+
+#: All of lineitem, by parts: with the features above, every supplier would hold every feature, and none would weigh.
+_FEATURES_ALL = "SELECT l_suppkey AS schema_id, concat(l_returnflag, CAST(l_partkey AS STRING)) AS feature, CASE l_partkey % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'field' ELSE 'unit' END AS kind FROM lineitem"
+_FIELDS_ALL = "SELECT l_orderkey AS schema_id, concat('c', CAST(l_linenumber AS STRING)) AS cfid, CASE WHEN l_linenumber % 2 = 0 THEN 'decimal' ELSE 'integer' END AS type FROM lineitem"
+
+
+@query(_over_all("redacted_records", (" WHERE event_id <= 2000", "")))
+def redacted_records_all(spark, sf_dir):
+    return _redacted(spark, sf_dir)
+
+
+@query(_over_all("semantic_drift_relations", (" WHERE l_orderkey <= 1000", "")))
+def semantic_drift_relations_all(spark, sf_dir):
+    return _drift(spark, sf_dir)
+
+
+@query(_over_all("path_type_distances", (" WHERE l_orderkey <= 400", "")))
+def path_type_distances_all(spark, sf_dir):
+    return _path_types(spark, sf_dir)
+
+
+@query(_over_all("band_depth_candidates", ("k <= 40", "k % 50 = 0")))
+def band_depth_candidates_all(spark, sf_dir):
+    """A search: ids divisible by 50 against all parts."""
+    return _band_depth(spark, sf_dir, "k % 50 = 0")
+
+
+@query(_over_all("name_token_jaccard", (" WHERE p_partkey <= 60", ""), ("a.s = b.s + 1", "a.s = b.s + 1 AND a.k % 50 = 0")))
+def name_token_jaccard_all(spark, sf_dir):
+    """A search: ids divisible by 50 against all parts."""
+    p = _typed_parts(spark, sf_dir)
+    return _token_distances(p.where("k % 50 = 0"), p)
+
+
+@query(_over_all("model_transitions", (" WHERE event_id <= 900", "")))
+def model_transitions_all(spark, sf_dir):
+    return _transitions(spark, sf_dir)
+
+
+@query(_over_all("annotation_revisions", (" WHERE c_custkey <= 300", "")))
+def annotation_revisions_all(spark, sf_dir):
+    return _revised(spark, sf_dir)
+
+
+@query(_over_all("model_gate", (" WHERE o_orderkey % 400 < 7", "")))
+def model_gate_all(spark, sf_dir):
+    return _gated(spark, sf_dir)
+
+
+@query(_over_all("umbrella_groups", (_FIELDS, _FIELDS_ALL)))
+def umbrella_groups_all(spark, sf_dir):
+    return _grouped(spark, sf_dir, _FIELDS_ALL)
+
+
+@query(_over_all("idf_multiplier", (_FEATURES, _FEATURES_ALL)))
+def idf_multiplier_all(spark, sf_dir):
+    return semantic.idf(_signatures(spark, sf_dir, _FEATURES_ALL))
+
+
+@query(_over_all("signature_weighted_jaccard", (_FEATURES, _FEATURES_ALL)))
+def signature_weighted_jaccard_all(spark, sf_dir):
+    s = _signatures(spark, sf_dir, _FEATURES_ALL)
+    return semantic.similarities(s, semantic.idf(s)).withColumn("score", semantic.ratio_text(F.col("num"), F.col("den")))
+
+
+@query(_over_all("semantic_neighbors", (_FEATURES, _FEATURES_ALL)))
+def semantic_neighbors_all(spark, sf_dir):
+    return _nearest(_signatures(spark, sf_dir, _FEATURES_ALL))
+
+
+@query(_over_all("semantic_anchors", (_FEATURES, _FEATURES_ALL)))
+def semantic_anchors_all(spark, sf_dir):
+    s = _signatures(spark, sf_dir, _FEATURES_ALL)
+    return semantic.anchors(s, semantic.idf(s))

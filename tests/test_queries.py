@@ -20,3 +20,21 @@ def test_query(spark, small, name):
         check(df, small, ORACLE_SQL[name])
     else:
         assert df.count() >= 0
+
+
+@pytest.mark.parametrize("name", ["redacted_records", "semantic_drift_relations", "path_type_distances", "band_depth_candidates", "name_token_jaccard", "model_transitions", "annotation_revisions", "model_gate", "umbrella_groups", "idf_multiplier", "signature_weighted_jaccard", "semantic_neighbors", "semantic_anchors"])
+def test_whole_tables(spark, name):
+    """Beside a query of a part of the rows stands one of all rows, on tables beyond every filter."""
+    at = "/root/testdata/sf0.01"
+    check(QUERIES[f"{name}_all"](spark, at), at, ORACLE_SQL[f"{name}_all"])
+
+
+def test_whole_tables_have_all_rows(spark):
+    at = "/root/testdata/sf0.01"
+    rows = lambda t, c: spark.read.parquet(f"{at}/{t}.parquet").select(c).distinct().count()
+    seen = lambda name, c: QUERIES[name](spark, at).select(c).distinct().count()
+    assert seen("redacted_records_all", "event_id") == rows("events", "event_id") > 2001
+    assert seen("model_transitions_all", "step_at") == rows("events", "event_id") > 901
+    assert seen("annotation_revisions_all", "schema_id") == rows("customer", "c_custkey") > 301
+    assert seen("semantic_anchors_all", "schema_id") == rows("lineitem", "l_suppkey")
+    assert QUERIES["model_gate_all"](spark, at).agg({"n": "sum"}).first()[0] == rows("orders", "o_orderkey")
