@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in stages that are each written and read again.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept: quality rules drop
-documents, line dedup edits texts and drops those left without a word, near-dedup keeps one document of each group, mixing repeats
-documents by their rates (which are at least one, so none is lost), and packing returns pieces of
+documents, line dedup edits texts and drops those left without a word, near-dedup keeps one row of each group (the
+least ``doc_id``, null last; then the least hash of the text; then the first row), mixing repeats documents by their rates (which are at least one, so none is lost), and packing returns pieces of
 sequences. Nulls, empty tables and repeated rows are as the operators' modules say.
 """
 
@@ -42,8 +42,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    gone = neardup.classes(docs.select("doc_id", "text")).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").head(1):
+        gone = neardup.classes(docs.select("doc_id", "text")).where("class_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # Ids do not name rows here: rows are numbered, and written so that their numbers stay.
+    rows = Workspace(spark, "near-dedup").save(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("all")), "rows")
+    of = neardup.classes(rows.select(F.col("row").alias("doc_id"), F.col("all.text").alias("text"))).withColumnRenamed("doc_id", "row")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash", "row")
+    named = rows.select("row", F.col("all.doc_id").alias("doc_id"), F.sha2("all.text", 256).alias("hash")).join(of, "row")
+    kept = named.groupBy("class_id").agg(F.min(place)["row"].alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*[F.col("all")[c].alias(c) for c in docs.columns])
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

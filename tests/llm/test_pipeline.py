@@ -65,6 +65,20 @@ def test_near_dedup(spark, docs):
     assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    """One row of each group stays, and no text goes because another shares its id."""
+    texts, _ = corpus(12, seed=5)
+    texts = [" ".join(t.split() * 2 + [f"end{i}"]) for i, t in enumerate(texts)]
+    a, b, c, d, e, f, g = texts[:7]
+    near = a + " more"
+    rows = [(7, a), (7, a), (3, near), (None, b), (None, b), (5, c), (None, c), (7, d), (None, e), (9, f), (9, g), (2, f), (7, a)]
+    docs = spark.createDataFrame([(i, t, "en", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, row int").repartition(3)
+    out = STAGES["near_dedup"](spark, docs, "")
+    assert out.columns == docs.columns and out.exceptAll(docs).count() == 0
+    kept = sorted(((r["doc_id"] or -1, r["text"]) for r in out.collect()))
+    assert kept == sorted([(3, near), (-1, b), (5, c), (7, d), (-1, e), (2, f), (9, g)])
+
+
 def test_mixing(spark, docs):
     out = STAGES["mixing"](spark, docs, "")
     assert out.columns == docs.columns and set(texts_of(out)) == set(texts_of(docs))
