@@ -10,14 +10,15 @@ can reach the threshold are carried on; those are decided in the input's own dou
 tiles returns link counts and a spanning forest of its links, never the links themselves, so a
 group of near copies costs rows in proportion to its size for each pair of tiles. Components are the least ids over the forests.
 
-Null vectors, vectors with null or non-finite components and zero vectors link with nothing, as do
-vectors of another length than the table's most common one. Rows that repeat a ``vec_id`` count as rows and
+Null vectors, vectors with null or non-finite components and zero vectors link with nothing. Vectors of
+different lengths do not link; each length is compared by itself. Rows that repeat a ``vec_id`` count as rows and
 share its component. An empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -138,11 +139,20 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TI
     spark = vectors.sparkSession
     space = Workspace(spark, "embdedup")
     good = usable(vectors).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(7), "v"))
-    size = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    if size is None:
+    sizes = [r["d"] for r in good.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+    if not sizes:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")).limit(0)
-    dims = int(size["d"])
-    good = good.where(F.size("v") == dims)
+    each = [_linked(good.where(F.size("v") == d), d, space, threshold, tile_rows) for d in sizes]
+    if len(each) == 1:
+        return each[0]
+    # An id may have vectors of several lengths; its components are one.
+    every = space.save(reduce(DataFrame.unionByName, [x.distinct() for x in each]), "lengths")
+    least = least_members(every.select(F.col("vec_id").alias("a"), F.col("component_id").alias("b")), space)
+    return every.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("c")).join(least.withColumnRenamed("id", "vec_id"), "vec_id", "left").select("vec_id", "n_links", F.coalesce("least", "c").alias("component_id"))
+
+
+def _linked(good: DataFrame, dims: int, space: Workspace, threshold: float, tile_rows: int) -> DataFrame:
+    """The same for usable vectors of one length, hashed."""
     reps = space.save(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("v").alias("v")), "reps")
     turn = axes(reps, dims, total := reps.count())
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK

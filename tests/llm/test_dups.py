@@ -165,6 +165,22 @@ def test_embeddings(spark, monkeypatch, tile_rows):
     assert got == {i: (n[i], comp[i], comp[i] == i) for i in comp}
 
 
+def test_embeddings_of_mixed_lengths(spark):
+    """Each length is compared by itself, and an id with vectors of two lengths joins their components."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for d, n in ((3, 2), (8, 5), (5, 4), (1, 3)):
+        v = rng.normal(size=d)
+        rows += [(len(rows) + i, (abs(v) * (i + 1)).tolist()) for i in range(n)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embdedup.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    expected = {}
+    for ids in (range(0, 2), range(2, 7), range(7, 11), range(11, 14)):
+        expected |= {i: (len(ids) - 1, ids[0], i == ids[0]) for i in ids}
+    assert got == expected
+    both = spark.createDataFrame([*rows, (9, rows[3][1])], "vec_id long, embedding array<double>")
+    assert {r["component_id"] for r in embdedup.classes(both).where("vec_id between 2 and 10").collect()} == {2}
+
+
 def test_embeddings_edges(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.01])], "vec_id long, embedding array<double>")
     assert {(r["vec_id"], r["component_id"]) for r in embdedup.classes(rows).collect()} == {(0, 0), (1, 0)}
