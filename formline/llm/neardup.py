@@ -3,7 +3,9 @@
 A document is its shingles of ``SHINGLE`` lower-cased words (all its words, if fewer), each weighted
 by 1 + ln(count) / 8. Every shingle is a Poisson process of arrivals at the sketch's registers, faster
 for larger weights; a register keeps the first shingle to arrive, so two documents agree on a
-register with their probability Jaccard. Arrivals after the latest first arrival of all registers
+register with their probability Jaccard. Documents with repeated shingles are sketched once more
+without weights, since documents whose sets are alike may be less so by weight, and agree there with
+their plain Jaccard. Arrivals after the latest first arrival of all registers
 cannot matter, and a shingle stops there. Sketches are banded; documents with the same words are one
 representative before that. In each band's bucket all members are compared with the least one, and
 the classes that come of it resolve almost every bucket, however many copies it holds. Buckets that
@@ -124,6 +126,18 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def band_keys(doc: np.ndarray, code: np.ndarray, count: np.ndarray, n_docs: int) -> list[np.ndarray]:
+    """Each document's distinct keys, by weights and, where they are not all one, by the set alone."""
+    keys = list(bands(sketch(doc, code, weights(count), n_docs)))
+    again = np.unique(doc[count > 1])
+    if len(again):
+        of = np.isin(doc, again)
+        plain = bands(sketch(np.searchsorted(again, doc[of]), code[of], np.ones(of.sum()), len(again)))
+        for i, more in zip(again, plain, strict=True):
+            keys[i] = np.union1d(keys[i], more)
+    return keys
+
+
 def _words(pdf: pd.DataFrame) -> list[list[str]]:
     return [t.lower().split() for t in pdf["text"]]
 
@@ -137,7 +151,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             words = _words(pdf)
             sizes = np.array([len(w) for w in words], dtype=np.int64)
             doc, code, count = shingled(hasher(words), sizes)
-            keys = bands(sketch(doc, code, weights(count), len(words)))
+            keys = band_keys(doc, code, count, len(words))
             whole = [xxhash.xxh3_128(" ".join(w).encode("utf-8", "surrogatepass")).intdigest() if w else None for w in words]
             low, high = ([None if x is None else ((x >> s) & (2**64 - 1)) - 2**63 for x in whole] for s in (0, 64))
             yield pd.DataFrame({

@@ -132,6 +132,20 @@ def test_sketches_estimate_the_probability_jaccard():
     assert abs(np.mean(agree) - exact) < 0.02
 
 
+def test_sets_alike_with_unlike_repeats_meet_in_a_band():
+    """A plain Jaccard of 0.8 meets in a band, also where weights make it 0.69."""
+    rng = np.random.default_rng(9)
+    n, shared, own = 1_500, 80, 10
+    codes = rng.integers(1, 2**63, (n, shared + 2 * own)).astype(np.uint64)
+    doc = np.repeat(np.arange(n), shared + own)
+    count = np.tile(np.r_[np.ones(shared, dtype=np.int64), np.full(own, 500)], n)
+    a, b = codes[:, : shared + own], np.concatenate([codes[:, :shared], codes[:, shared + own :]], axis=1)
+    apart = [not np.isin(x, y).any() for x, y in zip(*(neardup.band_keys(doc, c.ravel(), count, n) for c in (a, b)), strict=True)]
+    weighted = [neardup.bands(neardup.sketch(doc, c.ravel(), neardup.weights(count), n)) for c in (a, b)]
+    assert (~(weighted[0] == weighted[1]).any(axis=1)).sum() > 5  # by weights alone
+    assert sum(apart) == 0
+
+
 def vectors():
     rng = np.random.default_rng(3)
     base = rng.normal(size=(90, 12))
