@@ -2,7 +2,7 @@
 
 The kernel of two texts blends, over n of 1 to 3, the shared share of their letter n-grams:
 |G_n(x) & G_n(y)| / sqrt(|G_n(x)| |G_n(y)|), presence and not counts, over the n-grams that some
-landmark has. A bounded sample of labelled rows is learned from: ``PER_LANGUAGE`` rows of each
+landmark has. Every letter of a landmark counts as itself. A bounded sample of labelled rows is learned from: ``PER_LANGUAGE`` rows of each
 language, by a hash of ``doc_id``, texts of up to ``MAX_CHARS`` characters. Scoring reads whole
 texts in blocks: a block's presence matrix times the landmarks' gives the kernel, and that times
 the regression's weights gives a score per language.
@@ -30,7 +30,8 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 250
 LANDMARKS = 24
 MAX_CHARS = 20_000
-ALPHABET = 160
+#: Codes of n-grams are looked up in a table of up to so many, else by search.
+TABLE = 1 << 22
 RIDGE = 1e-2
 BLOCK = 128
 LETTER = re.compile(r"[^\W\d_]")
@@ -40,15 +41,16 @@ LETTER = re.compile(r"[^\W\d_]")
 class Model:
     languages: list[str]
     letters: np.ndarray  # letter class of each code point, 0: no letter
-    grams: list[np.ndarray]  # by order: place of an n-gram code among the landmarks' n-grams, or -1
+    grams: list[np.ndarray]  # by order: the sorted codes of the landmarks' n-grams
+    tables: list[np.ndarray | None]  # by order: place of a code among them, or -1; none where that would be large
     landmarks: list[np.ndarray]  # by order: n-grams x landmarks, presence
     weights: np.ndarray  # landmarks x languages
     base: int
 
     def kernel(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.landmarks[0].shape[1]))
-        for places, marks, (rows, codes) in zip(self.grams, self.landmarks, _codes(texts, self.letters, self.base), strict=True):
-            at = places[codes]
+        for grams, places, marks, (rows, codes) in zip(self.grams, self.tables, self.landmarks, _codes(texts, self.letters, self.base), strict=True):
+            at = _places(grams, codes) if places is None else places[codes]
             known = at >= 0
             seen = np.zeros((len(texts), marks.shape[0]), dtype=np.float32)
             seen[rows[known], at[known]] = 1
@@ -60,13 +62,20 @@ class Model:
         return np.round(self.kernel(texts) @ self.weights, 9)
 
 
+def _places(grams: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    if not len(grams):
+        return np.full(len(codes), -1)
+    at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+    return np.where(grams[at] == codes, at, -1)
+
+
 def _codes(texts: list[str], letters: np.ndarray, base: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order, (text, code) of every n-gram that starts inside a text; what is no letter counts as a space."""
     low = [t.lower() + "  " for t in texts]
     sizes = np.array([len(t) for t in low], dtype=np.int64)
-    chars = letters[np.minimum(np.frombuffer("".join(low).encode("utf-32-le", "replace"), dtype=np.uint32), len(letters) - 1)].astype(np.int32)
+    chars = letters[np.minimum(np.frombuffer("".join(low).encode("utf-32-le", "replace"), dtype=np.uint32), len(letters) - 1)].astype(kind := np.int32 if base ** len(ORDERS) < 2**31 else np.int64)
     rows = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    code = np.zeros(len(chars), dtype=np.int32)
+    code = np.zeros(len(chars), dtype=kind)
     for n in ORDERS:
         code = code[: len(chars) - n + 1] * base + chars[n - 1 :]
         # A gram of spaces alone says nothing, and the first letter must lie inside the text.
@@ -88,23 +97,27 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
         for c in set(t.lower()):
             if LETTER.match(c):
                 seen[c] = seen.get(c, 0) + 1
-    letters = np.zeros(0x110001, dtype=np.uint8)
-    for i, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c))[: ALPHABET - 2]):
+    base = len(seen) + 2
+    letters = np.zeros(0x110001, dtype=np.min_scalar_type(base))
+    for i, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c))):
         letters[ord(c)] = i + 2
     # Letters that no landmark has are one class of their own, up to the plane that holds most scripts.
     for c in range(0x20000):
         if not letters[c] and LETTER.match(chr(c)):
             letters[c] = 1
-    base, grams, planes = ALPHABET, [], []
+    grams, tables, planes = [], [], []
     for n, (rows, codes) in zip(ORDERS, _codes(marks, letters, base), strict=True):
         known = np.unique(codes)
-        places = np.full(base**n, -1, dtype=np.int32)
-        places[known] = np.arange(len(known), dtype=np.int32)
+        places = None
+        if base**n <= TABLE:
+            places = np.full(base**n, -1, dtype=np.int32)
+            places[known] = np.arange(len(known), dtype=np.int32)
         plane = np.zeros((len(known), len(marks)), dtype=np.float32)
-        plane[places[codes], rows] = 1
-        grams.append(places)
+        plane[_places(known, codes), rows] = 1
+        grams.append(known)
+        tables.append(places)
         planes.append(plane)
-    model = Model(languages, letters, grams, planes, np.zeros((len(marks), len(languages))), base)
+    model = Model(languages, letters, grams, tables, planes, np.zeros((len(marks), len(languages))), base)
     k_nm = np.concatenate([model.kernel(texts[i : i + BLOCK]) for i in range(0, len(texts), BLOCK)]).astype(float)
     values, vectors = np.linalg.eigh(model.kernel(marks).astype(float))
     keep = values > 1e-6 * values.max()

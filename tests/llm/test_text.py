@@ -50,6 +50,20 @@ def test_kernel_is_that_of_sets_of_letters():
         assert np.allclose(m.kernel([t])[0], expected, atol=1e-4)
 
 
+def test_languages_of_many_letters():
+    """Each letter of the landmarks counts, also where they have more than any small alphabet."""
+    rng = random.Random(12)
+    pools = {x: [chr(0x4E00 + 3 * i + k) for i in range(400)] for k, x in enumerate("abc")}
+    # The commonest letters are shared; what tells the languages apart are the many others.
+    common = [chr(0x6E00 + i) for i in range(180)]
+    made = lambda x: "".join(rng.choice(common) if rng.random() < 0.8 else rng.choice(pools[x]) for _ in range(200))
+    langs = [rng.choice("abc") for _ in range(400)]
+    texts = [made(x) for x in langs]
+    m = langid.fit(texts[:250], langs[:250])
+    assert m.base > 1000 and len({int(m.letters[ord(c)]) for t in texts[:20] for c in t}) > 500
+    assert np.mean([m.languages[i] == x for i, x in zip(m.scores(texts[250:]).argmax(axis=1), langs[250:], strict=True)]) > 0.97
+
+
 def test_no_labels(spark):
     docs = documents(spark, ["abc", None])
     rows = langid.predict(docs, langid.fit(*langid.sample(docs))).collect()
