@@ -63,17 +63,12 @@ def summary(profiles: DataFrame, *by: str) -> DataFrame:
     return profiles.groupBy(*by).agg(F.count_if(top).alias("n_fields"), (F.max(steps) + 1).alias("depth"), F.sort_array(F.collect_list(F.when(top, F.substring("path", 2, 1 << 30)))).alias("keys"))
 
 
-#: Paths of one profile that are assembled into a document; records with unbounded keys go beyond.
-MAX_PATHS = 20_000
-
-
-def generalized(profiles: DataFrame, documents: DataFrame, by: str, tags: IdentityTags = DEFAULT_TAGS, max_paths: int = MAX_PATHS) -> DataFrame:
-    """(by, canonical, fingerprint, simhash) of each profile; ``documents`` has (by, n). A profile beyond ``max_paths`` has nulls."""
+def generalized(profiles: DataFrame, documents: DataFrame, by: str, tags: IdentityTags = DEFAULT_TAGS) -> DataFrame:
+    """(by, canonical, fingerprint, simhash) of each profile; ``documents`` has (by, n). A canonical form is one value, and its paths meet in one task."""
     import hashlib
 
     ship(profiles.sparkSession)
-    few = profiles.groupBy(by).agg(F.count("*").alias("n_paths")).join(documents, by)
-    rows = profiles.join(few.where(F.col("n_paths") <= max_paths), by).select(by, "path", "n", *TYPES)
+    rows = profiles.join(documents, by).select(by, "path", "n", *TYPES)
 
     def assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         paths = {p: tuple(map(int, c)) for p, c in zip(pdf["path"], pdf[list(TYPES)].to_numpy(), strict=True)}

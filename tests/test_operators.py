@@ -31,6 +31,18 @@ def test_optional_variants_converge(spark):
     assert json.loads(nested)["children"]["k/~"]["optional"]
 
 
+def test_profiles_of_many_paths_have_a_canonical_form(spark):
+    """Records with unbounded keys, beyond 20,000 paths, beside a small profile."""
+    keys = [f"k{i:05d}" for i in range(20_500)]
+    docs = [(1, json.dumps(dict.fromkeys(keys[i : i + 100], 1))) for i in range(0, len(keys), 100)] + [(2, '{"a":1}')]
+    p = profile.profile(observe(spark.createDataFrame(docs, "g int, value string"), "g"), "g")
+    n = p.where("path = ''").select("g", F.col("present").alias("n"))
+    got = {r["g"]: r for r in profile.generalized(p, n, "g").collect()}
+    children = ",".join(f'"{k}":{{"optional":true,"types":["number"]}}' for k in keys)
+    assert got[1]["canonical"] == f'{{"optional":false,"types":["object"],"children":{{{children}}}}}' and len(got[1]["fingerprint"]) == 64
+    assert got[2]["canonical"] and len(got) == 2
+
+
 def test_merge_is_a_monoid(spark):
     docs = ['{"a":1,"b":[1,-2]}', '{"a":null}', '{"a":-0.5,"c":{"d":true}}', '{"b":[]}', '{"a":1e9}']
     whole = {tuple(r) for r in profiles_of(spark, docs).drop("g").collect()}
