@@ -167,13 +167,10 @@ def digests(doc: np.ndarray, code: np.ndarray, count: np.ndarray, n_docs: int) -
     return [x.tobytes() for x in np.concatenate([first, second], axis=1)]
 
 
-def agreeing(a: np.ndarray, b: np.ndarray, agree: int = AGREE) -> np.ndarray:
-    """Which pairs of rows of two matrices of digests agree on enough registers, either way."""
-    out = np.zeros((len(a), len(b)), dtype=bool)
-    for i in range(len(a)):
-        same = a[i] == b
-        out[i] = np.maximum(same[:, :REGISTERS].sum(axis=1), same[:, REGISTERS:].sum(axis=1)) >= agree
-    return out
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Registers that digests agree on, by weights or by the set, whichever are more; rows meet as in a == b."""
+    first = (a[..., :REGISTERS] == b[..., :REGISTERS]).sum(axis=-1)
+    return np.maximum(first, (a[..., REGISTERS:] == b[..., REGISTERS:]).sum(axis=-1))
 
 
 def _words(pdf: pd.DataFrame) -> list[list[str]]:
@@ -275,8 +272,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                same = _matrix(pdf["a_digest"]) == _matrix(pdf["b_digest"])
-                yield pdf.loc[np.maximum(same[:, :REGISTERS].sum(axis=1), same[:, REGISTERS:].sum(axis=1)) >= AGREE, ["a", "b"]]
+                yield pdf.loc[agreement(_matrix(pdf["a_digest"]), _matrix(pdf["b_digest"])) >= AGREE, ["a", "b"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -293,11 +289,14 @@ def _apart(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
     digest, cls, first = _matrix(pdf["digest"]), pdf["class_id"].to_numpy(), pdf["first"].to_numpy()
     second = pdf["second"].to_numpy()
     right = np.flatnonzero(second)
+    # Where no shingle repeats, both halves are one, and one comparison is enough.
+    if np.array_equal(digest[:, :REGISTERS], digest[:, REGISTERS:]):
+        digest = digest[:, :REGISTERS]
     for i in np.flatnonzero(first):
         # Members of one block meet in the pair that the block makes with itself.
         j = right[(cls[right] != cls[i]) & ((right > i) if second[i] else True)]
         if len(j):
-            j = j[agreeing(digest[i : i + 1], digest[j])[0]]
+            j = j[agreement(digest[i], digest[j]) >= AGREE]
             if len(j):
                 yield i, j
 
