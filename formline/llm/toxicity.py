@@ -1,15 +1,18 @@
 """Toxicity: subword-bag embeddings, averaged into a linear softmax.
 
 A word is the bag of its character n-grams, so that misspellings and unseen endings share vectors
-with words that were learned. The vectors of a window's n-grams are averaged into a two-class linear
-softmax, and a text scores as its most toxic window, so a long text hides nothing. Windows are of
-``SPAN`` words; one did best on held-out rows. Vectors and classifier are trained jointly in numpy on a bounded sample of labelled rows
-(``PER_CLASS`` of each label by a hash of ``doc_id``, texts up to ``MAX_CHARS`` characters); the
-gradient of a text flows through its most toxic window. Vectors start at their n-grams' log odds.
-
-Null, empty and wordless texts score as a window without words. If one label is missing from the
-sample, the score is that of no evidence, 0. Rows are scored one by one; repeated rows agree. An
-empty table gives an empty one. Other columns are not read.
+with words that were learned. The embedding of a text is the average of its distinct words' bags, each
+word weighted by exp(``SHARPNESS`` x its log odds), so that few words in a long text still count and
+all words take part; a two-class linear softmax judges it. Vectors and softmax are trained jointly in
+numpy on a bounded sample of labelled rows (``PER_CLASS`` of each label by a hash of ``doc_id``,
+texts up to ``MAX_CHARS`` characters). Vectors start at their n-grams' log odds. A logistic
+regression of a quarter of the sample, kept from the training, sets the level of scores by the
+average and by the logarithm of the number of distinct words, so that scores do not drift with length.
+
+Null, empty and wordless texts score as an average of 0 over no words. If one label is missing from
+the sample, the score is that of no evidence, 0. A very long text is averaged whole, in one task. Rows are scored one by one; repeated rows agree, ties in the sample go by
+hash and then ``doc_id``. A ``doc_id`` with both labels gives both to its text. An empty table gives
+an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,17 +32,23 @@ from .common import bounded, not_held_out, table
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 DIM = 8
-SPAN = 1
+#: How much more the toxic words of a text weigh in its average; at 0 all weigh alike.
+SHARPNESS = 2.0
 #: Imagined texts of the rarer label that hold a bucket.
 PRIOR = 3.0
 PER_CLASS = {1: 1000, 0: 1500}
 MAX_CHARS = 12_000
-ROUNDS = 24
+ROUNDS = 12
 CUT = 0.7
 WORD = re.compile(r"[^\W\d_]+")
 MEMO_WORDS = 300_000
 
 
+def words_of(text: str) -> list[str]:
+    """The distinct words, as they come."""
+    return list(dict.fromkeys(WORD.findall(text.lower())))
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of every character n-gram of ``<word>``, and of the whole word."""
     sizes = np.array([len(w) + 2 for w in words], dtype=np.int64)
@@ -70,38 +79,28 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     #: What a bucket's vector adds to the log odds; the softmax is linear, so the vectors fold into it.
     odds: np.ndarray
-    bias: float
-    slope: float = 1.0
+    #: Of the average, of the logarithm of the number of words, and the intercept.
+    levels: tuple[float, float, float]
 
     def words(self, words: list[str]) -> np.ndarray:
         """Mean log odds of each word's bag."""
         w, b = subwords(words)
         return np.bincount(w, self.odds[b], len(words)) / np.maximum(np.bincount(w, minlength=len(words)), 1)
 
-    def score(self, peak: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * peak + self.bias, -40, 40)))
+    def score(self, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of texts whose words' log odds lie end to end."""
+        slope, length, start = self.levels
+        mean = np.bincount(np.repeat(np.arange(len(sizes)), sizes), attention(values, sizes) * values, len(sizes))
+        return 1 / (1 + np.exp(-np.clip(slope * mean + length * np.log1p(sizes) + start, -40, 40)))
 
 
-def peaks(values: np.ndarray, sizes: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the largest mean over ``span`` words in a row and where that window starts; 0 and -1 without words."""
-    out, at = np.zeros(len(sizes)), np.full(len(sizes), -1, dtype=np.int64)
-    total = np.concatenate([[0.0], np.cumsum(values)])
-    ends = np.cumsum(sizes)
-    some = sizes > 0
-    if not some.any():
-        return out, at
-    n = len(values)
-    start = np.arange(n)
-    end = np.minimum(start + span, np.repeat(ends, sizes))
-    # A window cut by the end of its text counts only where the text has no whole one.
-    whole = (end - start == span) | (np.repeat(sizes, sizes) < span) & (start == np.repeat(ends - sizes, sizes))
-    means = np.where(whole, (total[end] - total[start]) / (end - start), -np.inf)
-    out[some] = np.maximum.reduceat(means, (ends - sizes)[some])
-    first = np.flatnonzero(means == np.repeat(out, sizes))
-    text = np.repeat(np.arange(len(sizes)), sizes)[first]
-    keep = np.unique(text, return_index=True)
-    at[keep[0]] = first[keep[1]]
-    return out, at
+def attention(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Each word's weight in the average of its text, by its log odds; a text's weights add up to one."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    top = np.full(len(sizes), -np.inf)
+    np.maximum.at(top, row, values)
+    each = np.exp(SHARPNESS * (values - top[row]))
+    return each / np.bincount(row, each, len(sizes))[row]
 
 
 def fit(texts: list[str], labels: np.ndarray, check: int = 4) -> Model | None:
@@ -115,84 +114,67 @@ def fit(texts: list[str], labels: np.ndarray, check: int = 4) -> Model | None:
     if min((apart & (labels == x)).sum() for x in (0, 1)) < 3:
         return train(texts, labels)
     model = train([t for t, a in zip(texts, apart, strict=True) if not a], labels[~apart])
-    words = [WORD.findall(t.lower()) for t, a in zip(texts, apart, strict=True) if a]
-    peak, _ = peaks(model.words([w for ws in words for w in ws]), np.array([len(ws) for ws in words]))
-    model.slope, model.bias = levels(peak, labels[apart].astype(float))
+    words = [words_of(t) for t, a in zip(texts, apart, strict=True) if a]
+    values, sizes = model.words([w for ws in words for w in ws]), np.array([len(ws) for ws in words])
+    mean = np.bincount(np.repeat(np.arange(len(sizes)), sizes), attention(values, sizes) * values, len(sizes))
+    model.levels = levels(np.stack([mean, np.log1p(sizes)], axis=1), labels[apart].astype(float))
     return model
 
 
-def levels(peak: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression on peaks, with a little ridge; labels weigh alike."""
-    x = np.stack([peak, np.ones(len(peak))], axis=1)
+def levels(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, ...]:
+    """Slopes and intercept of a logistic regression with a little ridge; labels weigh alike."""
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    beta = np.zeros(2)
+    beta = np.zeros(x.shape[1])
+    pull = np.array([1e-3] * (x.shape[1] - 1) + [1e-5])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        pull = np.array([1e-3, 1e-5])
         grad = x.T @ (weight * (p - y)) + pull * beta
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(pull)
         beta = beta - np.clip(np.linalg.solve(hess, grad), -2, 2)
-    return max(float(beta[0]), 1e-3), float(beta[1])
+    return (max(float(beta[0]), 1e-3), *map(float, beta[1:]))
 
 
-def train(texts: list[str], labels: np.ndarray, seed: int = 0) -> Model:
-    """Vectors and classifier together."""
+def train(texts: list[str], labels: np.ndarray, seed: int = 0, rounds: int = ROUNDS) -> Model:
+    """Vectors and classifier together; with no rounds, the start alone."""
     vocab: dict[str, int] = {}
-    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in WORD.findall(t.lower())], dtype=np.int64) for t in texts]
+    docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], dtype=np.int64) for t in texts]
     w_of, b_of = subwords(list(vocab))
     sizes, flat = np.array([len(d) for d in docs]), np.concatenate(docs)
-    y = labels.astype(float)
-    count = np.bincount(w_of, minlength=len(vocab))
-    first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    by_word = np.argsort(w_of, kind="stable")
-    # Document frequencies of buckets by label, for the start.
-    pairs = np.unique(np.repeat(np.arange(len(docs)), sizes) * len(vocab) + flat)
-    d, w = pairs // max(len(vocab), 1), pairs % max(len(vocab), 1)
-    reps = count[w]
-    place = np.repeat(first[w], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    db = np.unique(np.repeat(d, reps) * BUCKETS + b_of[by_word[place]])
-    pos = np.bincount(db % BUCKETS, y[db // BUCKETS], BUCKETS)
-    neg = np.bincount(db % BUCKETS, 1 - y[db // BUCKETS], BUCKETS)
-    # Smoothed so that a bucket that no text has says nothing.
+    row = np.repeat(np.arange(len(docs)), sizes)
+    y, n = labels.astype(float), len(vocab)
+    count = np.bincount(w_of, minlength=n)
+    # Document frequencies of buckets by label, for the start; smoothed so that a bucket that no text has says nothing.
+    by_word = np.split(b_of[np.argsort(w_of, kind="stable")], np.cumsum(count)[:-1])
+    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for i, words in enumerate(docs):
+        if len(words):
+            (pos if y[i] else neg)[np.unique(np.concatenate([by_word[w] for w in words]))] += 1
     ratio = (1 - y).sum() / y.sum()
-    odds = np.log((pos + PRIOR) * ratio / (neg + PRIOR * ratio))
-    rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.05, (BUCKETS, DIM))
-    vectors[:, 0] = odds
+    vectors = np.random.default_rng(seed).normal(0, 0.05, (BUCKETS, DIM))
+    vectors[:, 0] = np.log((pos + PRIOR) * ratio / (neg + PRIOR * ratio))
     soft = np.zeros((DIM, 2))  # columns: not toxic, toxic
     soft[0] = (-1, 1)
     bias = np.array([1.5, -1.5])
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
     sq_v, sq_s, sq_b = np.full(BUCKETS, 1e-6), 1e-6, 1e-6
-    for _ in range(ROUNDS):
-        fold = vectors @ (soft[:, 1] - soft[:, 0])
-        word_odds = np.bincount(w_of, fold[b_of], len(vocab)) / count
-        _, at = peaks(word_odds[flat], sizes)
-        has = at >= 0
-        begin = at[has]
-        stop = np.minimum(begin + SPAN, np.cumsum(sizes)[has])
-        n_words = stop - begin
-        win = np.repeat(begin, n_words) + np.arange(n_words.sum()) - np.repeat(np.cumsum(n_words) - n_words, n_words)
-        words = flat[win]
-        row = np.repeat(np.arange(has.sum()), n_words)
-        reps = count[words]
-        place = np.repeat(first[words], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        bucket, at_row = b_of[by_word[place]], np.repeat(row, reps)
-        part = np.repeat(1 / (reps * n_words[row]), reps)
-        mean = np.stack([np.bincount(at_row, vectors[bucket, k] * part, has.sum()) for k in range(DIM)], axis=1)
+    for _ in range(rounds):
+        bags = np.stack([np.bincount(w_of, vectors[b_of, k], n) for k in range(DIM)], axis=1) / np.maximum(count, 1)[:, None]
+        share = attention((bags @ (soft[:, 1] - soft[:, 0]))[flat], sizes)
+        mean = np.stack([np.bincount(row, share * bags[flat, k], len(docs)) for k in range(DIM)], axis=1)
         logit = mean @ soft + bias
         p = np.exp(logit - logit.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        err = (p - np.stack([1 - y[has], y[has]], axis=1)) * weight[has, None]
+        err = (p - np.stack([1 - y, y], axis=1)) * weight[:, None]
         g_soft, g_bias, g_mean = mean.T @ err / len(y), err.mean(axis=0), err @ soft.T
-        touched, inv = np.unique(bucket, return_inverse=True)
-        g_v = np.stack([np.bincount(inv, g_mean[at_row, k] * part, len(touched)) for k in range(DIM)], axis=1)
-        sq_v[touched] += (g_v**2).mean(axis=1)
+        g_bag = np.stack([np.bincount(flat, share * g_mean[row, k], n) for k in range(DIM)], axis=1) / np.maximum(count, 1)[:, None]
+        g_v = np.stack([np.bincount(b_of, g_bag[w_of, k], BUCKETS) for k in range(DIM)], axis=1)
+        sq_v = sq_v + (g_v**2).mean(axis=1)
         sq_s, sq_b = sq_s + (g_soft**2).mean(), sq_b + (g_bias**2).mean()
-        vectors[touched] -= 0.3 * g_v / np.sqrt(sq_v[touched])[:, None]
+        vectors -= 0.3 * g_v / np.sqrt(sq_v)[:, None]
         soft -= 0.05 * g_soft / sq_s**0.5
         bias -= 0.2 * g_bias / sq_b**0.5
-    return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return Model((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), (1.0, 0.0, float(bias[1] - bias[0])))
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] | None = None, max_chars: int = MAX_CHARS) -> tuple[list[str], np.ndarray]:
@@ -219,7 +201,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             if m is None:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "score": np.zeros(len(pdf))})
                 continue
-            found = [WORD.findall(t.lower()) for t in pdf["text"]]
+            found = [words_of(t) for t in pdf["text"]]
             new = list({w for ws in found for w in ws if w not in memo})
             if len(memo) + len(new) > MEMO_WORDS:
                 memo.clear()
@@ -228,8 +210,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 part = new[i : i + 20_000]
                 memo.update(zip(part, m.words(part).tolist(), strict=True))
             values = np.fromiter((memo[w] for ws in found for w in ws), dtype=float)
-            peak, _ = peaks(values, np.array([len(ws) for ws in found], dtype=np.int64))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "score": m.score(peak)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "score": m.score(values, np.array([len(ws) for ws in found], dtype=np.int64))})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, score double")
 

@@ -176,6 +176,35 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.0}
 
 
-def test_peaks():
-    out, at = toxicity.peaks(np.array([1.0, 5, 3, 2, 9]), np.array([3, 0, 1, 1]), span=2)
-    assert out.tolist() == [4, 0, 2, 9] and at.tolist() == [1, -1, 3, 4]
+def plain_score(model, text):
+    """The score term by term: a word's bag, a text's weighted average, the level."""
+    odds = [np.mean([model.odds[b] for w, b in zip(*toxicity.subwords([word])) if w == 0]) for word in dict.fromkeys(toxicity.WORD.findall((text or "").lower()))]
+    share = [np.exp(toxicity.SHARPNESS * x) for x in odds]
+    mean = sum(s * x for s, x in zip(share, odds)) / sum(share) if odds else 0.0
+    slope, length, start = model.levels
+    return 1 / (1 + np.exp(-(slope * mean + length * np.log(1 + len(odds)) + start)))
+
+
+def test_toxicity_query_scores_whole_texts_by_definition(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = toxicity.fit(*toxicity.sample(docs, spark.read.parquet(f"{small}/labels.parquet")))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = toxicity.op10_toxicity(spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        assert abs(r["score"] - plain_score(model, texts[r["doc_id"]])) < 1e-6
+        assert r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == (__import__("zlib").crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
+def test_length_alone_is_not_toxic():
+    """Clean texts of any length score alike, and training the vectors beats their start."""
+    texts, labels = toxic_corpus(700)
+    rng = random.Random(3)
+    clean = {n: [" ".join(sentence("en", n, rng).split()) for _ in range(60)] for n in (8, 60, 500, 3_000)}
+    model = toxicity.fit(texts[:500], np.array(labels[:500]))
+    words = lambda ts: [toxicity.words_of(t) for t in ts]
+    score = lambda m, ts: m.score(m.words([w for ws in words(ts) for w in ws]), np.array([len(ws) for ws in words(ts)]))
+    assert all((score(model, ts) >= toxicity.CUT).mean() <= 0.02 for ts in clean.values())
+    y = np.array(labels[500:])
+    loss = lambda m: -np.log(np.clip(np.where(y == 1, score(m, texts[500:]), 1 - score(m, texts[500:])), 1e-9, 1)).mean()
+    assert loss(toxicity.train(texts[:500], np.array(labels[:500]))) < loss(toxicity.train(texts[:500], np.array(labels[:500]), rounds=0))
