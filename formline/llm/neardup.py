@@ -329,7 +329,7 @@ def _linking(threshold: float):
     return run
 
 
-def _rest(members: DataFrame, stars: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _rest(members: DataFrame, stars: DataFrame, sets: DataFrame, threshold: float, space: Workspace) -> DataFrame:
     """Links (a, b) within buckets whose members are not of one class yet."""
     of = members.select("key", F.col("rep").alias("doc_id")).join(stars.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("least", "doc_id").alias("class_id"))
     mixed = of.groupBy("key").agg(F.min("class_id").alias("low"), F.max("class_id").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("same")).where("low <> high and n > 2")
@@ -340,7 +340,8 @@ def _rest(members: DataFrame, stars: DataFrame, sets: DataFrame, threshold: floa
     step = float(-np.log(threshold))
     sizes = sets.select("doc_id", F.floor(F.log("size") / step + SLACK).alias("c"), (1 + F.ceil(F.log(1 + F.log("most") / DAMP) / step)).alias("down"), "size")
     open_ = of.join(mixed, "key").join(sizes, "doc_id")
-    blocks = open_.groupBy("key", "c").agg(F.max("down").alias("down"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
+    # Written, so that the join below gets exchanges of its own, which adaptive execution may split where a block is hot.
+    blocks = space.save(open_.groupBy("key", "c").agg(F.max("down").alias("down"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).alias("parts")), "blocks")
     placed = open_.join(blocks.select("key", "c", "parts"), ["key", "c"]).select("key", "doc_id", "class_id", "c", F.pmod(F.xxhash64("doc_id", F.lit(3)), "parts").alias("s"))
     each = blocks.select("key", "c", "down", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("s"))
     low, high = (each.select("key", F.col("c").alias(f"{n}c"), F.col("s").alias(f"{n}s"), F.col("down").alias(f"{n}d")) for n in "xy")
@@ -369,7 +370,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     pairs = members.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     edges = space.save(_verified(pairs, sets, threshold), "edges")
     stars = least_members(edges, space)
-    more = space.save(_rest(members, stars, sets, threshold), "more")
+    more = space.save(_rest(members, stars, sets, threshold, space), "more")
     least = least_members(stars.select(F.col("id").alias("a"), F.col("least").alias("b")).unionByName(more), space) if more.head(1) else stars
     for done in (members, wanted, sets, edges, more):
         space.drop(done)
