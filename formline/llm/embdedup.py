@@ -1,18 +1,21 @@
 """Near-duplicates among embeddings: tiles in PCA order, compared leading dimensions first.
 
 Vectors are scaled to length one and rotated onto the principal axes of all of them, whose moments
-are sums over the table, added up by partition. Equal vectors become one row with a count before anything is compared.
-Rows are cut into tiles by ranges of the first axes. Two vectors with cosine c are sqrt(2 - 2c)
-apart, and no further apart on any axis, so only tiles within that distance on those axes are
-paired. A pair of tiles is compared block by block: the leading dimensions are multiplied first,
-what the others can still add is bounded by the product of the suffix norms, and only pairs that
-can reach the threshold are carried on; those are decided in the input's own double precision. A pair of
+are sums over the table, added up by partition. Equal vectors become one row with a count before
+anything is compared. A tree of cuts along the leading axes, fitted on ``SAMPLE`` vectors, deals rows
+to leaves, and a leaf with many rows to several tiles; the cuts only order the work. Two vectors with
+cosine c are sqrt(2 - 2c) apart, and no further apart on the leading axes, so only tiles of leaves
+whose boxes there, taken over all rows, come that close are paired. A tile is shuffled as packed
+components in the input's own type. A pair of tiles is compared block by block: the leading dimensions
+are multiplied first, what the others can still add is bounded by the product of the suffix norms, and
+only pairs that can reach the threshold are carried on; those are decided in double precision. A pair of
 tiles returns link counts and a spanning forest of its links, never the links themselves, so a
 group of near copies costs rows in proportion to its size for each pair of tiles. Components are the least ids over the forests.
 
-Null vectors, vectors with null or non-finite components and zero vectors link with nothing. Vectors of
-different lengths do not link; each length is compared by itself. Rows that repeat a ``vec_id`` count as rows and
-share its component. An empty table gives an empty one. Other columns are not read.
+Null vectors, vectors with null or non-finite components and zero vectors link with nothing, and so do
+rows without ``vec_id``, which are kept and have no component. Vectors of different lengths do not link;
+each length is compared by itself. Rows that repeat a ``vec_id`` count as rows and share its component.
+Ties go to the least ``vec_id``. An empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,19 +32,22 @@ from .common import Workspace, table
 from .components import least_members
 
 THRESHOLD = 0.95
-#: Rows of a tile, about, and of the blocks in which two tiles are compared; dimensions multiplied at a time.
-TILE_ROWS = 4096
+#: Rows and bytes of a tile at most, about; rows of the blocks in which two tiles are compared; dimensions multiplied at a time.
+TILE_ROWS = 16_384
+TILE_BYTES = 4 << 20
 BLOCK_ROWS = 1024
 LEADING = 16
+#: Vectors that the cuts are fitted on, and the fewest of them in a leaf: so at most SAMPLE / LEAF leaves.
+SAMPLE = 20_000
+LEAF = 16
 #: Room for rounding wherever a bound decides.
 SLACK = 1e-6
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """Rows whose vector can link, as arrays of double."""
-    v = F.col(column).cast("array<double>")
-    fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return vectors.select("vec_id", v.alias("v")).where(fine)
+    """Rows whose vector can link, in the type it has."""
+    fine = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    return vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).alias("v")).where(fine)
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -111,9 +117,53 @@ def _merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return parent
 
 
+class Cuts:
+    """A tree of cuts: node k has children 2k + 1 and 2k + 2, and cuts one axis or is a leaf."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.axis: dict[int, int] = {}
+        self.at: dict[int, float] = {}
+        open_ = [(0, sample)]
+        while open_ and len(self.axis) + 1 < leaves:
+            open_.sort(key=lambda x: -len(x[1]))
+            k, rows = open_.pop(0)
+            spread = rows.max(axis=0) - rows.min(axis=0) if len(rows) else np.zeros(1)
+            if len(rows) < 2 * LEAF or not spread.max() > 0:
+                break
+            self.axis[k] = d = int(spread.argmax())
+            self.at[k] = float(np.median(rows[:, d]))
+            low = rows[:, d] < self.at[k]
+            open_ += [(2 * k + 1, rows[low]), (2 * k + 2, rows[~low])]
+
+    def leaf(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows), dtype=np.int64)
+        open_ = [(0, np.arange(len(rows)))]
+        while open_:
+            k, at = open_.pop()
+            if k not in self.axis:
+                out[at] = k
+            elif len(at):
+                low = rows[at, self.axis[k]] < self.at[k]
+                open_ += [(2 * k + 1, at[low]), (2 * k + 2, at[~low])]
+        return out
+
+
+def near_leaves(boxes: list, radius: float) -> list[tuple[int, int]]:
+    """Pairs (x, y), x <= y, of leaves whose boxes come within the radius; a box is (leaf, lows, highs)."""
+    leaf = np.array([b[0] for b in boxes])
+    low, high = (np.array([b[i] for b in boxes], dtype=np.float64).reshape(len(boxes), -1) for i in (1, 2))
+    out = []
+    for i in range(len(boxes)):
+        gap = np.maximum(0, np.maximum(low[i] - high, low - high[i]))
+        near = (gap**2).sum(axis=1) <= radius**2
+        out += [(int(leaf[i]), int(x)) for x in leaf[near & (leaf >= leaf[i])]]
+    return out
+
+
 def compare(a: tuple, b: tuple | None, turn: np.ndarray, threshold: float) -> pd.DataFrame:
     """(vec_id, links, least) for rows with a link within tile ``a``, or between ``a`` and ``b``; a tile is (ids, counts, vectors)."""
     ids, counts, v = a if b is None else tuple(np.concatenate(x) for x in zip(a, b, strict=True))
+    v = _unit(v.astype(np.float64))
     order = np.argsort(ids, kind="stable")
     place = np.empty(len(ids), dtype=np.int64)
     place[order] = np.arange(len(ids))  # so that the least place is the least id
@@ -134,14 +184,14 @@ def compare(a: tuple, b: tuple | None, turn: np.ndarray, threshold: float) -> pd
     return pd.DataFrame({"vec_id": ids[has], "links": links[has], "least": ids[order][parent[place[has]]]})
 
 
-def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
+def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id) of rows that link with another row."""
     spark = vectors.sparkSession
     space = Workspace(spark, "embdedup")
     good = usable(vectors).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(7), "v"))
     sizes = [r["d"] for r in good.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
     if not sizes:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")).limit(0)
+        return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id")).limit(0)
     each = [_linked(good.where(F.size("v") == d), d, space, threshold, tile_rows) for d in sizes]
     if len(each) == 1:
         return each[0]
@@ -151,45 +201,54 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, tile_rows: int = TI
     return every.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("c")).join(least.withColumnRenamed("id", "vec_id"), "vec_id", "left").select("vec_id", "n_links", F.coalesce("least", "c").alias("component_id"))
 
 
-def _linked(good: DataFrame, dims: int, space: Workspace, threshold: float, tile_rows: int) -> DataFrame:
+def _linked(good: DataFrame, dims: int, space: Workspace, threshold: float, tile_rows: int | None) -> DataFrame:
     """The same for usable vectors of one length, hashed."""
+    spark = good.sparkSession
+    kind = np.dtype(np.float32 if good.schema["v"].dataType.elementType.simpleString() == "float" else np.float64)
+    tile_rows = tile_rows or max(1, min(TILE_ROWS, TILE_BYTES // (dims * kind.itemsize)))
     reps = space.save(good.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("v").alias("v")), "reps")
     turn = axes(reps, dims, total := reps.count())
     radius = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
-    span = int(np.ceil(2 / radius)) + 2  # cells of an axis: unit vectors lie within -1 and 1
-    used = max((d for d in range(0, min(3, dims) + 1) if span**d * tile_rows <= total), default=0)
+    used = min(LEADING, dims)
 
-    # Cells by the first axes; a cell with many rows becomes several tiles by a hash.
-    def cell_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                u = _unit(_matrix(pdf["v"]))
-                at = np.floor((u @ turn[:, :used] + 1) / radius).astype(np.int64) + 1
-                cell = at @ (span + 2) ** np.arange(used) if used else np.zeros(len(pdf), dtype=np.int64)
-                yield pd.DataFrame({"vec_id": pdf["vec_id"], "n": pdf["n"], "cell": cell, "u": list(u)})
+                yield pd.DataFrame({"r": list(_unit(_matrix(pdf["v"])) @ turn[:, :used])})
+
+    few = reps.orderBy("h1", "h2").limit(SAMPLE).select("v").mapInPandas(leading, "r array<double>").collect()
+    cuts = Cuts(np.array([r["r"] for r in few]).reshape(len(few), used), -(-total // tile_rows))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(leaf=cuts.leaf(_unit(_matrix(pdf["v"])) @ turn[:, :used]))
 
-    placed = space.save(reps.select("vec_id", "n", "v").mapInPandas(cell_of, "vec_id long, n long, cell long, u array<double>"), "placed")
-    cells = placed.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).cast("long").alias("tiles"))  # at most (span + 2) ** 3 rows
-    tile = (F.col("cell") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), F.col("tiles"))).alias("tile")
+    item = good.schema["v"].dataType.simpleString()
+    placed = space.save(reps.select("vec_id", "n", "v").mapInPandas(place, f"vec_id long, n long, v {item}, leaf long"), "placed")
+    leaves = placed.groupBy("leaf").agg(F.ceil(F.count("*") / tile_rows).cast("long").alias("tiles"))  # at most SAMPLE / LEAF rows
+    tile = F.pmod(F.xxhash64("vec_id"), F.col("tiles")).alias("part")
 
     def to_blob(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"tile": [key[0]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "ns": [pdf["n"].to_numpy(np.int64).tobytes()], "us": [_matrix(pdf["u"]).tobytes()]})
+        m = _matrix(pdf["v"])
+        r = _unit(m) @ turn[:, :used]
+        return pd.DataFrame({"leaf": [key[0]], "part": [key[1]], "ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "ns": [pdf["n"].to_numpy(np.int64).tobytes()], "vs": [m.astype(kind).tobytes()], "low": [r.min(axis=0)], "high": [r.max(axis=0)]})
 
-    blobs = placed.join(F.broadcast(cells), "cell").select("vec_id", "n", "u", tile).groupBy("tile").applyInPandas(to_blob, "tile long, ids binary, ns binary, us binary")
+    blobs = placed.join(F.broadcast(leaves), "leaf").select("vec_id", "n", "v", "leaf", tile).groupBy("leaf", "part").applyInPandas(to_blob, "leaf long, part long, ids binary, ns binary, vs binary, low array<double>, high array<double>")
     blobs = space.save(blobs, "tiles")
-    steps = [0]
-    for k in range(used):
-        steps = [s + d * (span + 2) ** k for s in steps for d in (-1, 0, 1)]
-    tiles = cells.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("s")).select("cell", (F.col("cell") * (1 << 32) + F.col("s")).alias("tile"))
-    near = tiles.select(F.col("tile").alias("x"), F.explode(F.array(*[F.col("cell") + s for s in steps])).alias("cell"))
-    pairs = near.join(tiles.withColumnRenamed("tile", "y"), "cell").where("x <= y").select("x", "y")
-    sent = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("tile")).join(blobs, "tile")
+    boxes = blobs.groupBy("leaf").agg(*[F.min(F.col("low")[i]).alias(f"l{i}") for i in range(used)], *[F.max(F.col("high")[i]).alias(f"h{i}") for i in range(used)]).orderBy("leaf").collect()
+    near = near_leaves([(b[0], b[1 : used + 1], b[used + 1 :]) for b in boxes], radius)
+    near = spark.createDataFrame(pd.DataFrame(near, columns=["xl", "yl"], dtype="int64"), "xl long, yl long")
+    side = lambda n: blobs.select(F.col("leaf").alias(f"{n}l"), F.col("part").alias(f"{n}p"))
+    pairs = near.join(side("x"), "xl").join(side("y"), "yl").where("xl < yl or xp <= yp").select("xl", "xp", "yl", "yp")
+    both = F.array_distinct(F.array(F.struct(F.col("xl").alias("leaf"), F.col("xp").alias("part")), F.struct(F.col("yl").alias("leaf"), F.col("yp").alias("part"))))
+    sent = pairs.withColumn("at", F.explode(both)).select("xl", "xp", "yl", "yp", "at.leaf", "at.part").join(blobs.drop("low", "high"), ["leaf", "part"])
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        by_tile = {r.tile: (np.frombuffer(r.ids, np.int64), np.frombuffer(r.ns, np.int64), np.frombuffer(r.us, np.float64).reshape(-1, dims)) for r in pdf.itertuples()}
-        return compare(by_tile[key[0]], by_tile[key[1]] if key[0] != key[1] else None, turn, threshold)
+        by_tile = {(r.leaf, r.part): (np.frombuffer(r.ids, np.int64), np.frombuffer(r.ns, np.int64), np.frombuffer(r.vs, kind).reshape(-1, dims)) for r in pdf.itertuples()}
+        return compare(by_tile[key[:2]], by_tile[key[2:]] if key[:2] != key[2:] else None, turn, threshold)
 
-    found = space.save(sent.groupBy("x", "y").applyInPandas(run, "vec_id long, links long, least long"), "found")
+    found = space.save(sent.groupBy("xl", "xp", "yl", "yp").applyInPandas(run, "vec_id long, links long, least long"), "found")
     for done in (placed, blobs):
         space.drop(done)
     stars = least_members(found.select(F.col("vec_id").alias("a"), F.col("least").alias("b")), space)
@@ -204,7 +263,7 @@ def classes(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = linked(vectors, threshold).withColumnRenamed("vec_id", "__id").distinct()
     out = vectors.select("vec_id").join(found, F.col("vec_id") == F.col("__id"), "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
 def op8_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -202,5 +202,30 @@ def test_embeddings_edges(spark):
     assert [r["n_links"] for r in embdedup.classes(rows.where("vec_id = 1")).collect()] == [0]
 
 
+def test_vectors_without_ids_link_with_nothing(spark):
+    rows = spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.01]), (None, [1.0, 0.0]), (6, [0.0, 1.0]), (5, None)], "vec_id long, embedding array<float>")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embdedup.classes(rows).collect()), key=str)
+    assert got == sorted([(None, 0, None, True)] * 2 + [(5, 0, 5, True)] * 2 + [(6, 0, 6, True)], key=str)
+    assert {(r["n_links"], r["kept"]) for r in embdedup.classes(rows.where("vec_id is null")).collect()} == {(0, True)}
+
+
+def test_boxes_leave_out_no_link(spark, monkeypatch):
+    """Clusters far apart are cut into leaves of their own; fewer pairs are compared, and none with a link is lost."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 8))
+    v = np.concatenate([c + 0.12 * rng.normal(size=(60, 8)) for c in centres]).astype(np.float32)
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    links = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.95, 1)))]
+    kept = []
+    real = embdedup.near_leaves
+    monkeypatch.setattr(embdedup, "near_leaves", lambda boxes, r: kept.append((len(boxes), len(out := real(boxes, r)))) or out)
+    rows = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embdedup.linked(rows, tile_rows=30).collect()}
+    comp, n = least(range(len(v)), links), np.bincount(np.array(links).ravel(), minlength=len(v))
+    assert got == {i: (n[i], comp[i]) for i in comp if n[i]}
+    leaves, pairs = kept[0]
+    assert leaves >= 16 and pairs < 0.7 * leaves * (leaves + 1) / 2
+
+
 def test_embeddings_against_sql(spark, small):
     check(embdedup.op8_embdedup(spark, small), small, embdedup.SQL)
