@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -102,3 +103,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def not_held_out(doc_id: Column, folds: int, held: int) -> Column:
     return F.crc32(doc_id.cast("string")) % folds != held
+
+
+def least_hashed(rows: DataFrame, label: str, n: int) -> DataFrame:
+    """At most ``n`` of the distinct rows of each label, those whose ``doc_id`` hashes lowest.
+
+    Rows are counted by label first, and only those below a hash that about twice as many fall short of
+    go on, so no task sees a label's rows, however many it has. Ties go to the lesser ``doc_id``.
+    """
+    top = 1 << 62
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(top))
+    counts = rows.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__n"))  # a row for each label
+    few = rows.join(F.broadcast(counts), F.col(label) == F.col("__label")).where(place <= F.least(F.lit(1.0), F.lit(2.0 * (n + 32)) / F.col("__n")) * float(top))
+    order = W.partitionBy(label).orderBy(place, "doc_id")
+    return few.select(*rows.columns).distinct().withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).drop("__k")

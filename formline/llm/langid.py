@@ -7,8 +7,8 @@ language, by a hash of ``doc_id``, texts of up to ``MAX_CHARS`` characters. Scor
 texts in blocks: a block's presence matrix times the landmarks' gives the kernel, and that times
 the regression's weights gives a score per language.
 
-Text that is null or has no letter is ``und`` with score 0, as is everything if no row is labelled.
-Ties go to the language that sorts first. Rows are judged one by one, so repeated rows agree. An
+Text that is null or has no letter is ``und`` with score 0, as is everything if no row is labelled;
+digits and other numerals are no letters. A very long text is one row of a block's matrix. Ties go to the language that sorts first. Rows are judged one by one, so repeated rows agree. An
 empty table gives an empty one. Other columns are not read.
 """
 
@@ -21,10 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded, not_held_out, table
+from .common import bounded, least_hashed, not_held_out, table
 
 ORDERS = (1, 2, 3)
 PER_LANGUAGE = 250
@@ -34,7 +33,11 @@ MAX_CHARS = 20_000
 TABLE = 1 << 22
 RIDGE = 1e-2
 BLOCK = 128
-LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text))
 
 
 @dataclass
@@ -95,16 +98,15 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
     seen: dict[str, int] = {}
     for t in marks:
         for c in set(t.lower()):
-            if LETTER.match(c):
+            if c.isalpha():
                 seen[c] = seen.get(c, 0) + 1
     base = len(seen) + 2
     letters = np.zeros(0x110001, dtype=np.min_scalar_type(base))
     for i, c in enumerate(sorted(seen, key=lambda c: (-seen[c], c))):
         letters[ord(c)] = i + 2
-    # Letters that no landmark has are one class of their own, up to the plane that holds most scripts.
-    for c in range(0x20000):
-        if not letters[c] and LETTER.match(chr(c)):
-            letters[c] = 1
+    # Letters that no landmark has are one class of their own.
+    other = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+    letters[:0x110000][other & (letters[:0x110000] == 0)] = 1
     grams, tables, planes = [], [], []
     for n, (rows, codes) in zip(ORDERS, _codes(marks, letters, base), strict=True):
         known = np.unique(codes)
@@ -134,9 +136,7 @@ def fit(texts: list[str], labels: list[str]) -> Model | None:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> tuple[list[str], list[str]]:
     """Labelled rows outside the held-out fold: at most ``per_language`` of each language."""
     rows = docs.where(not_held_out(F.col("doc_id"), 5, 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.length("text") <= max_chars))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
-    got = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text").distinct().orderBy("lang", F.xxhash64("text")).collect()
+    got = least_hashed(rows.select("doc_id", "lang", "text"), "lang", per_language).select("lang", "text").distinct().orderBy("lang", F.xxhash64("text"), "text").collect()
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 part = pdf.iloc[i : i + BLOCK]
                 texts = [t or "" for t in part["text"]]
                 pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
-                ok = np.array([m is not None and LETTER.search(t) is not None for t in texts], dtype=bool)
+                ok = np.array([m is not None and has_letter(t) for t in texts], dtype=bool)
                 if ok.any():
                     s = 4 * m.scores([t for t, x in zip(texts, ok, strict=True) if x])
                     p = np.exp(s - s.max(axis=1, keepdims=True))

@@ -4,39 +4,48 @@ A softmax over hashed words, trained on a bounded sample of a labelled table, gi
 its posterior over domains. Nonnegative rates are then fitted so that the expected tokens of each
 domain, the sum of tokens x posterior x rate, meet their targets: least squares by projected
 gradient. A step changes a rate by the document's posterior times a vector with one number per
-domain, so the state of the fit is the list of those vectors; a pass replays them for each document
-in SQL expressions and sums once per domain, and nothing but those sums reaches the driver. A rate
-becomes that many copies, the fraction decided by a hash of ``doc_id`` and text.
+domain, so the state of the fit is the list of those vectors; a pass takes the new ones for each
+document and sums once per domain, and nothing but those sums reaches the driver. The fit goes on until
+the targets are met or no step moves the sums any longer, and warns if they are not met. A rate
+becomes that many copies, the fraction decided by a hash of ``doc_id`` and text. Documents go through
+the classifier once; posteriors are written beside their rows.
 
 Null, empty and wordless texts have no tokens, the same share of every domain, and the rate that
 follows. Without labelled rows all documents are one domain. A domain with no expected tokens cannot
-meet a target and is left out of it. Repeated rows get equal rates. An empty table gives an empty
-one. Other columns pass through unchanged.
+meet a target and is left out of it. Repeated rows get equal rates. Of domains with equal posteriors the
+first by name is the document's. A very long text is one row of hashed words, read whole by one task. An
+empty table gives an empty one. Other columns pass through unchanged, but for those named like one of
+``ADDED``, which the operator's own replace.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Workspace, bounded, table
+from .common import WORD, Workspace, bounded, least_hashed, table
 
 FEATURES = 1 << 15
 PER_DOMAIN = 250
 MAX_CHARS = 20_000
 #: Target weights, where none are given, are shares to this power.
 TEMPER = 0.7
-STEPS = 40
+#: Steps after which the rates so far are written down, so that the work of a fit follows its steps.
+WRITTEN = 8
 #: The fit ends when no domain misses its target by more than this share of all tokens.
 TOLERANCE = 1e-4
+#: It also ends when a step moves no domain's sum by more than this share of all tokens.
+STILL = 1e-7
 MEMO_WORDS = 300_000
+#: Columns that the operator adds.
+ADDED = ("n_tokens", "domain", "posterior", "rate", "copies")
 
 
 @dataclass
@@ -100,10 +109,9 @@ def fit_classifier(texts: list[str], labels: list[str], rounds: int = 120) -> Cl
 def sample(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN, max_chars: int = MAX_CHARS) -> tuple[list[str], list[str]]:
     """Texts and domains of at most ``per_domain`` rows of each domain of ``labels`` (doc_id, domain)."""
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    order = W.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = labels.where("domain is not null").select("doc_id", F.col("domain").cast("string").alias("domain"))
-    ids = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_domain).drop("n").distinct()
-    got = texts.join(F.broadcast(ids), "doc_id").select("text", "domain").distinct().orderBy("domain", F.xxhash64("text")).collect()
+    ids = least_hashed(known, "domain", per_domain)
+    got = texts.join(F.broadcast(ids), "doc_id").select("text", "domain").distinct().orderBy("domain", F.xxhash64("text"), "text").collect()
     return [r["text"] for r in got], [r["domain"] for r in got]
 
 
@@ -124,14 +132,44 @@ def membership(model: Classifier, spark: SparkSession):
     return of
 
 
-def rate_of(steps: list[np.ndarray], posterior: Column, least: float) -> Column:
-    """The rate after the given steps from 1, projected to ``least`` or more after each."""
-    start = F.lit(max(1.0, least))
-    if not steps:
-        return start
-    vectors = F.array(*[F.array(*[F.lit(float(x)) for x in v]) for v in steps])
-    dot = lambda v: F.aggregate(F.zip_with(posterior, v, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    return F.aggregate(vectors, start, lambda r, v: F.greatest(F.lit(float(least)), r - dot(v)))
+def rates(posterior: np.ndarray, rate: np.ndarray, steps: list[np.ndarray], least: float) -> np.ndarray:
+    """Rates after the steps, projected to ``least`` or more after each."""
+    for v in steps:
+        rate = np.maximum(least, rate - np.einsum("ij,j->i", posterior, v))
+    return rate
+
+
+def _posteriors(column: pd.Series, k: int) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float64).reshape(len(column), k)
+
+
+def sums(members: DataFrame, k: int, steps: list[np.ndarray], least: float, products: bool = False) -> np.ndarray:
+    """Expected tokens of each domain after the steps; with ``products`` also the sums of tokens x posterior x posterior, below."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((k + 1 if products else 1, k))
+        for pdf in batches:
+            if len(pdf):
+                p, t = _posteriors(pdf["posterior"], k), pdf["tokens"].to_numpy(dtype=np.float64)
+                total[0] += (t * rates(p, pdf["rate"].to_numpy(dtype=np.float64), steps, least)) @ p
+                if products:
+                    total[1:] += (p * t[:, None]).T @ p
+        yield pd.DataFrame({"i": np.arange(total.size), "x": total.ravel()})
+
+    got = members.select("tokens", "posterior", "rate").mapInPandas(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros((k + 1 if products else 1) * k)
+    for r in got:
+        out[r["i"]] = r["x"]
+    return out.reshape(-1, k)
+
+
+def _stepped(members: DataFrame, k: int, steps: list[np.ndarray], least: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(rate=rates(_posteriors(pdf["posterior"], k), pdf["rate"].to_numpy(dtype=np.float64), steps, least))
+
+    return members.mapInPandas(run, "tokens long, posterior array<double>, rate double")
 
 
 @dataclass
@@ -141,18 +179,20 @@ class Mix:
     reached: np.ndarray
     steps: list[np.ndarray]
 
+    @property
+    def met(self) -> bool:
+        return bool(np.abs(self.reached - self.targets).max(initial=0) <= TOLERANCE * self.targets.sum())
 
-def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float] | None, least: float) -> Mix:
+
+def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float] | None, least: float, space: Workspace) -> Mix:
     """Rates of at least ``least`` whose expected tokens meet the targets; ``members`` has tokens and posterior."""
     k = len(domains)
-    p, t = F.col("posterior"), F.col("tokens")
-    cross = [F.sum(t * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
-    now = members.agg(*[F.sum(t * p[i]).alias(f"s{i}") for i in range(k)], *cross).first()
-    have = np.array([now[f"s{i}"] or 0.0 for i in range(k)])
+    members = members.select("tokens", "posterior", F.lit(max(1.0, least)).alias("rate"))
+    moments = sums(members, k, [], 0.0, products=True)
+    have, gram = moments[0] / max(1.0, least), moments[1:]
     some = have > 0
     if not some.any():
         return Mix(domains, have, have, [])
-    gram = np.array([[now[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     share = np.where(some, (have / have.sum()) ** TEMPER if weights is None else np.array([weights.get(d, 0.0) for d in domains]), 0.0)
     if not share.sum():
         share = have.copy()
@@ -163,38 +203,55 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float]
     scale = np.where(some, 1 / np.where(some, have, 1), 0.0)  # each domain's error counts in its own size
     root = np.sqrt(scale)
     pace = 1 / np.linalg.eigvalsh(root[:, None] * gram * root[None, :]).max()
-    steps: list[np.ndarray] = []
-    sums = have * max(1.0, least)
-    for _ in range(STEPS):
-        miss = sums - targets
+    steps, new = [], []
+    now, written = have * max(1.0, least), None
+    while True:
+        miss = now - targets
         if np.abs(miss).max() <= TOLERANCE * targets.sum():
             break
         steps.append(pace * scale * miss)
-        rate = members.withColumn("rate", rate_of(steps, p, least))
-        got = rate.agg(*[F.sum(t * p[i] * F.col("rate")).alias(f"s{i}") for i in range(k)]).first()
-        sums = np.array([got[f"s{i}"] or 0.0 for i in range(k)])
-    return Mix(domains, targets, sums, steps)
-
-
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, least: float = 0.0) -> DataFrame:
-    """``docs`` with n_tokens, domain, posterior, rate and copies; those names must be free in ``docs``."""
+        new.append(steps[-1])
+        last, now = now, sums(members, k, new, least)[0]
+        if np.abs(now - last).max() <= STILL * targets.sum():
+            break
+        if len(new) == WRITTEN:
+            members, new, done = space.save(_stepped(members, k, new, least), "rates"), [], written
+            written = members
+            if done is not None:
+                space.drop(done)
+    found = Mix(domains, targets, now, steps)
+    if not found.met:
+        warnings.warn(f"no rates of {least} or more meet the targets: shares reached: {", ".join(f"{d} {x:.3f}" for d, x in zip(domains, now / now.sum(), strict=True))}", stacklevel=2)
+    return found
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, least: float = 0.0, columns: list[str] | None = None) -> DataFrame:
+    """``docs``, or the ``columns`` of it that are named, with those of ``ADDED``."""
     spark = docs.sparkSession
+    space = Workspace(spark, "mixing")
     model = fit_classifier(*sample(docs, labels))
     of = membership(model, spark)
     text = F.coalesce("text", F.lit(""))
-    members = Workspace(spark, "mixing").save(docs.select(of(text).alias("m")).select("m.tokens", "m.posterior"), "members")
-    found = fit_rates(members, model.domains, weights, least)
-    names = F.array(*[F.lit(d) for d in model.domains])
-    p = F.col("__m.posterior")
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in ADDED]
+    row = F.struct(*kept) if kept else F.lit(None).cast("boolean")
     part = F.pmod(F.xxhash64("doc_id", text), F.lit(1 << 30)) / float(1 << 30)
-    out = docs.withColumn("__m", of(text)).withColumn("__rate", rate_of(found.steps, p, least))
-    return out.select(
-        *docs.columns,
-        F.col("__m.tokens").alias("n_tokens"),
+    members = space.save(docs.select(row.alias("row"), part.alias("part"), of(text).alias("m")).select("row", "part", "m.tokens", "m.posterior"), "members")
+    found = fit_rates(members, model.domains, weights, least, space)
+    held, k, start = spark.sparkContext.broadcast(found.steps), len(model.domains), max(1.0, least)
+
+    @F.pandas_udf("double")
+    def rate_of(posterior: pd.Series) -> pd.Series:
+        return pd.Series(rates(_posteriors(posterior, k), np.full(len(posterior), start), held.value, least))
+
+    names = F.array(*[F.lit(d) for d in model.domains])
+    p = F.col("posterior")
+    return members.withColumn("rate", rate_of(p)).select(
+        *[F.col("row")[c].alias(c) for c in kept],
+        F.col("tokens").alias("n_tokens"),
         F.get(names, F.array_position(p, F.array_max(p)).cast("int") - 1).alias("domain"),
-        p.alias("posterior"),
-        F.col("__rate").alias("rate"),
-        F.floor(F.col("__rate") + part).alias("copies"),
+        p,
+        "rate",
+        F.floor(F.col("rate") + F.col("part")).alias("copies"),
     )
 
 
@@ -210,5 +267,5 @@ def domains_of(docs: DataFrame) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = mix(docs, domains_of(docs))
+    out = mix(docs, domains_of(docs), columns=["doc_id"])
     return out.select("doc_id", "n_tokens", "domain", F.array_max("posterior").alias("share"), "rate", "copies")

@@ -1,7 +1,7 @@
 """Packing of tokenised documents into windows by non-negative least squares over lengths.
 
-Documents are dealt by a hash of ``doc_id`` to shards of about equal text, so a hot source or a
-group of copies spreads evenly and a shard has bounded rows. Each shard cuts full windows off long
+Documents are dealt by a hash of ``doc_id``, text and place in the table to shards of about equal text, so a
+hot source, a group of copies or rows without ids spread evenly and a shard has bounded rows. Each shard cuts full windows off long
 documents and counts what is left of each by length class. All multisets of up to three classes
 that fill a window are enumerated; non-negative least squares finds how often to repeat each so
 that the histogram is used up; the counts are rounded down and pieces assigned. The residual pieces
@@ -10,7 +10,8 @@ and the rest goes into windows in order. The last one is cut into powers of two,
 padding. If the residual is too short for the free room, the loosest windows join it.
 
 Null and empty texts have the one closing id. Rows that repeat a ``doc_id`` are packed one by one;
-a null ``doc_id`` is packed and returned as null. An empty table gives no pieces. Other columns are
+a null ``doc_id`` is packed and returned as null. A shard's rows are taken in the order of ``doc_id`` and
+text, which decides between pieces of equal length. A very long text is encoded whole, by one task. An empty table gives no pieces. Other columns are
 not read.
 """
 
@@ -232,6 +233,7 @@ def plan(lengths: np.ndarray, window: int = WINDOW, grid: int = GRID) -> pd.Data
 def _packer(path: str, window: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         encode = encoder(path)
+        pdf = pdf.sort_values(["doc_id", "text"], kind="stable", ignore_index=True)
         closing = np.array([CLOSING_ID], dtype=encode.kind)
         ids = [np.concatenate([x, closing]) for x in encode(list(pdf["text"]))]
         out = plan(np.array([len(x) for x in ids], dtype=np.int64), window)
@@ -253,8 +255,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
     text = F.coalesce("text", F.lit(""))
     size = docs.agg(F.sum(F.length(text) + 64), F.count("*")).first()
     shards = max(1, -(-int(size[0] or 0) // shard_chars))
-    # The text takes part in the shard, so that rows without an id, or with one id, spread as well.
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)))
+    # Text and place take part in the shard, so that rows without an id, or with one id, and repeated rows spread as well.
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_packer(path, window), SCHEMA)
 
 

@@ -62,3 +62,57 @@ def test_without_labels_and_without_rows(spark, docs):
     assert mixing.mix(docs.limit(0), mixing.domains_of(docs).limit(0)).count() == 0
     blank = documents(spark, [None, ""], [None, None])
     assert mixing.mix(blank, mixing.domains_of(blank)).count() == 2
+
+
+def test_clashing_names_are_replaced(docs):
+    out = mixing.mix(docs.withColumn("rate", F.lit("x")).withColumn("tokens", F.lit(7)).withColumn("row", F.lit("r")), mixing.domains_of(docs))
+    assert len(set(out.columns)) == len(out.columns)
+    rows = out.select("rate", "tokens", "row", "copies").collect()
+    assert {(r["tokens"], r["row"]) for r in rows} == {(7, "r")} and all(isinstance(r["rate"], float) for r in rows)
+
+
+def test_targets_out_of_reach_are_said(spark):
+    """One domain in every document: no rates change the shares, and the fit ends and says so."""
+    texts = ["water light " * 20, "wasser licht " * 20] * 20
+    rows = documents(spark, texts, ["en", "de"] * 20)
+    same = rows.where("lang = 'en'")
+    with pytest.warns(UserWarning, match="meet the targets"):
+        out = mixing.mix(same, mixing.domains_of(rows).withColumn("doc_id", F.col("doc_id") - F.col("doc_id") % 2), {"en": 0.1, "de": 0.9})
+        assert out.count() == 20
+
+
+def test_many_steps_are_those_of_one_replay(docs, monkeypatch):
+    """Rates written down on the way agree with all steps taken from the start."""
+    weights = {"de": 0.9, "en": 0.05, "fr": 0.05}
+    monkeypatch.setattr(mixing, "WRITTEN", 1)
+    a = mixing.mix(docs, mixing.domains_of(docs), weights).collect()
+    monkeypatch.setattr(mixing, "WRITTEN", 500)
+    b = {r["doc_id"]: r["rate"] for r in mixing.mix(docs, mixing.domains_of(docs), weights).collect()}
+    assert all(abs(r["rate"] - b[r["doc_id"]]) < 1e-6 for r in a)
+
+
+def test_the_classifier_knows_held_out_documents(spark):
+    texts, langs = corpus(400, seed=17)
+    model = mixing.fit_classifier(texts[:200], langs[:200])
+    p = model.posteriors(*mixing.Features()(texts[200:]))
+    assert np.mean([model.domains[i] == x for i, x in zip(p.argmax(axis=1), langs[200:], strict=True)]) > 0.97
+
+
+def test_a_hot_domain_is_sampled_without_a_window_over_its_rows(spark):
+    from formline.llm.common import least_hashed
+
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, "rare").otherwise("hot").alias("domain"))
+    got = least_hashed(rows, "domain", 150)
+    assert {r["domain"]: r["count"] for r in got.groupBy("domain").count().collect()} == {"hot": 150, "rare": 150}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))
+    first = rows.where("domain = 'hot'").orderBy(place).limit(150)
+    assert first.exceptAll(got).count() == 0
+
+
+def test_query(spark, small):
+    rows = mixing.op2_mixing(spark, small).collect()
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in docs.collect())
+    plain = {r["doc_id"]: r for r in mixing.mix(docs, mixing.domains_of(docs)).collect()}
+    assert all((r["n_tokens"], r["domain"], r["copies"]) == tuple(plain[r["doc_id"]][c] for c in ("n_tokens", "domain", "copies")) for r in rows)
+    assert all(r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in rows)

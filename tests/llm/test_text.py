@@ -64,6 +64,15 @@ def test_languages_of_many_letters():
     assert np.mean([m.languages[i] == x for i, x in zip(m.scores(texts[250:]).argmax(axis=1), langs[250:], strict=True)]) > 0.97
 
 
+def test_numerals_are_no_letters(spark):
+    texts, langs = corpus(80)
+    odd = ["½ ² Ⅷ", "①②③ 12", "\U00020000\U00020001", "² water"]
+    docs = documents(spark, texts + odd, langs + [None] * 4)
+    rows = {r["doc_id"]: r for r in langid.predict(docs, langid.fit(*langid.sample(docs))).collect()}
+    assert [rows[len(texts) + i]["lang_pred"] == "und" for i in range(4)] == [True, True, False, False]
+    assert [rows[len(texts) + i]["score"] for i in range(2)] == [0.0, 0.0]
+
+
 def test_no_labels(spark):
     docs = documents(spark, ["abc", None])
     rows = langid.predict(docs, langid.fit(*langid.sample(docs))).collect()
