@@ -52,9 +52,10 @@ class Workspace:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, *by: str) -> DataFrame:
+        """Written and read again; with ``by``, last columns of the schema, in folders by their values."""
         path = self.path(name)
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._formline_path = path
         return out

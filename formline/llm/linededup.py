@@ -1,30 +1,49 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 Documents come in batches in the order of ``doc_id``. A run holds hashes of lines with the document
-that had each first, bucketed and sorted by hash. A new batch counts its own distinct lines before
-any shuffle, merges them against the runs (both sides bucketed and sorted alike, so no run is
-shuffled again), drops lines that a run or a smaller document of the batch has, and adds a run of
-the lines that no run had. Once a level has ``fanout`` runs, they merge into one of the next level.
+that had each first, bucketed and sorted by hash, one file a bucket. A new batch counts its own distinct
+lines before any shuffle, merges them against the runs (both sides bucketed and sorted alike, so no run
+is shuffled or sorted again), drops lines that a run or a smaller document of the batch has, and adds a
+run of the lines that no run had. Once a level has ``fanout`` runs, they merge into one of the next
+level, and their files go.
 
 Null or empty texts are one empty line. A document is a ``doc_id``: rows that repeat one are the
-same document. Rows without ``doc_id`` lose nothing and own nothing. An empty table gives an empty
-one. Other columns pass through unchanged; helper columns have names of their own.
+same document. Rows without ``doc_id`` lose nothing and own nothing. A line of several documents stays in
+the least ``doc_id``, however often that holds it. A very long text is split whole, by one task, in time
+and memory that follow its length. An empty table gives an empty one. Other columns pass through
+unchanged, but for those named like one of ``ADDED``, which the operator's own replace.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, Workspace, table
+from .common import SPACES, Workspace, remove, table
 
 MIN_CHARS = 10
 BATCHES = 4
 FANOUT = 3
+#: Columns that the operator adds.
+ADDED = ("kept_text", "n_lines", "n_dropped")
+#: Lets a scan of a bucketed table with one file a bucket say that it is sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def ordered_scans(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(ORDERED, None)
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(ORDERED) if before is None else spark.conf.set(ORDERED, before)
 
 
 def line_key(line: Column) -> Column:
@@ -45,26 +64,31 @@ class LineRuns:
     def __init__(self, space: Workspace, buckets: int, fanout: int = FANOUT):
         self.space, self.buckets, self.fanout = space, buckets, fanout
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
         self.met: list[DataFrame] = []
 
     def _write(self, keys: DataFrame) -> str:
         name = f"formline_run_{uuid.uuid4().hex}"
+        self.paths[name] = self.space.path("run")
         dealt = keys.repartition(self.buckets, "h1", "h2")
-        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.space.path("run")).saveAsTable(name)
+        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def runs(self) -> list[str]:
         return [name for level in self.levels for name in level]
 
-    def absorb(self, lines: DataFrame) -> DataFrame:
-        """The lines (doc_id, version, place) of this batch that are dropped; its new lines become a run."""
-        spark = self.space.spark
-        own = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-        met = own.withColumn("earlier", F.lit(None).cast("long"))
+    def merged(self, lines: DataFrame) -> DataFrame:
+        """A batch's distinct lines with the least and the largest document of the batch, and the earlier one that owns it."""
+        met = lines.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).withColumn("earlier", F.lit(None).cast("long"))
         for name in self.runs():
-            run = spark.table(name).withColumnRenamed("owner", "found")
+            run = self.space.spark.table(name).withColumnRenamed("owner", "found").hint("merge")
             met = met.join(run, ["h1", "h2"], "left").withColumn("earlier", F.coalesce("earlier", "found")).drop("found")
-        met = self.space.save(met, "met")
+        return met
+
+    def absorb(self, lines: DataFrame) -> DataFrame:
+        """The lines (doc_id, version, place) of this batch that are dropped; its new lines become a run."""
+        with ordered_scans(self.space.spark):
+            met = self.space.save(self.merged(lines), "met")
         self.met.append(met)  # the returned rows read it
         self.levels[0].append(self._write(met.where("earlier is null").select("h1", "h2", F.col("least").alias("owner"))))
         self._compact()
@@ -84,9 +108,10 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.space.spark.sql(f"DROP TABLE {name}")
+            remove(self.space.spark, self.paths.pop(name))
 
     def forget(self) -> None:
-        """Drops the catalog's entries of the runs, and what batches wrote; the runs' files stay in the shared folder."""
+        """Drops the runs and what batches wrote, files and all."""
         self._drop(self.runs())
         for met in self.met:
             self.space.drop(met)
@@ -100,7 +125,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     space = Workspace(spark, "linededup")
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     batch = reduce(lambda a, c: a + (F.col("doc_id") > c).cast("int"), sorted(set(cuts)), F.lit(0))
-    lines = space.save(hashed(docs, min_chars).withColumn("batch", batch), "lines")
+    lines = space.save(hashed(docs, min_chars).withColumn("batch", batch), "lines", "batch")
     runs = LineRuns(space, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     gone = [space.save(runs.absorb(lines.where(F.col("batch") == i)), "gone") for i in range(len(set(cuts)) + 1)]
     runs.forget()
@@ -109,18 +134,22 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` and ``n_dropped``; those names must be free in ``docs``."""
-    gone = dropped_lines(docs, min_chars, batches, fanout).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("places").alias("__places"))
+    """``docs`` with the columns of ``ADDED``."""
+    gone = dropped_lines(docs.select("doc_id", "text"), min_chars, batches, fanout).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("places").alias("__places"))
+    # Columns that the operator does not read go in one, so that no name meets one of its own.
+    kept = [c for c in docs.columns if c not in ADDED]
+    rest = [c for c in kept if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", (F.struct(*rest) if rest else F.lit(None).cast("boolean")).alias("__rest"))
     text = F.coalesce("text", F.lit(""))
-    joined = docs.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left")
+    joined = packed.join(gone.hint("shuffle_hash"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left")
     # A flag for each line, made from the gaps between dropped places: time and memory follow the number of lines.
     flags = """concat(flatten(transform(__places, (p, k) -> concat(array_repeat(true, p - coalesce(get(__places, k - 1), -1) - 1), array(false)))),
                       array_repeat(true, size(__lines) - element_at(__places, -1) - 1))"""
-    kept = f"array_join(transform(array({flags}), f -> filter(__lines, (x, i) -> get(f, i)))[0], '\\n')"
+    left = f"array_join(transform(array({flags}), f -> filter(__lines, (x, i) -> get(f, i)))[0], '\\n')"
     out = joined.withColumn("__lines", F.split(text, "\n"))
     return out.select(
-        *docs.columns,
-        F.when(F.col("__places").isNull(), text).otherwise(F.expr(kept)).alias("kept_text"),
+        *[F.col(c) if c in ("doc_id", "text") else F.col("__rest")[c].alias(c) for c in kept],
+        F.when(F.col("__places").isNull(), text).otherwise(F.expr(left)).alias("kept_text"),
         F.size("__lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("__places"), F.lit(0)).cast("long").alias("n_dropped"),
     )

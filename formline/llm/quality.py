@@ -1,12 +1,13 @@
 """Quality rules: a ledger of failure bits and measurements, policies over it, and ablations.
 
-Every rule is evaluated once per document. The ledger keeps a 64-bit mask of failed rules and the
-measurements behind them; a policy is a mask of the rules that count, so another policy, or the
-ablation of one rule, reads the ledger and no text.
-
-Null or empty texts have no words and fail ``few_words``. Ties and repeated rows are judged row by
-row. An empty table gives an empty ledger. Other columns of the input are not carried, so their
-names cannot clash with those of the ledger.
+Every rule is evaluated once per document. The ledger is a written table with a 64-bit mask of failed
+rules and the measurements behind them; a policy is a mask of the rules that count, so another policy, or
+the ablation of one rule, reads the ledger and no text.
+
+Null or empty texts have no words and fail ``few_words``. Rows are judged one by one, so repeated rows
+agree and there are no ties to break. A very long text is measured whole, by one task, in time that
+follows its length times its logarithm. An empty table gives an empty ledger. Other columns of the input
+are not carried unless they are named, and their names then replace those of measurements.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, table, words_of
+from .common import SPACES, Workspace, table, words_of
 
 #: Words in a window, for repetition inside a text.
 WINDOW = 8
@@ -97,10 +98,9 @@ def measure(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def ledger(docs: DataFrame, *keep: str) -> DataFrame:
-    """Measurements and ``failed_bits``, a bit for each rule of ``RULES`` that the document fails."""
+    """Written measurements and ``failed_bits``, a bit for each rule of ``RULES`` that the document fails."""
     bits = "0L" + "".join(f" | if({r.fails}, {1 << i}L, 0L)" for i, r in enumerate(RULES))
-    # A partition's number, times zero, keeps a policy's filter above the ledger: below it, each rule would be evaluated again.
-    return measure(docs, *(keep or ("doc_id",))).withColumn("failed_bits", F.expr(f"({bits}) | (spark_partition_id() * 0L)"))
+    return Workspace(docs.sparkSession, "quality").save(measure(docs, *(keep or ("doc_id",))).withColumn("failed_bits", F.expr(bits)), "ledger")
 
 
 def passes(policy: str) -> Column:
@@ -133,7 +133,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes("v1").alias("kept"), "failed_bits")
 
 
-SQL = r"""
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of policy v1, what it does alone."""
+    return ablations(ledger(table(spark, sf_dir, "documents"), "doc_id"), "v1")
+
+
+_BITS = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 t AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
@@ -151,6 +156,17 @@ b AS (SELECT *, CAST(CASE WHEN n_words < 20 THEN 1 ELSE 0 END
     + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines THEN 8 ELSE 0 END
     + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END
     + CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END AS BIGINT) AS failed_bits FROM m)
+"""
+
+SQL = f"""{_BITS}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM b
 """
+
+_NAMES = ", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(RULES))
+
+ABLATIONS_SQL = f"""{_BITS}
+SELECT rule, count(*) FILTER (WHERE failed_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed_bits = bit) AS n_failed_alone,
+       count(*) FILTER (WHERE failed_bits & ~bit = 0) AS n_kept_without
+FROM b, (VALUES {_NAMES}) AS r(rule, bit) GROUP BY rule
+"""

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embdedup": embdedup.op8_embdedup,
     "op9_linededup": linededup.op9_linededup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "quality_ablations": quality.quality_ablations,
 }
 
 #: The others are held against brute force, exact round trips or held-out accuracy in the tests.
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op3_quality": quality.SQL,
     "op8_embdedup": embdedup.SQL,
     "op9_linededup": linededup.SQL,
+    "quality_ablations": quality.ABLATIONS_SQL,
 }

@@ -77,6 +77,10 @@ def test_against_sql(spark, small, name, module):
     check(getattr(module, name)(spark, small), small, module.SQL)
 
 
+def test_ablations_against_sql(spark, small):
+    check(quality.quality_ablations(spark, small), small, quality.ABLATIONS_SQL)
+
+
 def deduped(texts):
     """Plain Python: {doc: (kept text, lines, dropped)}."""
     key = lambda x: x.strip(SPACES).translate(ASCII_LOWER)
@@ -131,6 +135,46 @@ def test_runs_take_batches_as_they_come(spark):
     runs.forget()
 
 
+def test_no_run_is_sorted_or_shuffled_again(spark):
+    """Runs are scanned in their stored order, compacted runs leave no files, and forgotten ones neither."""
+    from pathlib import Path
+
+    from formline.llm.common import Workspace
+
+    space = Workspace(spark, "test")
+    runs = linededup.LineRuns(space, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout=3)
+    batch = lambda i: linededup.hashed(made(spark, [f"only in batch {i}, line {k}" for k in range(50)]).withColumn("doc_id", F.col("doc_id") + 50 * i))
+    for i in range(2):
+        runs.absorb(batch(i)).count()
+    with linededup.ordered_scans(spark):
+        plan = runs.merged(batch(2))._jdf.queryExecution().executedPlan().toString().split("\n")
+    plan = [x for x in plan if x.startswith(" ")]  # not the rest of a line that an expression breaks
+    scans = [i for i, x in enumerate(plan) if "formline_run_" in x and "Scan parquet" in x and "Batched" in x]
+    assert len(scans) == 2
+    for i in scans:
+        depth = lambda x: len(x) - len(x.lstrip(" :+-|"))
+        above, level = [], depth(plan[i])
+        for x in reversed(plan[:i]):
+            if depth(x) < level:
+                above.append(x.lstrip(" :+-|"))
+                level = depth(x)
+        upto = above[: next(k for k, x in enumerate(above) if "SortMergeJoin" in x)]
+        assert not any(x.startswith(("Sort ", "Exchange")) for x in upto), upto
+    files = lambda: [p for p in Path(space.root.removeprefix("file:")).glob("*-run") if p.is_dir()]
+    assert len(files()) == 2
+    runs.absorb(batch(2)).count()
+    assert len(runs.runs()) == len(files()) == 1
+    runs.forget()
+    assert not files()
+
+
+def test_clashing_names_are_replaced(spark):
+    docs = made(spark, ["a line that repeats", "a line that repeats"], kept_text="k", n_lines="n", __id=5, h1="x")
+    out = linededup.dedup_lines(docs)
+    assert len(set(out.columns)) == len(out.columns)
+    assert sorted((r["doc_id"], r["kept_text"], r["n_lines"], r["__id"], r["h1"]) for r in out.collect()) == [(0, "a line that repeats", 1, 5, "x"), (1, "", 1, 5, "x")]
+
+
 def test_digest(spark, small):
     row = linededup.op9_linededup(spark, small).orderBy("doc_id").first()
     text = spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").first()["text"]
