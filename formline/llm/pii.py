@@ -3,11 +3,13 @@
 The field labels the words of each line with begin and inside marks of five kinds. It is trained on a
 small labelled table, which a rule generates by default, and decoded by Viterbi in numpy batches. A
 line on which no word's best mark can outweigh "outside", whatever its transitions, is outside as a
-whole and needs no search. Spans of the field that meet no base span are added to those.
+whole and needs no search. Spans of the field are added to the base spans, but for those inside a base span
+or across one of their own kind.
 
 Null and empty texts have no spans. Rows are scanned one by one; repeated rows agree. Spans that
-start together keep the order of the kinds. An empty table gives an empty one. Other columns are
-not read.
+start together keep the order of the kinds, and marks that score alike go to the first of ``MARKS``. A very
+long text is scanned whole, by one task, in time that follows its length. An empty table gives an empty
+one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from .common import bounded, table
 KINDS = ("email", "ip", "card", "phone", "secret")
 MARKS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
-_EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match never starts inside a run of digits whose start failed, so only starts of runs are tried.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
@@ -49,15 +51,17 @@ def _only_digits(text: str) -> str:
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, sorted."""
     out = []
-    at = text.find("@")
+    # All starts in the run before an @ have the same match or none, so each @ is tried once, from the run's start.
+    at, free = text.find("@"), 0
     while at >= 0:
-        lo = hi = at
-        while lo and text[lo - 1] in _EMAIL_CHARS:
+        lo = at
+        while lo > free and text[lo - 1] in _LOCAL:
             lo -= 1
-        while hi < len(text) and text[hi] in _EMAIL_CHARS:
-            hi += 1
-        out += [(lo + m.start(), 0, lo + m.end()) for m in _EMAIL.finditer(text[lo:hi])]
-        at = text.find("@", hi)
+        m = _DOMAIN.match(text, at + 1) if lo < at else None
+        if m:
+            out.append((lo, 0, m.end()))
+        free = m.end() if m else at + 1
+        at = text.find("@", free)
     out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p) <= 255 or int(p[-3:]) <= 255 and not p[:-3].strip("0") for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _only_digits(m[0])) <= 19 and luhn(d):
@@ -70,7 +74,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 # Word shapes.
 
 #: Words that speak of what follows or joins parts; they are their own shape.
-CUES = frozenset("token key apikey api_key secret password passwd pwd bearer authorization tel phone call fax mobile email mail contact card visa ip host server at dot".split())
+CUES = frozenset((
+    "token", "key", "apikey", "api_key", "secret", "password", "passwd", "pwd", "pw", "bearer", "authorization", "tel", "phone", "call", "fax", "mobile",
+    "email", "mail", "contact", "card", "visa", "ip", "host", "server", "at", "dot",
+))
+# How keys of well-known services begin.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza")
+#: Characters of a shape that are told one by one; a longer shape says which kinds it holds.
+SHAPE = 24
 _RUN = re.compile(r"9+|a+|A+")
 
 
@@ -79,18 +90,27 @@ def shape(word: str) -> str:
     low = bare.strip(".,:;!?\"'()[]").lower()
     if low in CUES:
         return f"={low}{bare[-1:] if bare[-1:] in ':=' else ''}"
+    core = bare.strip(".,;!?\"'()[]")
+    if len(core) >= 16 and core.startswith(PREFIXES):
+        return "keyed"
     if bare.isalpha():
         return "a"
-    core = bare.strip(".,;!?\"'")
-    if len(core) >= 16 and core.isalnum() and not core.isalpha() and not core.isdigit():
-        return "code"
-    kinds = "".join("9" if "0" <= c <= "9" else "a" if c.islower() else "A" if c.isalpha() else c for c in core[:48])
-    return _RUN.sub(lambda m: m[0][0] + (str(min(len(m[0]), 5)) if m[0][0] == "9" else ""), kinds)[:24]
+    cue, mark, rest = core.partition("=") if "=" in core else core.partition(":")
+    if mark and rest and cue.lower() in CUES:
+        return f"={cue.lower()}{mark}{shape(rest)}"
+    if len(core) >= 16:
+        letters = core.replace("_", "").replace("-", "")
+        if letters.isalnum() and not letters.isalpha() and not letters.isdigit() and len(letters) >= 0.9 * len(core):
+            return "code"
+    kinds = _RUN.sub(lambda m: m[0][0] + (str(min(len(m[0]), 5)) if m[0][0] == "9" else ""), "".join("9" if "0" <= c <= "9" else "a" if c.islower() else "A" if c.isalpha() else c for c in bare.strip(".,;!?\"'")))
+    return kinds if len(kinds) <= SHAPE else "…" + "".join(sorted(set(kinds))) + "." * min(3, kinds.count("."))
 
 
 def features(name: str) -> list[str]:
     """A shape and what it has in common with others."""
-    if name[:1] == "=" or name in ("a", "code"):
+    if name[:1] == "=":
+        return [name, *[f"~={x}" for x in ("code", "keyed") if name.endswith((f"={x}", f":{x}"))]]
+    if name in ("a", "code", "keyed"):
         return [name]
     has = lambda c: c in name
     coarse = "".join(sorted({"9" if c.isdigit() else "a" if c.isalpha() else "." if c == "." else "@" if c == "@" else "(" if c in "()" else "-" if c == "-" else "+" if c == "+" else "=" if c == "=" else "_" for c in name}))
@@ -100,7 +120,7 @@ def features(name: str) -> list[str]:
 # The labelled table.
 
 
-def labelled(rows: int = 320, seed: int = 5) -> list[list[tuple[str, str]]]:
+def labelled(rows: int = 800, seed: int = 5) -> list[list[tuple[str, str]]]:
     """Lines of (word, mark), by a rule: invented words around values of each kind, and numbers that are none."""
     rng = np.random.default_rng(seed)
     syllables = "ba co di el fu gra hin jo ka lu mer né or pü qua ró sten tiñ un vès wi za the of and".split()
@@ -115,21 +135,27 @@ def labelled(rows: int = 320, seed: int = 5) -> list[list[tuple[str, str]]]:
 
     def value() -> tuple[list[str], list[str], str]:
         """Words before, the words of the value, its kind."""
-        kind = pick(["email", "ip", "card", "phone", "phone", "secret", "secret", "", "", "", ""])
-        name, host = word().strip(".,:%*;"), pick(["mail", "post", "host"]) + digits(1)
+        kind = pick(["email", "email", "ip", "card", "phone", "phone", "phone", "secret", "secret", "secret", "", "", "", ""])
+        name, host = word().strip(".,:%*;"), pick(["mail", "post", "host", word().strip(".,:%*;").lower()]) + pick(["", "", digits(1)])
         hexes = "".join(pick("0123456789abcdef") for _ in range(int(rng.integers(24, 44))))
         if kind == "email":
-            return ([pick(["email", "contact", "mail:"])] if rng.random() < 0.3 else [], pick([[f"{digits(2)}@{host}.example.com"], [f"{name}.{digits(2)}@{host}.org"], [name, "at", host, "dot", "com"]]), kind)
+            return ([pick(["email", "contact", "mail:"])] if rng.random() < 0.3 else [], pick([[pick([digits(2), name, f"{name}.{digits(2)}", f"{name}.{name}", f"{name}_{digits(1)}", f"{name}+{name}"]) + "@" + host + pick([".example.com", ".org", ".net", ".co.uk"])], [name, "at", host, "dot", pick(["com", "org", "net"])]]), kind)
         if kind == "ip":
             return ([pick(["ip", "host", "server"])] if rng.random() < 0.3 else [], [".".join(str(int(rng.integers(1, 255))) for _ in range(4))], kind)
         if kind == "card":
             return ([pick(["card", "visa"])] if rng.random() < 0.3 else [], pick([[digits(16)], [digits(4) for _ in range(4)], ["-".join(digits(4) for _ in range(4))]]), kind)
         if kind == "phone":
-            return ([pick(["tel", "phone", "call"])] if rng.random() < 0.3 else [], pick([[f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{digits(2)}", digits(3), digits(3), digits(4)]]), kind)
+            forms = [[f"+{digits(1)}", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"{digits(3)}-{digits(3)}-{digits(4)}"], [f"+{digits(2)}", digits(3), digits(3), digits(4)]]
+            *rest, last = pick(forms)
+            return ([pick(["tel", "phone", "call"])] if rng.random() < 0.3 else [], [*rest, last + pick(["", "", "", "###", "."])], kind)
         if kind == "secret":
-            cue = pick(["token", "password", "secret", "api_key", "key"])
-            text = pick([hexes, hexes.upper(), pick(["sk", "pk"]) + digits(4) + hexes])
-            return pick([([cue, "="], [f'"{text}"'], kind), ([f"{cue}:"], [text], kind), ([f"{cue}="], [f"'{text}'"], kind)])
+            cue = pick(["token", "password", "secret", "api_key", "key", "pw", "pwd", "bearer"])
+            if rng.random() < 0.35:
+                return pick([[], [], [f"{cue}:"], [cue]]), [pick(PREFIXES) + pick([hexes, hexes.upper()])[:36]], kind
+            text = pick([hexes, hexes.upper(), pick(["sk", "pk"]) + digits(4) + hexes, hexes[:20]])
+            noise = pick(["", "", "", "###", "%%", "."])
+            quote = pick(["'", '"', ""])
+            return pick([([cue, "="], [f'"{text}"{noise}'], kind), ([f"{cue}:"], [text + noise], kind), ([f"{cue}="], [f"'{text}'{noise}"], kind), ([cue], [text + noise], kind), ([], [f"{cue}{pick('=:')}{quote}{text}{quote}{noise}"], kind)])
         other = [digits(4), f"{digits(4)}-{digits(2)}-{digits(2)}", f"${digits(2)}.{digits(2)}", f"v{digits(1)}.{digits(1)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"{digits(2)}:{digits(2)}", digits(1), digits(2), f"{digits(3)}%", f"#{digits(3)}", f"({digits(4)})", f"{digits(1)},{digits(3)}", f"{digits(4)}-{digits(4)}", pick(sorted(CUES)), f"{word()}/{word()}", f"{name}-{name}", "|", "-", "=", f"{name}'s", f'"{name}"']
         return [], [pick(other)], ""
 
@@ -137,7 +163,8 @@ def labelled(rows: int = 320, seed: int = 5) -> list[list[tuple[str, str]]]:
     for _ in range(rows):
         line: list[tuple[str, str]] = []
         for _ in range(int(rng.integers(1, 4))):
-            line += [(word(), "O") for _ in range(int(rng.integers(1, 5)))]
+            # Values may follow one another.
+            line += [(word(), "O") for _ in range(0 if rng.random() < 0.4 else int(rng.integers(1, 5)))]
             before, words, kind = value()
             line += [(w, "O") for w in before]
             line += [(w, f"{'I' if i else 'B'}-{kind}" if kind else "O") for i, w in enumerate(words)]
@@ -326,10 +353,11 @@ def plausible(kind: int, text: str) -> bool:
             return 12 <= len(digits) <= 19 and luhn(digits)
         case "phone":
             return 9 <= len(digits) <= 15
-    return len(text) >= 12 and len(digits) >= 2
+    return len(text) >= 12 and (len(digits) >= 2 or text.startswith(PREFIXES))
 
 
 _TRIM = _NOISE + ".,:;!?\"'[]="
+_ASSIGNED = re.compile(rf"(?i)[^\w]*(?:{'|'.join(sorted(CUES, key=len, reverse=True))})[=:]")
 
 
 def spans_of(words: list[str], marks: np.ndarray, line: str, offset: int) -> list[tuple[int, int, int]]:
@@ -341,6 +369,9 @@ def spans_of(words: list[str], marks: np.ndarray, line: str, offset: int) -> lis
         kind, inside = (m - 1) // 2 if m else -1, m > 0 and m % 2 == 0
         if open_kind >= 0 and not (inside and kind == open_kind):
             text = line[start:end]
+            if KINDS[open_kind] == "secret" and (m := _ASSIGNED.match(text)):
+                start += m.end()
+                text = line[start:end]
             start += len(text) - len(text.lstrip(_TRIM))
             end -= len(text) - len(text.rstrip(_TRIM))
             if end > start and plausible(open_kind, line[start:end]):
@@ -370,7 +401,7 @@ def scan(texts: list[str], decode: Decoder) -> Iterator[tuple[list, list]]:
         extra.setdefault(i, []).extend(spans_of(words[n], marks, lines[n], at))
     for i, text in enumerate(texts):
         base = base_spans(text)
-        more = [s for s in extra.get(i, ()) if not any(s[0] < b[2] and b[0] < s[2] for b in base)] if i in extra else []
+        more = [s for s in extra[i] if not any(s[0] < b[2] and b[0] < s[2] and (s[1] == b[1] or b[0] <= s[0] and s[2] <= b[2]) for b in base)] if i in extra else []
         yield base, sorted(base + more)
 
 
