@@ -1,6 +1,8 @@
 """Licence scans by the places of licence words.
 
-The inverse document frequency of every template word is counted over all documents. An alignment of
+The index holds passages of public licences: notices, titles, and the sentences of licence texts, each a
+template of its own, so that an edit or a cut costs the passage it meets and no other. The inverse
+document frequency of every template word is counted over all documents. An alignment of
 a template puts its word q at place q + shift of the file, and covers the idf of the words that stand
 there. For every template whose words in the file could cover the share ``COVERED``, the words that
 the file holds least often propose shifts p - q, as many words as it takes that the others fall short
@@ -10,8 +12,9 @@ mandatory key phrases stands in the file where the alignment puts it. The score
 template's idf that an accepted alignment covers.
 
 Null and empty texts have no words, no places and empty labels. Ties between templates give both
-labels. Rows are scanned one by one; repeated rows agree. An empty table gives an empty one. Other
-columns are not read.
+labels. Rows are scanned one by one; repeated rows agree. A very long text is scanned whole, by one task:
+its words are read once, and alignments are checked only where rare words propose them. An empty table
+gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,29 +37,57 @@ LOWER = str.maketrans(ascii_uppercase, ascii_lowercase)
 # The phrases that the base labels stand for.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Opening and notice lines of public licences, with the phrases of which one must be met.
+# Passages of public licences, with the phrases of which one must be met.
 TEMPLATES = [
     ("mit", "Released under the MIT License", ["mit license"]),
     ("mit", "Licensed under the MIT license", ["mit license"]),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ["hereby granted free of charge"]),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ["deal in the software without restriction"]),
+    ("mit", "and to permit persons to whom the Software is furnished to do so, subject to the following conditions", ["persons to whom the software is furnished"]),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ["copies or substantial portions"]),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0", ["apache license version 2 0"]),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ["apache org licenses license 2 0"]),
+    ("apache-2.0", "Apache License Version 2.0, January 2004", ["apache license version 2 0"]),
+    ("apache-2.0", "each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form", ["publicly perform sublicense and distribute the work"]),
+    ("apache-2.0", "You may reproduce and distribute copies of the Work or Derivative Works thereof in any medium, with or without modifications, and in Source or Object form", ["copies of the work or derivative works thereof"]),
+    ("apache-2.0", "You must cause any modified files to carry prominent notices stating that You changed the files", ["prominent notices stating that you changed the files"]),
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", ["gnu general public license version 2"]),
+    ("gpl-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", ["version 2 june 1991"]),
+    ("gpl-2.0", "The licenses for most software are designed to take away your freedom to share and change it", ["designed to take away your freedom to share and change it"]),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ["gnu general public license version 3"]),
+    ("gpl-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", ["general public license version 3 29 june 2007"]),
+    ("gpl-3.0", "The licenses for most software and other practical works are designed to take away your freedom to share and change the works", ["most software and other practical works"]),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", ["gnu general public license"]),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program", ["gnu general public license along with"]),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", ["gnu lesser general public license"]),
+    ("lgpl", "You should have received a copy of the GNU Lesser General Public License along with this library", ["gnu lesser general public license along with"]),
     ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation", ["gnu affero general public license"]),
+    ("agpl", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007", ["affero general public license version 3"]),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ["source and binary forms"]),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products derived from"]),
+    ("bsd", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES", ["provided by the copyright holders and contributors as is"]),
     ("bsd", "Released under the BSD License", ["bsd license"]),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
+    ("isc", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS", ["the author disclaims all warranties with regard to this software"]),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", ["alter it and redistribute it freely"]),
+    ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software", ["origin of this software must not be misrepresented"]),
+    ("zlib", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software", ["altered source versions must be plainly marked"]),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0", ["boost software license version 1 0"]),
+    ("bsl-1.0", "to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software", ["distribute execute and transmit the software"]),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license v 2 0"]),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", ["mozilla org mpl 2 0"]),
     ("epl-2.0", "made available under the terms of the Eclipse Public License 2.0", ["eclipse public license 2 0", "eclipse public license v 2 0"]),
     ("unlicense", "This is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary", ["anyone is free to copy modify publish"]),
     ("cc0", "Creative Commons CC0 1.0 Universal Public Domain Dedication", ["cc0 1 0"]),
     ("cc-by", "Licensed under CC BY 4.0", ["cc by 4 0"]),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4 0"]),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0", ["cc by sa"]),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ["creative commons attribution sharealike"]),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0", ["cc by nc"]),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ["creative commons attribution noncommercial"]),
     ("cc-by-nd", "Licensed under CC BY-ND 4.0", ["cc by nd"]),
     ("reserved", "All rights reserved", ["all rights reserved"]),
 ]
@@ -136,20 +167,10 @@ class Index:
 def document_frequency(docs: DataFrame, templates=None) -> tuple[int, dict[str, int]]:
     """Documents, and how many hold each template word; at most as many rows as the templates have words."""
     vocab = sorted({w for t in templates or TEMPLATES for w in split(t[1])})
-    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    known = frozenset(vocab)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, seen = 0, Counter()
-        for pdf in bounded(batches):
-            for text in pdf["text"]:
-                n += 1
-                seen.update(known.intersection(pattern.findall(text.translate(LOWER))))
-        yield pd.DataFrame({"word": ["", *seen], "n": [n, *seen.values()]}).astype({"n": "int64"})
-
-    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = {r["word"]: r["n"] for r in counts.collect()}
-    return found.get("", 0), {w: found.get(w, 0) for w in vocab}
+    words = F.split(F.translate("text", ascii_uppercase, ascii_lowercase), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    held = docs.where("text is not null").select(F.explode(F.array_intersect(words, F.array(*[F.lit(w) for w in vocab]))).alias("word"))
+    found = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
+    return docs.count(), {w: found.get(w, 0) for w in vocab}
 
 
 def scan(docs: DataFrame, templates=None) -> DataFrame:

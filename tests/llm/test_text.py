@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from formline.llm import langid, licenses, toxicity
@@ -152,6 +153,65 @@ def test_several_notices(spark):
         assert abs(rows[i]["score"] - min(1, max(score, licenses.COVERED if base else 0))) < 1e-9
 
 
+def edited_notices(rng, edit):
+    """For each licence with several passages: its text, edited."""
+    by = {}
+    for label, passage, _ in licenses.TEMPLATES:
+        by.setdefault(label, []).append(passage)
+    return [(label, edit(". ".join(ps).split(" "), rng)) for label, ps in by.items() if sum(len(p.split()) for p in ps) >= 20]
+
+
+def _wrapped(words, rng):
+    return "".join(w + ("\n// * " if i % 9 == 8 else " ") for i, w in enumerate(words))
+
+
+def _cut(words, rng):
+    return " ".join(words[: len(words) // 2])
+
+
+def _replaced(words, rng):
+    return " ".join("other" if rng.random() < 0.08 else w for w in words)
+
+
+def _shifted(words, rng):
+    return " ".join(w + (" indeed" if rng.random() < 0.05 else "") for w in words if rng.random() > 0.03)
+
+
+@pytest.mark.parametrize("edit,least", [(_wrapped, 1.0), (_cut, 1.0), (_replaced, 0.9), (_shifted, 0.85)])
+def test_recall_on_edited_notices(edit, least):
+    rng = random.Random(4)
+    prose, _ = corpus(200)
+    index = licenses.Index(licenses.TEMPLATES, dict.fromkeys((w for t in licenses.TEMPLATES for w in licenses.split(t[1])), 5.0))
+    cases = [c for _ in range(8) for c in edited_notices(rng, edit)]
+    hit = [label in index.scan(licenses.split(rng.choice(prose) + "\n" + text + "\n" + rng.choice(prose)))[4] for label, text in cases]
+    assert np.mean(hit) >= least
+    assert not any(index.scan(licenses.split(t))[4] for t in prose)
+
+
+def test_document_frequencies(spark):
+    texts = ["The MIT license, the MIT License", None, "license\x0bMIT", "", "éMIT mit\u00e9"]
+    n, df = licenses.document_frequency(documents(spark, texts))
+    assert n == 5
+    for w in df:
+        assert df[w] == sum(w in licenses.split(t or "") for t in texts), w
+
+
+def test_license_query_by_definition(spark, small):
+    """The query's rows against every alignment at every shift, on whole texts."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    total, df = licenses.document_frequency(docs)
+    index = licenses.Index(licenses.TEMPLATES, {w: np.log((1 + total) / (1 + n)) + 0.05 for w, n in df.items()})
+    rows = {r["doc_id"]: r for r in licenses.op7_licenses(spark, small).collect()}
+    assert set(rows) == set(texts)
+    for i, t in texts.items():
+        r = rows[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == scanned(t)
+        if len(t) < 6_000:
+            labels, _ = aligned(index, licenses.split(t))
+            assert set(filter(None, r["labels"].split(","))) == labels | set(filter(None, r["base_labels"].split(",")))
+
+
 def toxic_corpus(n=500):
     rng = random.Random(6)
     stems = ["scumb", "vlorp", "krazt"]
