@@ -50,7 +50,7 @@ class Encoder:
     disagree about white space, go to the tokenizer whole.
     """
 
-    ODD = frozenset("\x1c\x1d\x1e\x1f")
+    ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     MARKS = "~^`♥★"
     AT_ONCE = 400
 
@@ -80,23 +80,30 @@ class Encoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.split() if self.ODD.isdisjoint(t) else None for t in texts]
+        words = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
         memo = self.memo
-        asked = {w for ws in words if ws for w in ws}
-        new = [w for w in asked if w not in memo]
+        asked = set().union(*filter(None, words))
+        new = asked.difference(memo)
         if len(memo) >= MEMO_WORDS and 2 * len(new) > len(asked):
             memo.clear()  # other words than before are common now
-            new = list(asked)
-        rest = self._new(new)
+            new = asked
+        rest = self._new(list(new))
         for w, ids in rest.items():
             if len(memo) >= MEMO_WORDS:
                 break
             if len(w) <= MEMO_CHARS:
                 memo[w] = ids
         out = []
+        known = memo.__getitem__
         for text, ws in zip(texts, words, strict=True):
-            ids = self._ids(text) if ws is None else np.frombuffer(b"".join([memo[w] if w in memo else rest[w] for w in ws]), dtype=self.kind)
-            out.append(ids)
+            if ws is None:
+                out.append(self._ids(text))
+                continue
+            try:
+                raw = b"".join(map(known, ws))
+            except KeyError:
+                raw = b"".join([memo[w] if w in memo else rest[w] for w in ws])
+            out.append(np.frombuffer(raw, dtype=self.kind))
         return out
 
 
