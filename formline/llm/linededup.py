@@ -34,16 +34,18 @@ FANOUT = 3
 ADDED = ("kept_text", "n_lines", "n_dropped")
 #: Lets a scan of a bucketed table with one file a bucket say that it is sorted.
 ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+#: Lets a task write the folders of all batches at once, where it would else sort its rows by them.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 @contextmanager
-def ordered_scans(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(ORDERED, None)
-    spark.conf.set(ORDERED, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(ORDERED) if before is None else spark.conf.set(ORDERED, before)
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def line_key(line: Column) -> Column:
@@ -87,7 +89,7 @@ class LineRuns:
 
     def absorb(self, lines: DataFrame) -> DataFrame:
         """The lines (doc_id, version, place) of this batch that are dropped; its new lines become a run."""
-        with ordered_scans(self.space.spark):
+        with setting(self.space.spark, ORDERED, "true"):
             met = self.space.save(self.merged(lines), "met")
         self.met.append(met)  # the returned rows read it
         self.levels[0].append(self._write(met.where("earlier is null").select("h1", "h2", F.col("least").alias("owner"))))
@@ -125,7 +127,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     space = Workspace(spark, "linededup")
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     batch = reduce(lambda a, c: a + (F.col("doc_id") > c).cast("int"), sorted(set(cuts)), F.lit(0))
-    lines = space.save(hashed(docs, min_chars).withColumn("batch", batch), "lines", "batch")
+    with setting(spark, WRITERS, str(batches)):
+        lines = space.save(hashed(docs, min_chars).withColumn("batch", batch), "lines", "batch")
     runs = LineRuns(space, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     gone = [space.save(runs.absorb(lines.where(F.col("batch") == i)), "gone") for i in range(len(set(cuts)) + 1)]
     runs.forget()

@@ -17,6 +17,7 @@ not read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
@@ -36,7 +37,7 @@ GRID = 64
 SHARD_CHARS = 3_000_000
 CLOSING_ID = 2
 #: Words whose ids a Python worker remembers, of up to MEMO_CHARS each.
-MEMO_WORDS, MEMO_CHARS = 400_000, 48
+MEMO_WORDS, MEMO_CHARS = 1_000_000, 48
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long"
 
@@ -45,42 +46,97 @@ class Encoder:
     """Ids of whole texts, as the tokenizer gives them, with a memo of words.
 
     The tokenizer's pattern never spans white space, so the ids of a text are those of its words in
-    order. New words go to the tokenizer many at a time, with a word between them whose one id no
-    other word can give. Texts with separators U+001C to U+001F, on which Python and the tokenizer
-    disagree about white space, go to the tokenizer whole.
+    order, and it parts a run of letters from the marks after it. New words go to it many at a time: those
+    of letters alone, but for marks at their end, without these and in lower case to the same model behind a
+    plain split at spaces; others to the tokenizer itself, with a word between them whose one id no other word
+    can give. Texts with separators U+001C to U+001F, on which Python and the tokenizer disagree about
+    white space, go to the tokenizer whole. That all this gives the ids of the whole text is tried once on ``TRIAL``; if it does
+    not, whole texts are encoded.
     """
 
     ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
     MARKS = "~^`♥★"
+    ENDS = ".,;:!?"
     AT_ONCE = 400
+    TRIAL = "Ab ab. é É! don't x1 12.5 naïve—so... ÀÉ, 日本 word?! ~ ^ \U0001f389 straße STRASSE; a:b"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.closing[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.memo: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
         self.between, self.mark = next(((c, int(x[0])) for c in self.MARKS if len(x := self._ids(c)) == 1), (None, None))
+        self.whole = False
+        self.whole = not np.array_equal(self([self.TRIAL])[0], self._ids(self.TRIAL))
+        self.memo.clear()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
-    def _new(self, words: list[str]) -> dict[str, bytes]:
-        plain = [w for w in words if self.between not in w and len(w) <= MEMO_CHARS] if self.between else []
-        known = dict.fromkeys(plain)
-        out = {w: self._ids(w).tobytes() for w in words if w not in known}
-        parts = [plain[i : i + self.AT_ONCE] for i in range(0, len(plain), self.AT_ONCE)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast([f" {self.between} ".join(p) for p in parts], add_special_tokens=False), strict=True):
+    def _cores(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case letters, parted after ids that close a word."""
+        out: list[bytes] = []
+        for i in range(0, len(words), self.AT_ONCE):
+            part = words[i : i + self.AT_ONCE]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = ((np.flatnonzero(self.closing[ids]) + 1) * self.kind.itemsize).tolist()
+            if len(ends) != len(part):  # a tokenizer whose ids do not say where words end
+                out += [self._ids(w).tobytes() for w in part]
+                continue
+            raw = ids.tobytes()
+            out += [raw[x:y] for x, y in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _marked(self, words: list[str]) -> list[bytes]:
+        """Ids of words, with a mark between them."""
+        out: list[bytes] = []
+        for i in range(0, len(words), self.AT_ONCE):
+            e = self.tokenizer.encode_batch_fast([f" {self.between} ".join(words[i : i + self.AT_ONCE])], add_special_tokens=False)[0]
             ids = np.array(e.ids, dtype=self.kind)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * self.kind.itemsize
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                out[w] = raw[at:end]
-                at = end + self.kind.itemsize
+            raw, ends = ids.tobytes(), (np.append(np.flatnonzero(ids == self.mark), len(ids)) * self.kind.itemsize).tolist()
+            size = self.kind.itemsize
+            out += [raw[x:y] for x, y in zip([0, *[x + size for x in ends]], ends, strict=False)]
+        return out
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        rest: list[str] = []
+        cores: dict[str, list[str]] = {}
+        marks = self.ENDS
+        for w in words:
+            bare = w.rstrip(marks)
+            if bare.isalpha() and len(w) <= MEMO_CHARS:
+                cores.setdefault(bare.lower(), []).append(w)
+            else:
+                rest.append(w)
+        every = " ".join(cores)
+        if "ς" in every or not unicodedata.is_normalized("NFC", every) or not all(map(str.isalpha, cores)) or not unicodedata.is_normalized("NFC", " ".join(words)):
+            odd = [c for c, own in cores.items() if "ς" in c or not c.isalpha() or not all(unicodedata.is_normalized("NFC", x) for x in (c, *own))]
+            rest += [w for c in odd for w in cores.pop(c)]
+        out: dict[str, bytes] = {}
+        for ids, own in zip(self._cores(list(cores)), cores.values(), strict=True):
+            for w in own:
+                end = w[len(w.rstrip(marks)) :]
+                if not end:
+                    out[w] = ids
+                    continue
+                if end not in self.ends:
+                    self.ends[end] = self._ids(end).tobytes()
+                out[w] = ids + self.ends[end]
+        known = [w for w in rest if self.between and self.between not in w and len(w) <= MEMO_CHARS]
+        out.update(zip(known, self._marked(known), strict=True))
+        out.update((w, self._ids(w).tobytes()) for w in rest if w not in out)
         return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [None if any(c in t for c in self.ODD) else t.split() for t in texts]
+        words = [None if self.whole or any(c in t for c in self.ODD) else t.split() for t in texts]
         memo = self.memo
         asked = set().union(*filter(None, words))
         new = asked.difference(memo)

@@ -146,7 +146,7 @@ def test_no_run_is_sorted_or_shuffled_again(spark):
     batch = lambda i: linededup.hashed(made(spark, [f"only in batch {i}, line {k}" for k in range(50)]).withColumn("doc_id", F.col("doc_id") + 50 * i))
     for i in range(2):
         runs.absorb(batch(i)).count()
-    with linededup.ordered_scans(spark):
+    with linededup.setting(spark, linededup.ORDERED, "true"):
         plan = runs.merged(batch(2))._jdf.queryExecution().executedPlan().toString().split("\n")
     plan = [x for x in plan if x.startswith(" ")]  # not the rest of a line that an expression breaks
     scans = [i for i, x in enumerate(plan) if "formline_run_" in x and "Scan parquet" in x and "Batched" in x]
