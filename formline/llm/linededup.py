@@ -34,8 +34,6 @@ FANOUT = 3
 ADDED = ("kept_text", "n_lines", "n_dropped")
 #: Lets a scan of a bucketed table with one file a bucket say that it is sorted.
 ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
-#: Lets a task write the folders of all batches at once, where it would else sort its rows by them.
-WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 @contextmanager
@@ -127,8 +125,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches: int = BA
     space = Workspace(spark, "linededup")
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000)).first()[0] or []
     batch = reduce(lambda a, c: a + (F.col("doc_id") > c).cast("int"), sorted(set(cuts)), F.lit(0))
-    with setting(spark, WRITERS, str(batches)):
-        lines = space.save(hashed(docs, min_chars).withColumn("batch", batch), "lines", "batch")
+    # Batches are ranges of doc_id, so the files' own bounds let a batch's scan pass over the others where the table is in that order.
+    lines = space.save(hashed(docs, min_chars).withColumn("batch", batch), "lines")
     runs = LineRuns(space, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
     gone = [space.save(runs.absorb(lines.where(F.col("batch") == i)), "gone") for i in range(len(set(cuts)) + 1)]
     runs.forget()
