@@ -101,6 +101,16 @@ def occurrences(node: object, path: str = "", parent: str | None = None) -> Iter
             yield from occurrences(x, f"{path}/~*", path)
 
 
+def shape_nodes(node: dict, path: str = "", parent: str | None = None) -> Iterator[tuple]:
+    """(path, parent, kind, empty, partial) of a canonical shape, decoded from JSON, and all below it."""
+    kind = {"null": NULL, "bool": BOOL, "num": NUMBER, "str": STRING, "arr": ARRAY, "obj": OBJECT}[node["t"]]
+    yield path, parent, kind, node.get("e") == "empty", node.get("e") == "partial"
+    for key, x in node.get("f", {}).items():
+        yield from shape_nodes(x, f"{path}/{key.replace('~', '~0').replace('/', '~1')}", path)
+    for x in node.get("of", ()):
+        yield from shape_nodes(x, f"{path}/~*", path)
+
+
 # Generalised schemas, from the merged counts of a profile's paths.
 
 # Types in the order of the canonical form, with their kind.

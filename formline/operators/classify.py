@@ -21,11 +21,15 @@ def with_identity(records: DataFrame, value: str = "value", limits: Limits = Lim
     return parsed.withColumn("fp", fp).withColumn("bucket", bucket)
 
 
-def classify(identified: DataFrame, index: DataFrame, value: str = "value", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def classify(identified: DataFrame, index: DataFrame | None, value: str = "value", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds ``fate`` and ``schema_id``. ``index`` has (bucket, fp, schema_id), one row per (bucket, fp).
 
-    Fates: tombstone, malformed, known, provisional. The index is broadcast if it is counted small.
+    Fates: tombstone, malformed, known, provisional. The index is broadcast if it is counted small. Without an index, as when the
+    registry cannot be read, documents are ``unresolved`` and get no candidate.
     """
+    if index is None:
+        fate = F.when(F.col(value).isNull(), "tombstone").when(F.col("reason").isNotNull(), "malformed").otherwise("unresolved")
+        return identified.select("*", F.lit(None).cast("string").alias("schema_id"), fate.alias("fate"), F.lit(None).cast("string").alias("candidate"))
     side = index.select("bucket", "fp", F.col("schema_id"))
     if index.limit(broadcast_rows + 1).count() <= broadcast_rows:
         side = F.broadcast(side)
@@ -42,10 +46,14 @@ def classify(identified: DataFrame, index: DataFrame, value: str = "value", broa
 HEADROOM = 16 << 10
 
 
+def oversized(max_message_bytes: int, value: str = "value") -> Column:
+    """Whether a record leaves no room for its headers in a message; such a one goes to quarantine and nowhere else."""
+    return F.coalesce(F.octet_length(value) > max_message_bytes - HEADROOM, F.lit(False))
+
+
 def quarantine(classified: DataFrame, max_message_bytes: int, value: str = "value") -> DataFrame:
     """Malformed records with their reason; a payload too large to forward is left out."""
-    size = F.octet_length(value)
-    over = size > max_message_bytes - HEADROOM
+    over = oversized(max_message_bytes, value)
     kept = classified.where((F.col("fate") == "malformed") | over)
     return kept.withColumn("reason", F.when(over, "size_exceeded").otherwise(F.col("reason"))).withColumn(value, F.when(~over, F.col(value)))
 

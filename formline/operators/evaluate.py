@@ -82,15 +82,16 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
 def bootstrap(pairs: DataFrame, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """Mean and 95 % interval of the accuracy difference of (id, a_correct, b_correct), by Poisson resampling.
 
-    A case's weight in a round is drawn from a hash of both, so that no row is moved or sampled twice;
-    cases are counted by their kind first, and each round draws those three counts.
+    Cases are counted by their kind first. The count of a kind in a Poisson resample is Poisson, near enough normal for the
+    counts that matter; each round's draws come from a hash of the seed, the round and the kind, so they are the same however the
+    rows are dealt out.
     """
     diff = F.col("a_correct").cast("int") - F.col("b_correct").cast("int")
     kinds = pairs.groupBy(diff.alias("d")).agg(F.count("*").alias("n"))
-    spark = pairs.sparkSession
-    draws = spark.range(rounds).withColumnRenamed("id", "round").crossJoin(F.broadcast(kinds))
-    # The count of a kind in a Poisson resample is Poisson, near enough normal for the counts that matter.
-    drawn = draws.withColumn("k", F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * F.randn(seed))))
+    draws = pairs.sparkSession.range(rounds).select(F.col("id").alias("round")).join(F.broadcast(kinds), how="cross")
+    unit = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "round", "d"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    normal = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * F.pi() * unit(2))
+    drawn = draws.withColumn("k", F.greatest(F.lit(0.0), F.round(F.col("n") + F.sqrt("n") * normal)))
     means = drawn.groupBy("round").agg((F.sum(F.col("d") * F.col("k")) / F.nullif(F.sum("k"), F.lit(0.0))).alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
@@ -164,3 +165,48 @@ def difficult(cases: DataFrame, versions: DataFrame, floor: int) -> DataFrame:
     joined = cases.join(many, "family", "left").join(known, ["family", "fp"], "left")
     tags = F.array(F.when(F.col("many"), "multi_version"), F.when(F.col("observations") < floor, "below_floor"), F.when(F.col("known").isNull(), "gold_absent"))
     return joined.select("id", F.array_compact(tags).alias("tags"))
+
+
+#: Metrics of decisions: the share of cases with a flag, among those with a condition; both in SQL.
+METRICS = {
+    "json_parse_rate": ("parsed", "true"), "schema_valid_rate": ("valid", "true"), "exact_accuracy": ("correct", "true"), "choice_accuracy": ("predicted = expected", "true"),
+    "wrong_valid_rate": ("valid AND NOT correct", "true"), "id_violation_rate": ("id_violation", "true"), "abstain_precision": ("expected = 'abstain'", "predicted = 'abstain'"),
+    "abstain_recall": ("predicted = 'abstain'", "expected = 'abstain'"), "recall_1": ("coalesce(gold_rank <= 1, false)", "has_gold"), "recall_3": ("coalesce(gold_rank <= 3, false)", "has_gold"),
+    "recall_5": ("coalesce(gold_rank <= 5, false)", "has_gold"), "false_merge_rate": ("predicted = 'match' AND NOT correct", "merge_trap"), "false_split_rate": ("predicted = 'new' AND NOT correct", "split_trap"),
+    "new_family_recall": ("predicted = 'new'", "expected = 'new'"), "new_family_precision": ("expected = 'new'", "predicted = 'new'"), "gold_absent_accuracy": ("predicted = 'abstain'", "NOT has_gold"),
+    "injection_accuracy": ("correct", "injected"), "repair_rate": ("repairs > 0", "true"), "repair_success": ("valid", "repairs > 0"), "coverage": ("predicted <> 'abstain'", "valid"),
+    "accepted_precision": ("correct", "accepted"), "timeout_rate": ("error = 'timeout'", "true"), "provider_error_rate": ("error = 'provider'", "true"), "malformed_rate": ("error = 'malformed'", "true"),
+    "cache_hit_rate": ("cached", "true"), "drift_recall": ("predicted = 'match' AND correct", "category = 'compatible_drift'"), "exact_recall": ("predicted = 'match' AND correct", "category = 'known_exact'"),
+    "unsafe_merge_rate": ("predicted = 'match'", "category = 'incompatible_unsafe'"),
+}
+
+
+def metrics(cases: DataFrame, *by: str) -> DataFrame:
+    """All of ``METRICS`` in one pass, with the mean reciprocal rank, mean repairs and tokens; null where no case has the condition."""
+    of = [(F.expr(f"count_if(({flag}) AND ({cond})) / nullif(count_if({cond}), 0)")).alias(n) for n, (flag, cond) in METRICS.items()]
+    mrr = F.expr("sum(CASE WHEN has_gold AND gold_rank IS NOT NULL THEN 1 / gold_rank ELSE 0 END) / nullif(count_if(has_gold), 0)").alias("mrr")
+    return cases.groupBy(*by).agg(F.count("*").alias("n"), *of, mrr, F.avg("repairs").alias("mean_repairs"), F.avg("tokens").alias("mean_tokens"))
+
+
+def worst_slice(cases: DataFrame, by: str, least: int = 1) -> DataFrame:
+    """The slice of at least so many cases with the lowest accuracy, and its name; ties by name."""
+    each = cases.groupBy(by).agg(F.count("*").alias("n"), share(F.col("correct")).alias("accuracy")).where(F.col("n") >= least)
+    return each.orderBy("accuracy", by).limit(1)
+
+
+def relation_confusion(cases: DataFrame) -> DataFrame:
+    """(expected_relation, predicted_relation, n) of cases that both sides match."""
+    return cases.where("expected = 'match' and predicted = 'match'").groupBy("expected_relation", "predicted_relation").agg(F.count("*").alias("n"))
+
+
+def multiset_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(a, b, similarity) of pairs that share an item, from (a, item, n) and (b, item, n): shared counts over the larger ones."""
+    both = a.join(b.withColumnRenamed("n", "__n"), "item").groupBy("a", "b").agg(F.sum(F.least("n", "__n")).alias("s"))
+    size = lambda x, k: x.groupBy(k).agg(F.sum("n").alias(f"__{k}"))
+    return both.join(size(a, "a"), "a").join(size(b, "b"), "b").select("a", "b", (F.col("s") / (F.col("__a") + F.col("__b") - F.col("s"))).alias("similarity"))
+
+
+def repeatability(runs: DataFrame) -> DataFrame:
+    """(n, repeated): cases (run, id, decision) that all runs decide alike."""
+    each = runs.groupBy("id").agg((F.count_distinct(F.coalesce("decision", F.lit(""))) == 1).alias("same"))
+    return each.agg(F.count("*").alias("n"), share(F.col("same")).alias("repeated"))

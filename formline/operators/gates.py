@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .evaluate import share
+
 MAX_DISTANCE, MIN_MARGIN, MIN_OBSERVATIONS = 0.15, 0.10, 20
 
 
@@ -42,15 +43,46 @@ def unseen(cases: DataFrame, seen: DataFrame) -> DataFrame:
     return keyed.join(seen.select("candidate", "set_hash"), ["candidate", "set_hash"], "left_anti")
 
 
-def top_one(ranked: DataFrame) -> DataFrame:
-    """(query, decision, schema_id): the nearest schema whatever its distance, or a new one if nothing was found."""
+EXACT = 1e-6
+
+
+def top_one(asked: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(query, decision, schema_id, detail): the nearest schema whatever its distance; with none it abstains."""
     first = ranked.where("rank = 1").select("query", "schema_id")
-    return ranked.select("query").distinct().join(first, "query", "left").select("query", F.when(F.col("schema_id").isNull(), "new").otherwise("match").alias("decision"), "schema_id")
+    none = F.col("schema_id").isNull()
+    return asked.select("query").distinct().join(first, "query", "left").select("query", F.when(none, "abstain").otherwise("match").alias("decision"), "schema_id", F.when(none, "candidate_missing").otherwise("exact").alias("detail"))
 
 
-def deterministic(ranked: DataFrame, max_distance: float = MAX_DISTANCE, min_margin: float = MIN_MARGIN) -> DataFrame:
-    """(query, decision): match if near and apart from the second, new if far, else abstain. A single one has room on all sides."""
-    single = F.count("*").over(W.partitionBy("query")) == 1
-    first = ranked.withColumn("__single", single).where("rank = 1")
-    decision = F.when(F.col("distance") > max_distance, "new").when(F.col("__single") | (F.col("margin") >= min_margin), "match").otherwise("abstain")
-    return first.select("query", decision.alias("decision"))
+def deterministic(asked: DataFrame, ranked: DataFrame, max_distance: float = MAX_DISTANCE, min_margin: float = MIN_MARGIN, least: int = MIN_OBSERVATIONS) -> DataFrame:
+    """(query, decision, detail) of candidates (query, observations): abstains without a schema, on little evidence, or if two are near; new if all are far.
+
+    ``margin`` is 0 with fewer than two, so a single near schema is no clear case.
+    """
+    first = ranked.where("rank = 1").select("query", "distance", "margin")
+    rows = asked.select("query", "observations").join(first, "query", "left")
+    cases = [
+        (F.col("distance").isNull(), "abstain", "candidate_missing"), (F.col("observations") < least, "abstain", "insufficient_evidence"),
+        (F.col("distance") > max_distance, "new", "structural"), (F.col("margin") < min_margin, "abstain", "ambiguous"), (F.col("distance") <= EXACT, "match", "exact"),
+    ]
+    pick = lambda i, last: F.coalesce(*[F.when(c[0], F.lit(c[i])) for c in cases], F.lit(last))
+    return rows.select("query", pick(1, "match").alias("decision"), pick(2, "compatible_drift").alias("detail"))
+
+
+def gated(decided: DataFrame, reasons: DataFrame) -> DataFrame:
+    """(query, decision, reasons): a proposed match that the gate has reasons against becomes an abstention; from (query, decision) and (query, reasons)."""
+    rows = decided.join(reasons, "query", "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))
+    return rows.select("query", F.when((F.col("decision") == "match") & (F.size("reasons") > 0), "abstain").otherwise(F.col("decision")).alias("decision"), "reasons")
+
+
+def containment(cases: DataFrame) -> DataFrame:
+    """(n, blocked, bad_blocked, good_passed, coverage) of proposed matches (correct, reasons): what the gate holds back, and what of the right ones gets through."""
+    stopped = F.size("reasons") > 0
+    return cases.agg(
+        F.count("*").alias("n"), F.count_if(stopped).alias("blocked"), share(stopped, ~F.col("correct")).alias("bad_blocked"),
+        share(~stopped, F.col("correct")).alias("good_passed"), share(~stopped).alias("coverage"),
+    )
+
+
+def guard_histogram(cases: DataFrame) -> DataFrame:
+    """(reason, n): how often each guard spoke."""
+    return cases.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))

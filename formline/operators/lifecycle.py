@@ -9,6 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import shapes
+from ..functions.identity import DEFAULT_TAGS, IdentityTags, bucket_key
+from ..session import ship
+from . import profile, registry
+
 
 @dataclass(frozen=True)
 class PromotionPolicy:
@@ -56,9 +61,77 @@ def keep_newest(rows: DataFrame, by: str, order: Column, most: int) -> DataFrame
     return rows.withColumn("__n", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("__n") <= most).drop("__n")
 
 
-def reduced_fingerprints(whole: str, without: list[str]) -> list[str]:
-    """A shape's own fingerprint, then those with one top-level field less, if it has two or more."""
-    return [whole, *(without if len(without) >= 2 else [])]
+def reduced_fingerprints(profiles: DataFrame, documents: DataFrame, by: str, tags: IdentityTags = DEFAULT_TAGS) -> DataFrame:
+    """(by, place, removed, fingerprint): the generalized fingerprint of each profile at place 0, then those with one top-level field less, by key, if it has two or more; ``documents`` has (by, n)."""
+    ship(profiles.sparkSession)
+    rows = profiles.join(documents, by).select(by, "path", "n", *profile.TYPES)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        paths = {p: tuple(map(int, c)) for p, c in zip(pdf["path"], pdf[list(profile.TYPES)].to_numpy(), strict=True)}
+        n = int(pdf["n"].iloc[0])
+        keys = sorted((shapes.unescape(p[1:]), p) for p in paths if p.count("/") == 1 and p != "/~*")
+        out = [(key[0], 0, None, profile.fingerprint(shapes.generalized(paths, n), tags))]
+        for i, (name, top) in enumerate(keys if len(keys) >= 2 else (), 1):
+            rest = {p: c for p, c in paths.items() if p != top and not p.startswith(f"{top}/")}
+            out.append((key[0], i, name, profile.fingerprint(shapes.generalized(rest, n), tags)))
+        return pd.DataFrame(out, columns=[by, "place", "removed", "fingerprint"])
+
+    kind = profiles.schema[by].dataType.simpleString()
+    return rows.groupBy(by).applyInPandas(run, f"{by} {kind}, place long, removed string, fingerprint string")
+
+
+def variants(identified: DataFrame, by: str) -> DataFrame:
+    """(by, bucket, fp) of the concrete shapes that records of a candidate have."""
+    return identified.where("fp is not null").select(by, "bucket", "fp").distinct()
+
+
+@dataclass
+class Promotion:
+    """What a promotion writes."""
+
+    schemas: DataFrame  # schema_id, family_id, canonical, version, bucket, simhash, source, candidate
+    index: DataFrame  # bucket, fp, schema_id
+    values: DataFrame  # schema_id, path, present, denom, optional, mask
+    aliases: DataFrame  # candidate, schema_id
+    candidates: DataFrame  # as given, with those promoted staged
+    audit: DataFrame  # candidate, schema_id, version, outcome
+
+
+class Frozen(Exception):
+    """The store is not healthy: tagging goes on, promotions wait."""
+
+
+def promote(candidates: DataFrame, profiles: DataFrame, concrete: DataFrame, published: DataFrame, aliases: DataFrame, healthy: bool = True, tags: IdentityTags = DEFAULT_TAGS) -> Promotion:
+    """Publishes the provisional ones of candidates (candidate, source, family_id, order, state) as immutable schemas; one writer at a time.
+
+    ``profiles`` are the candidates' (candidate, path, ...), ``concrete`` their shapes (candidate, bucket, fp), ``published`` the
+    registry (schema_id, family_id, canonical, version) and ``aliases`` what earlier candidates became. A schema's id is its generalized
+    fingerprint, so a candidate of known content gets the schema that is there, with its version. A candidate that an alias
+    already leads elsewhere raises, as does other content under a known id.
+    """
+    if not healthy:
+        raise Frozen
+    own = profiles.join(candidates.where("state = 'provisional'").select("candidate"), "candidate", "left_semi")
+    docs = own.where("path = ''").select("candidate", F.col("present").alias("n"))
+    made = profile.generalized(own, docs, "candidate", tags).join(profile.summary(own, "candidate"), "candidate")
+    drafts = made.join(candidates, "candidate").select(F.col("fingerprint").alias("schema_id"), "family_id", "canonical", "order", "candidate", "source", "simhash", bucket_key(F.col("n_fields"), F.col("depth"), F.col("keys")).alias("bucket"))
+    clash = drafts.select("candidate", "schema_id").join(aliases.select("candidate", F.col("schema_id").alias("was")), "candidate").where("schema_id <> was")
+    if row := clash.first():
+        raise ValueError(f"candidate {row['candidate']} is schema {row['was']} already")
+    whole = registry.publish(published, drafts)
+    by = drafts.join(whole.select("schema_id", "version", F.col("family_id").alias("family")), "schema_id")
+    schemas = by.select("schema_id", F.col("family").alias("family_id"), "canonical", "version", "bucket", "simhash", "source", "candidate")
+    shapes_of = concrete.join(by.select("candidate", "schema_id"), "candidate").select("bucket", "fp", "schema_id")
+    found = profile.leaves(profile.with_denominators(own, "candidate"), "candidate").join(by.select("candidate", "schema_id"), "candidate")
+    now = by.select("candidate", "schema_id")
+    audit = by.join(published.select("schema_id", F.lit(True).alias("__old")), "schema_id", "left").select("candidate", "schema_id", "version", F.when(F.col("__old"), "known").otherwise("published").alias("outcome"))
+    staged = candidates.join(now.select("candidate", F.lit(True).alias("__done")), "candidate", "left").withColumn("state", F.when(F.col("__done"), "staged").otherwise(F.col("state"))).drop("__done")
+    return Promotion(schemas, registry.variant_index(by.select("bucket", F.col("schema_id").alias("fp"), "schema_id"), shapes_of), found.select("schema_id", "path", "present", "denom", "optional", "mask"), aliases.select("candidate", "schema_id").unionByName(now).distinct(), staged, audit)
+
+
+def listed(candidates: DataFrame) -> DataFrame:
+    """(state, candidate): the listing by state, made anew from the records; rejected ones are in none."""
+    return candidates.where(F.col("state").isin("provisional", "staged")).select("state", "candidate").distinct()
 
 
 def fold(fingerprints: list[list[str]], ids: list[str]) -> list[str]:

@@ -7,6 +7,10 @@ merge, in any order and any number of steps.
 
 from __future__ import annotations
 
+import hashlib
+import json
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,19 +67,21 @@ def summary(profiles: DataFrame, *by: str) -> DataFrame:
     return profiles.groupBy(*by).agg(F.count_if(top).alias("n_fields"), (F.max(steps) + 1).alias("depth"), F.sort_array(F.collect_list(F.when(top, F.substring("path", 2, 1 << 30)))).alias("keys"))
 
 
+def fingerprint(body: str, tags: IdentityTags = DEFAULT_TAGS) -> str:
+    """Hex digest of a canonical form."""
+    framed = f'{{"gen":"{tags.generalizer}","fields":{body}}}'
+    return hashlib.sha256(f"{tags.generalizer}\0{framed}".encode()).hexdigest()
+
+
 def generalized(profiles: DataFrame, documents: DataFrame, by: str, tags: IdentityTags = DEFAULT_TAGS) -> DataFrame:
     """(by, canonical, fingerprint, simhash) of each profile; ``documents`` has (by, n). A canonical form is one value, and its paths meet in one task."""
-    import hashlib
-
     ship(profiles.sparkSession)
     rows = profiles.join(documents, by).select(by, "path", "n", *TYPES)
 
     def assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         paths = {p: tuple(map(int, c)) for p, c in zip(pdf["path"], pdf[list(TYPES)].to_numpy(), strict=True)}
         body = shapes.generalized(paths, int(pdf["n"].iloc[0]))
-        framed = f'{{"gen":"{tags.generalizer}","fields":{body}}}'
-        digest = hashlib.sha256(f"{tags.generalizer}\0{framed}".encode()).hexdigest()
-        return pd.DataFrame({by: [key[0]], "canonical": [body], "fingerprint": [digest]})
+        return pd.DataFrame({by: [key[0]], "canonical": [body], "fingerprint": [fingerprint(body, tags)]})
 
     kind = profiles.schema[by].dataType.simpleString()
     built = rows.groupBy(by).applyInPandas(assemble, f"{by} {kind}, canonical string, fingerprint string")
@@ -95,7 +101,33 @@ def simhash(profiles: DataFrame, by: str, tags: IdentityTags = DEFAULT_TAGS) ->
     present = F.array_compact(F.array(*[F.when(F.col(t) > 0, F.lit(n)) for t, n in names.items()]))
     tokens = profiles.select(by, F.explode(present).alias("type"), label(F.col("path")).alias("label"))
     digest = F.sha2(F.concat(F.lit(f"{tags.simhash}\0".encode()), F.concat_ws(":", "label", "type").cast("binary")), 256)
-    bits = F.lpad(F.conv(F.substring(digest, 1, 16), 16, 2), 64, "0")
-    votes = tokens.select(by, bits.alias("bits")).groupBy(by).agg(*[F.sum(F.when(F.substring("bits", i + 1, 1) == "1", 1).otherwise(-1)).alias(f"b{i}") for i in range(64)])
-    text = F.concat(*[F.when(F.col(f"b{i}") > 0, "1").otherwise("0") for i in range(64)])
-    return votes.select(by, F.lower(F.lpad(F.conv(text, 2, 16), 16, "0")).alias("simhash"))
+    # Two halves of 32 bits, as a long has a sign.
+    high, low = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+    bit = lambda i: F.shiftright("high" if i < 32 else "low", 31 - i % 32).bitwiseAND(F.lit(1))
+    votes = tokens.select(by, high.alias("high"), low.alias("low")).groupBy(by).agg(F.count("*").alias("n"), *[F.sum(bit(i)).alias(f"b{i}") for i in range(64)])
+    half = lambda lo: reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col(f"b{lo + i}") * 2 > F.col("n"), F.lit(1 << (31 - i)).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(32)])
+    return votes.select(by, F.concat(*[F.lpad(F.lower(F.hex(half(lo))), 8, "0") for lo in (0, 32)]).alias("simhash"))
+
+
+def fields(profiles: DataFrame, by: str) -> DataFrame:
+    """(by, path, types, optional) of generalized schemas: each path's sorted types, and whether it was lacking where it could have been."""
+    names = sorted(zip(("null", "bool", "number", "string", "array", "object"), TYPES, strict=True))
+    types = F.array_compact(F.array(*[F.when(F.col(t) > 0, F.lit(n)) for n, t in names]))
+    return with_denominators(profiles, by).select(by, "path", types.alias("types"), "optional")
+
+
+def from_shapes(shapes_of: DataFrame, *by: str) -> DataFrame:
+    """Profiles of shapes (by, canonical, n): each shape counts as n documents, and numbers, of which only the kind is known, have no buckets."""
+    ship(shapes_of.sparkSession)
+    out = "path string, parent string, kind int, empty boolean, partial boolean"
+
+    @F.pandas_udf(f"array<struct<{', '.join(':'.join(x.split()) for x in out.split(', '))}>>")
+    def nodes(values: pd.Series) -> pd.Series:
+        return values.map(lambda c: None if c is None else [dict(zip(("path", "parent", "kind", "empty", "partial"), x, strict=True)) for x in shapes.shape_nodes(json.loads(c))])
+
+    seen = shapes_of.select(*by, "n", F.explode(nodes("canonical")).alias("o")).select(*by, "n", "o.*")
+    count = [F.sum(F.when(F.col("kind") == i, F.col("n")).otherwise(0)).alias(t) for i, t in enumerate(TYPES)]
+    return seen.groupBy(*by, "path").agg(
+        F.min("parent").alias("parent"), F.sum("n").alias("present"), *count, F.bool_or("empty").alias("empty_seen"), F.bool_or("partial").alias("partial_seen"),
+        F.lit(False).alias("minus_zero"), F.lit(True).alias("whole"), F.lit(0).alias("mask"),
+    )

@@ -58,3 +58,21 @@ def sources(seen: DataFrame) -> DataFrame:
 def resolve_alias(ids: DataFrame, aliases: DataFrame) -> DataFrame:
     """Candidate ids (id) with the schema that they were promoted to, or themselves."""
     return ids.join(aliases.withColumnRenamed("candidate", "id"), "id", "left").withColumn("resolved", F.coalesce("schema_id", "id"))
+
+
+def in_buckets(schemas: DataFrame, index: DataFrame, buckets: list[str]) -> DataFrame:
+    """Schemas (schema_id, ...) with a shape in one of the buckets, each once; none without buckets."""
+    found = index.where(F.col("bucket").isin(*buckets)) if buckets else index.limit(0)
+    return schemas.join(found.select("schema_id").distinct(), "schema_id", "left_semi")
+
+
+def malformed(index: DataFrame, prefix: str = "formline") -> DataFrame:
+    """Index entries whose bucket or fingerprint cannot be one."""
+    return index.where(~F.coalesce(F.col("bucket").rlike(rf"^{prefix}:index:[0-9]+:[0-9]+:[0-9a-f]{{8}}$") & F.col("fp").rlike("^[0-9a-f]{64}$"), F.lit(False))).select(F.lit("malformed").alias("problem"), "bucket", "fp")
+
+
+def enriched(events: DataFrame, schemas: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Events (schema_id, candidate, fate) with the family of their schema or the samples of their candidate, and what they tell: a candidate seen before is matched, not new."""
+    out = events.join(schemas.select("schema_id", "family_id"), "schema_id", "left").join(candidates.select("candidate", "samples"), "candidate", "left")
+    told = F.when(F.col("fate") == "known", "matched_schema").when((F.col("fate") == "provisional") & (F.coalesce("samples", F.lit(0)) >= 2), "matched_candidate").when(F.col("fate") == "provisional", "new_candidate").otherwise(F.col("fate"))
+    return out.withColumn("told", told)

@@ -37,3 +37,17 @@ def unwrapped_call(text: Column) -> Column:
 def regroup(rows: DataFrame, by: str, item: Column) -> DataFrame:
     """Items that are there, collected again in their order."""
     return rows.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
+def nested_entries(rows: DataFrame, column: str, *names: str) -> DataFrame:
+    """One row per entry of maps in maps: a key for each level but the last name, which is the innermost value."""
+    out = rows.withColumnRenamed(column, "__m")
+    for name in names[:-1]:
+        out = out.select(*[c for c in out.columns if c != "__m"], F.explode("__m").alias(name, "__m"))
+    return out.withColumnRenamed("__m", names[-1])
+
+
+def having(rows: DataFrame, needs: str, none_of: tuple[str, list]) -> DataFrame:
+    """Rows whose array ``needs`` has an element, and where no element of another array is one of those named; a lacking array has none."""
+    column, banned = none_of
+    return rows.where((F.coalesce(F.size(needs), F.lit(0)) > 0) & ~F.coalesce(F.exists(column, lambda x: x.isin(*banned)), F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -117,16 +119,98 @@ def active_revisions(revisions: DataFrame) -> DataFrame:
     """The last revision of each schema (schema_id, revision, sem_id, recorded_at)."""
     return revisions.groupBy("schema_id").agg(F.max_by("sem_id", "revision").alias("sem_id"), F.max("revision").alias("revision"), F.count("*").alias("n_revisions"))
 
+
 #: Canonical fields that say too little to anchor a match.
-GENERIC_FIELDS = ("timestamp", "name", "status", "count", "value")
+GENERIC_FIELDS = ("cfid_timestamp", "cfid_name", "cfid_status", "cfid_count", "cfid_value")
+#: A field that fewer schemas share than this idf says anchors a pair.
+ANCHOR_IDF = 2
 MAX_CANDIDATES = 20_000
 
 
-def anchors(signatures: DataFrame, idfs: DataFrame, generic: tuple[str, ...] = GENERIC_FIELDS) -> DataFrame:
-    """(schema_id, anchored): has an event, a namespace, or a field that is not generic and of some weight."""
+def features(annotations: DataFrame, events: DataFrame) -> DataFrame:
+    """(schema_id, feature, kind), a row for each assertion, from annotated fields (schema_id, cfid, namespace, unit, temporal, enums) and (schema_id, event).
+
+    ``enums`` is an array of vocabulary:code. A field's compounds bear its canonical id; without one only its parts count. No
+    path or name takes part.
+    """
+    has = lambda *c: reduce(lambda x, y: x & y, [F.col(n).isNotNull() for n in c])
+    one = lambda kind, when, *parts: F.when(when, F.struct(F.lit(kind).alias("kind"), F.concat_ws("\0", F.lit(kind), *parts).alias("feature")))
+    single = [
+        one("field", has("cfid"), "cfid"), one("field_idns", has("cfid", "namespace"), "cfid", "namespace"), one("idns", has("namespace"), "namespace"),
+        one("field_unit", has("cfid", "unit"), "cfid", "unit"), one("unit", has("unit"), "unit"),
+        one("field_temporal", has("cfid", "temporal"), "cfid", "temporal"), one("temporal", has("temporal"), "temporal"),
+    ]
+    meaning = F.transform(F.coalesce("enums", F.array().cast("array<string>")), lambda e: F.struct(F.lit("enum_meaning").alias("kind"), F.concat_ws("\0", F.lit("enum_meaning"), e).alias("feature")))
+    bound = F.transform(F.when(has("cfid"), F.coalesce("enums", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")), lambda e: F.struct(F.lit("field_enum").alias("kind"), F.concat_ws("\0", F.lit("field_enum"), "cfid", e).alias("feature")))
+    said = annotations.select("schema_id", F.explode(F.concat(F.array_compact(F.array(*single)), meaning, bound)).alias("f")).select("schema_id", "f.feature", "f.kind")
+    event = events.where("event is not null").select("schema_id", F.concat_ws("\0", F.lit("event"), "event").alias("feature"), F.lit("event").alias("kind"))
+    return said.unionByName(event)
+
+
+def anchors(signatures: DataFrame, generic: tuple[str, ...] = GENERIC_FIELDS) -> DataFrame:
+    """(schema_id, anchored): has an event, a namespace, or a field that is not on the stop list, however common it is."""
+    telling = (F.col("kind") == "field") & ~F.split_part("feature", F.lit("\0"), F.lit(2)).isin(*generic)
+    return signatures.groupBy("schema_id").agg(F.bool_or(F.col("kind").isin("event", "idns") | telling).alias("anchored"))
+
+
+def strengths(pairs: DataFrame, signatures: DataFrame, idfs: DataFrame, generic: tuple[str, ...] = GENERIC_FIELDS) -> DataFrame:
+    """``pairs`` (a, b) with ``strength`` and ``shared_anchors``, from the schemas' signatures (schema_id, feature, kind, count)."""
     s = signatures.join(idfs, "feature")
-    telling = (F.col("kind") == "field") & ~F.col("feature").isin(*generic) & (F.col("idf") >= 2)
-    return s.groupBy("schema_id").agg(F.bool_or(F.col("kind").isin("event", "idns") | telling).alias("anchored"))
+    is_anchor = (F.col("kind") == "field") & ~F.split_part("feature", F.lit("\0"), F.lit(2)).isin(*generic) & (F.col("idf") >= ANCHOR_IDF)
+    s = s.select("schema_id", "feature", "kind", is_anchor.alias("anchor"))
+    own = s.groupBy("schema_id").agg(F.count_if("anchor").alias("n"), F.max(F.when(F.col("kind") == "event", F.col("feature"))).alias("event"))
+    own = own.join(anchors(signatures, generic), "schema_id")
+    side = lambda n: own.select(F.col("schema_id").alias(n), F.col("n").alias(f"__n{n}"), F.col("event").alias(f"__e{n}"), F.col("anchored").alias(f"__h{n}"))
+    kinds = lambda *k: F.count_if(F.col("kind").isin(*k))
+    both = pairs.join(s.withColumnRenamed("schema_id", "a"), "a").join(s.select(F.col("schema_id").alias("b"), "feature"), ["b", "feature"])
+    shared = both.groupBy("a", "b").agg(
+        F.count_if("anchor").alias("shared_anchors"), (kinds("idns") > 0).alias("__ns"), (F.count_if(F.col("kind") != "idns") > 0).alias("__other"),
+        (kinds("unit", "temporal", "enum_meaning") > 0).alias("__weak"),
+    )
+    rows = pairs.join(shared, ["a", "b"], "left").join(side("a"), "a").join(side("b"), "b")
+    n, least = F.coalesce("shared_anchors", F.lit(0)), F.least("__na", "__nb")
+    # Half of the fields of the side that has fewer are enough; without any there is no coverage.
+    coverage = F.when((least > 0) & (n * 2 >= least), 1.0).otherwise(0.0)
+    level = strength(F.coalesce(F.col("__ea") == F.col("__eb"), F.lit(False)), F.coalesce(F.col("__ea") != F.col("__eb"), F.lit(False)), n, coverage, F.coalesce("__ns", F.lit(False)), F.coalesce("__other", F.lit(False)), F.coalesce("__weak", F.lit(False)))
+    return rows.select(*pairs.columns, F.when(F.col("__ha") & F.col("__hb"), level).otherwise("insufficient").alias("strength"), n.alias("shared_anchors"))
+
+
+def nearest(signatures: DataFrame, asked: DataFrame, k: int = 10) -> DataFrame:
+    """(a, b, num, den, strength, anchors, rank): the k best others of each asked schema (schema_id), from signatures to ranks.
+
+    Features without weight are left out, but for a schema that would have none left.
+    """
+    idfs = idf(signatures)
+    s = signatures.join(idfs, "feature").withColumn("w", class_weight(F.col("kind")) * F.col("idf"))
+    mass = s.groupBy("schema_id").agg(F.sum(F.col("w") * F.col("count")).alias("mass"))
+    mine = s.join(asked.select("schema_id").distinct(), "schema_id", "left_semi")
+    keeps = mine.groupBy("schema_id").agg((F.max("w") > 0).alias("__some"))
+    mine = mine.join(keeps, "schema_id").where("w > 0 or not __some").select(F.col("schema_id").alias("a"), "feature", "w", "count")
+    other = s.select(F.col("schema_id").alias("b"), "feature", F.col("count").alias("__c"))
+    num = mine.join(other, "feature").where("a <> b").groupBy("a", "b").agg(F.sum(F.col("w") * F.least("count", "__c")).alias("num"))
+    scored = num.join(mass.select(F.col("schema_id").alias("a"), F.col("mass").alias("__ma")), "a").join(mass.select(F.col("schema_id").alias("b"), F.col("mass").alias("__mb")), "b")
+    scored = scored.select("a", "b", "num", (F.col("__ma") + F.col("__mb") - F.col("num")).alias("den"))
+    told = strengths(scored, signatures, idfs).withColumnRenamed("shared_anchors", "anchors")
+    return neighbours(told, k)
+
+
+def family_drift(versions: DataFrame, paths: DataFrame) -> DataFrame:
+    """(schema_id, prior, relation, drifted): every version (schema_id, family_id, version, sem_id) against each earlier one of its family.
+
+    ``paths`` has (schema_id, path, types). Meaning drifts where both are annotated, differently, and the structures are compatible.
+    """
+    prior = versions.select("family_id", F.col("schema_id").alias("prior"), F.col("version").alias("__v"), F.col("sem_id").alias("__sem"))
+    pairs = versions.join(prior, "family_id").where(F.col("__v") < F.col("version")).withColumn("pair", F.concat_ws(">", "schema_id", "prior"))
+    side = lambda c: pairs.select("pair", F.col(c).alias("schema_id")).join(paths, "schema_id").select("pair", "path", "types")
+    told = pairs.join(structural_relation(side("schema_id"), side("prior"), "pair"), "pair", "left").withColumn("relation", F.coalesce("relation", F.lit("compatible")))
+    drifted = (F.col("relation") == "compatible") & F.coalesce(F.col("sem_id") != F.col("__sem"), F.lit(False))
+    return told.select("schema_id", "prior", "relation", drifted.alias("drifted"))
+
+
+def coverage(leaves: DataFrame, annotated: DataFrame) -> DataFrame:
+    """(schema_id, coverage): the annotated share of a schema's leaf paths."""
+    known = annotated.select("schema_id", "path").distinct().withColumn("__a", F.lit(1))
+    return leaves.join(known, ["schema_id", "path"], "left").groupBy("schema_id").agg((F.count("__a") / F.count("*")).alias("coverage"))
 
 
 def candidates_of(signatures: DataFrame, schema_id, most: int = MAX_CANDIDATES) -> DataFrame:

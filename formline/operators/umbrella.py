@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.strictjson import Number, Rejected, parse
+
 # What units measure.
 DIMENSIONS = {
     "Cel": "temperature", "K": "temperature", "[degF]": "temperature", "Pa": "pressure", "hPa": "pressure", "kPa": "pressure", "bar": "pressure",
@@ -38,20 +42,91 @@ def unit_relation(a: Column, b: Column) -> Column:
 
 
 def lossless(child: Column, target: Column) -> Column:
-    return (child == target) | ((child == "integer") & target.isin("decimal", "string")) | ((child != "string") & (target == "string") & (child == "decimal"))
+    """Equal types, or an integer as a decimal, and nothing else."""
+    return (child == target) | ((child == "integer") & (target == "decimal"))
 
 
 def pair_fields(child: DataFrame, umbrella: DataFrame) -> DataFrame:
-    """Verdicts on fields (schema_id, path, cfid, type, unit) and an umbrella's (cfid, target, target_type, target_unit)."""
+    """Verdicts on fields (schema_id, path, cfid, type, unit) and an umbrella's (cfid, target, target_type, target_unit).
+
+    A conversion gives a decimal whatever the field's type; whether it may is a matter of verification.
+    """
     joined = child.join(umbrella, "cfid")
     units = unit_relation(F.col("unit"), F.col("target_unit"))
-    verdict = (
-        F.when(~lossless(F.col("type"), F.col("target_type")), "unknown").when(units == "same", "exact_equivalent")
-        .when(units == "convertible", "same_quantity_different_unit").otherwise("unknown")
-    )
+    fits = lossless(F.col("type"), F.col("target_type"))
+    verdict = F.when((units == "same") & fits, "exact_equivalent").when(units == "convertible", "same_quantity_different_unit").otherwise("unknown")
     return joined.withColumn("verdict", verdict)
 
 
+def assemble(paired: DataFrame) -> DataFrame:
+    """(schema_id, path, target, cast, rule, on_missing) of paired fields that bind by themselves; paths are unique in a schema.
+
+    ``paired`` is as from ``pair_fields``, with ``required`` of the target. The first field in path order takes a target, and a
+    field the first of its targets; fields that bind nothing are not here. A cast comes before a conversion.
+    """
+    bindable = paired.where(F.col("verdict").isin("exact_equivalent", "same_quantity_different_unit"))
+    each = bindable.groupBy("schema_id", "path").agg(F.min(F.struct("target", "target_type", "target_unit", "type", "unit", "required")).alias("b"))
+    one = each.groupBy("schema_id", F.col("b.target").alias("target")).agg(F.min(F.struct("path", "b")).alias("m"))
+    b = "m.b."
+    cast = F.when((F.col(b + "type") != F.col(b + "target_type")) & lossless(F.col(b + "type"), F.col(b + "target_type")), F.col(b + "target_type"))
+    rule = F.when(~F.col(b + "unit").eqNullSafe(F.col(b + "target_unit")), F.concat_ws(">", F.col(b + "unit"), F.col(b + "target_unit")))
+    return one.select("schema_id", F.col("m.path").alias("path"), "target", cast.alias("cast"), rule.alias("rule"), F.when(F.col(b + "required"), "reject").otherwise("omit").alias("on_missing"))
+
+
+def sound(bindings: DataFrame, child: DataFrame, umbrella: DataFrame) -> DataFrame:
+    """(schema_id, problems) of assembled transforms, one row for each schema of ``child``: what static verification finds.
+
+    ``umbrella`` has (target, target_type, target_unit, required).
+    """
+    b = bindings.join(child.select("schema_id", "path", F.col("type").alias("__type"), F.col("unit").alias("__unit")), ["schema_id", "path"], "left").join(umbrella, "target", "left")
+    ends = F.when(F.col("rule").isNotNull(), F.lit("decimal")).otherwise(F.coalesce("cast", "__type"))
+    unit = F.when(F.col("rule").isNotNull(), F.split_part("rule", F.lit(">"), F.lit(2))).otherwise(F.col("__unit"))
+    b = b.withColumn("__twice", F.count("*").over(W.partitionBy("schema_id", "target")) > 1)
+    found = F.array_compact(F.array(
+        F.when(F.col("__type").isNull(), F.concat_ws(":", F.lit("source_missing"), "path")),
+        F.when(F.col("target_type").isNull(), F.concat_ws(":", F.lit("unknown_target"), "target")),
+        F.when(F.col("__twice"), F.concat_ws(":", F.lit("duplicate_target"), "target")),
+        F.when(F.col("required") & (F.col("on_missing") == "omit"), F.concat_ws(":", F.lit("omit_on_required"), "target")),
+        F.when(F.col("cast").isNotNull() & ~lossless(F.col("__type"), F.col("cast")), F.concat_ws(":", F.lit("lossy_cast"), "target")),
+        F.when(~lossless(ends, F.col("target_type")), F.concat_ws(":", F.lit("type_mismatch"), "target")),
+        F.when(F.col("rule").isNotNull() & ~F.col("rule").isin(*[f"{x}>{y}" for x, y in CONVERSIONS]), F.concat_ws(":", F.lit("bad_unit_op"), "target")),
+        F.when(F.col("target_unit").isNotNull() & ~unit.eqNullSafe(F.col("target_unit")), F.concat_ws(":", F.lit("bad_unit"), "target")),
+    ))
+    listed = b.select("schema_id", F.explode(found).alias("problem"))
+    total = bindings.where("on_missing <> 'omit'").select("schema_id", "target").distinct()
+    lacking = child.select("schema_id").distinct().join(umbrella.where("required").select("target"), how="cross").join(total, ["schema_id", "target"], "left_anti")
+    every = listed.unionByName(lacking.select("schema_id", F.concat_ws(":", F.lit("required_not_total"), "target").alias("problem")))
+    by = every.groupBy("schema_id").agg(F.sort_array(F.collect_set("problem")).alias("problems"))
+    return child.select("schema_id").distinct().join(by, "schema_id", "left").select("schema_id", F.coalesce("problems", F.array().cast("array<string>")).alias("problems"))
+
+
+def proposals(fields: DataFrame, members: DataFrame, verified: DataFrame, decided: DataFrame | None = None, least: int = 2) -> DataFrame:
+    """(signature, n, n_verified, n_clusters, state) of groups of annotated schemas.
+
+    ``members`` has (schema_id, cluster), the cluster of the schema's source or null; ``verified`` has (schema_id, problems). A
+    group is proposed if ``least`` members' transforms are sound, suppressed if its known clusters differ, and a group that was
+    decided keeps its state.
+    """
+    sets = fields.groupBy("schema_id").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "cfid", "type"))), "|").alias("signature"))
+    rows = sets.join(members, "schema_id", "left").join(verified, "schema_id", "left")
+    by = rows.groupBy("signature").agg(F.count("*").alias("n"), F.count_if(F.size("problems") == 0).alias("n_verified"), F.count_distinct("cluster").alias("n_clusters")).where(F.col("n") >= least)
+    state = F.when(F.col("n_clusters") > 1, "suppressed").when(F.col("n_verified") < least, "unverified").otherwise("proposed")
+    if decided is None:
+        return by.withColumn("state", state)
+    return by.join(decided.withColumnRenamed("state", "__was"), "signature", "left").withColumn("state", F.coalesce("__was", state)).drop("__was")
+
+
+def decide(proposed: DataFrame, requests: DataFrame) -> DataFrame:
+    """Outcomes of requests (signature, wanted, reason) on proposals (signature, state, n_verified): a reason is required, only a proposal can be decided, and what is approved must still be verified."""
+    joined = requests.join(proposed, "signature", "left")
+    outcome = (
+        F.when(F.col("state").isNull(), "not_found").when(F.coalesce(F.btrim("reason"), F.lit("")) == "", "reason_required")
+        .when(F.col("state") == F.col("wanted"), "already_decided").when(F.col("state") != "proposed", "conflict")
+        .when((F.col("wanted") == "approved") & (F.col("n_verified") < 2), "not_verified").otherwise(F.col("wanted"))
+    )
+    return joined.select("signature", "wanted", outcome.alias("outcome"))
+
+
 def groups(fields: DataFrame, least: int = 2) -> DataFrame:
     """(signature, members, n): schemas with the same set of (cfid, type), at least ``least`` of them."""
     sets = fields.groupBy("schema_id").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "cfid", "type"))), "|").alias("signature"))
@@ -109,14 +184,27 @@ def verify(bindings: list[Binding]) -> list[str]:
     return out
 
 
+_CLASS = {"boolean": "bool", "tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "decimal", "double": "decimal", "string": "string"}
+
+
 def transform(rows: DataFrame, bindings: list[Binding]) -> DataFrame:
-    """Rows with a column per binding, and ``rejected``: the first required field that is missing or does not cast."""
+    """Rows with a column per binding, and ``rejected``: the first required field that is missing or field that does not widen.
+
+    A cast never changes a value: a column whose type does not widen to the target's rejects every row that has a value in it. A
+    null is a missing field here, as columns cannot tell it from one that is not there; ``applied`` reads documents and can.
+    """
     if problems := verify(bindings):
         raise ValueError("; ".join(problems))
-    made, missing = [], F.lit(None).cast("string")
+    made, rejected = [], F.lit(None).cast("string")
     for b in bindings:
-        value = F.lit(None) if b.path is None else F.col(b.path)
-        value = value.try_cast(_SPARK[b.type])
+        value = F.lit(None).cast(_SPARK[b.type]) if b.path is None else F.col(b.path)
+        if b.path is not None:
+            kind = rows.select(value).schema[0].dataType.simpleString()
+            kind = "decimal" if kind.startswith("decimal(") else _CLASS.get(kind)
+            if kind != b.type and (kind, b.type) != ("integer", "decimal"):
+                rejected = F.coalesce(rejected, F.when(value.isNotNull(), F.lit(b.target)))
+                value = F.lit(None)
+            value = value.cast(_SPARK[b.type])
         if b.unit:
             factor, offset = CONVERSIONS[b.unit]
             value = value * factor + offset
@@ -124,8 +212,100 @@ def transform(rows: DataFrame, bindings: list[Binding]) -> DataFrame:
             value = F.coalesce(value, F.lit(b.default).cast(_SPARK[b.type]))
         made.append(value.alias(b.target))
         if b.required:
-            missing = F.coalesce(missing, F.when(value.isNull(), F.lit(b.target)))
-    return rows.select("*", *made, missing.alias("rejected"))
+            rejected = F.coalesce(rejected, F.when(value.isNull(), F.lit(b.target)))
+    return rows.select("*", *made, rejected.alias("rejected"))
+
+
+@dataclass(frozen=True)
+class Step:
+    """One operation on a value: ``cast`` to a type, ``convert`` by units, ``default``, or ``each`` for the elements of an array."""
+
+    op: str
+    to: str | None = None
+    units: tuple[str, str] | None = None
+    value: object = None
+    steps: tuple = ()
+
+
+@dataclass(frozen=True)
+class Move:
+    """A value from one dotted path of a document to another."""
+
+    source: str
+    target: str
+    steps: tuple[Step, ...] = ()
+    on_missing: str = "omit"  # or reject, or default
+
+
+class Refused(Exception):
+    """A document that a transform does not take."""
+
+
+def _scalar(value: object) -> str | None:
+    if isinstance(value, bool):
+        return "bool"
+    if isinstance(value, Number):
+        return "decimal" if any(c in value for c in ".eE") else "integer"
+    return "string" if isinstance(value, str) else None
+
+
+def _stepped(value: object, steps: tuple[Step, ...], path: str) -> object:
+    for s in steps:
+        if s.op == "cast":
+            kind = _scalar(value)
+            if kind is None or kind != s.to and (kind, s.to) != ("integer", "decimal"):
+                raise Refused(f"cast:{path}")
+        elif s.op == "convert":
+            if not isinstance(value, Number):
+                raise Refused(f"no_number:{path}")
+            x = float(value)
+            if x in (float("inf"), float("-inf")):
+                raise Refused(f"not_finite:{path}")
+            factor, offset = CONVERSIONS[s.units]
+            value = Number(repr(x * factor + offset))
+        elif s.op == "each":
+            if not isinstance(value, list):
+                raise Refused(f"no_array:{path}")
+            value = [_stepped(v, s.steps, path) for v in value]
+    return value
+
+
+def apply(document: dict, moves: list[Move]) -> dict:
+    """The moved document. A null that is there is a value: it passes without steps and no cast takes it."""
+    out: dict = {}
+    for m in moves:
+        try:
+            value = get_path(document, m.source)
+        except KeyError:
+            if m.on_missing == "reject":
+                raise Refused(f"missing:{m.source}") from None
+            given = [s for s in m.steps if s.op == "default"]
+            if m.on_missing == "default":
+                if not given:
+                    raise Refused(f"no_default:{m.source}") from None
+                set_path(out, m.target, given[0].value)
+            continue
+        set_path(out, m.target, _stepped(value, m.steps, m.source))
+    return out
+
+
+def applied(column: Column, moves: list[Move]) -> Column:
+    """JSON documents as struct of the moved document and why it was refused."""
+    from .dlp import written
+
+    @F.pandas_udf("struct<document string, refused string>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in values:
+            try:
+                rows.append((None, "no_document") if v is None else (written(apply(parse(v.encode() if isinstance(v, str) else bytes(v)), moves)), None))
+            except Rejected as e:
+                rows.append((None, e.reason))
+            except (Refused, ValueError) as e:
+                rows.append((None, str(e)))
+        return pd.DataFrame(rows, columns=["document", "refused"])
+
+    return run(column)
 
 
 def ddl(bindings: list[Binding]) -> str:
@@ -188,6 +368,7 @@ def replay(rows: DataFrame, bindings: list[Binding]) -> DataFrame:
 
 
 def corroborated(members: DataFrame, generic: list[str]) -> DataFrame:
-    """(cfid, corroborated): all members call the field alike, and not by a generic name; from (cfid, name)."""
-    bare = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
-    return members.groupBy("cfid").agg(((F.count_distinct(bare) == 1) & ~F.first(bare).isin(*generic)).alias("corroborated"))
+    """(cfid, corroborated): two members at least, and all call the field alike, and by a name that says something; from (cfid, name)."""
+    bare = F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-z0-9]", "")
+    telling = (F.min(bare) != "") & ~F.min(bare).isin(*generic)
+    return members.groupBy("cfid").agg(((F.count("*") >= 2) & (F.min(bare) == F.max(bare)) & telling).alias("corroborated"))

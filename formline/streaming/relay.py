@@ -14,22 +14,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.identity import DEFAULT_TAGS, IdentityTags
 from ..functions.strictjson import Limits
-from ..operators.classify import classify, quarantine, tag_headers, with_identity
+from ..operators.classify import classify, oversized, quarantine, tag_headers, with_identity
 
 
 def write_batch(records: DataFrame, batch: int, index: DataFrame, out: str, limits: Limits = Limits(), tags: IdentityTags = DEFAULT_TAGS, max_message_bytes: int = 1 << 20) -> None:
+    """Records are classified once, into a folder of their own that the three tables are written from; it goes afterwards."""
+    spark = records.sparkSession
+    staged = f"{out}/_staged/batch={batch}"
     done = classify(with_identity(records, limits=limits, tags=tags), index)
+    done.write.mode("overwrite").parquet(staged)
+    done = spark.read.schema(done.schema).parquet(staged)
     origin = F.concat_ws("/", "topic", "partition", "offset")
     tag = F.coalesce("schema_id", "candidate", F.col("fate"))
-    bad = quarantine(done, max_message_bytes)
-    fine = done.where(F.col("fate") != "malformed").withColumn("headers", tag_headers(F.coalesce("headers", F.array().cast("array<struct<key:string,value:binary>>")), tag, origin, tags))
+    over = oversized(max_message_bytes)
+    fine = done.where((F.col("fate") != "malformed") & ~over).withColumn("headers", tag_headers(F.coalesce("headers", F.array().cast("array<struct<key:string,value:binary>>")), tag, origin, tags))
     columns = ["key", "value", "headers", "topic", "partition", "offset", "source", "fate"]
     for name, rows in (
         ("tagged", fine.select(*columns, tag.alias("tag"))),
-        ("quarantine", bad.select("key", "value", "reason", "topic", "partition", "offset", "source")),
-        ("discovery", done.where("fate = 'provisional'").select("key", "value", "candidate", "fp", "bucket", "source", "topic", "partition", "offset")),
+        ("quarantine", quarantine(done, max_message_bytes).select("key", "value", "reason", "topic", "partition", "offset", "source")),
+        ("discovery", fine.where("fate = 'provisional'").select("key", "value", "candidate", "fp", "bucket", "source", "topic", "partition", "offset")),
     ):
         rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def start(spark: SparkSession, records: DataFrame, index: Callable[[], DataFrame], out: str, checkpoint: str, **options) -> StreamingQuery:

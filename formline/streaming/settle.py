@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def fold(fates: list[str], ids: list[str | None], after: int, every: int) -> list[bool]:
-    """Whether each record, in order, is classified in full; a surprise unsettles."""
-    out, last, run, since = [], None, 0, 0
-    for fate, id_ in zip(fates, ids, strict=True):
-        settled = run >= after
-        full = not settled or since + 1 >= every
-        out.append(full)
-        if not full:
-            since += 1
-            continue
-        since = 0
-        if fate == "known" and id_ == last:
-            run += 1
+@dataclass
+class Settling:
+    """What is known of a source while its records pass in order."""
+
+    after: int
+    every: int
+    last: str | None = None
+    run: int = 0
+    since: int = 0
+
+    def take(self, fate: str, schema_id: str | None) -> bool:
+        """Whether a record is classified in full; a surprise unsettles."""
+        if self.run >= self.after and self.since + 1 < self.every:
+            self.since += 1
+            return False
+        self.since = 0
+        if fate == "known" and schema_id == self.last:
+            self.run += 1
         else:
-            last, run = (id_, 1) if fate == "known" else (None, 0)
-    return out
+            self.last, self.run = (schema_id, 1) if fate == "known" else (None, 0)
+        return True
+
+
+def fold(fates: list[str], ids: list[str | None], after: int, every: int) -> list[bool]:
+    """Whether each record, in order, is classified in full."""
+    now = Settling(after, every)
+    return [now.take(f, i) for f, i in zip(fates, ids, strict=True)]
 
 
 def settled(classified: DataFrame, after: int = 100, every: int = 50) -> DataFrame:
