@@ -38,11 +38,11 @@ MAX_CHARS = 20_000
 #: Target weights, where none are given, are shares to this power.
 TEMPER = 0.7
 #: Steps after which the rates so far are written down, so that the work of a fit follows its steps.
-WRITTEN = 8
+WRITTEN = 16
 #: The fit ends when no domain misses its target by more than this share of all tokens.
 TOLERANCE = 1e-4
 #: It also ends when a step moves no domain's sum by more than this share of all tokens.
-STILL = 1e-7
+STILL = 2e-5
 MEMO_WORDS = 300_000
 #: Columns that the operator adds.
 ADDED = ("n_tokens", "domain", "posterior", "rate", "copies")
@@ -197,8 +197,13 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float]
     if not share.sum():
         share = have.copy()
     share = share / share.sum()
-    # A lower bound of the rates asks for a total that leaves every domain room to stay.
-    total = have.sum() if not least else max(least * h / s for h, s in zip(have, share, strict=True) if s > 0)
+    total = have.sum()
+    if least:
+        # A lower bound of the rates asks for a total that leaves every domain room to stay, and room for what documents of
+        # others add to it: rates of posterior x solution meet the shares, and none is below its least entry.
+        at = np.flatnonzero(some)
+        room = np.linalg.lstsq(gram[np.ix_(at, at)], share[at], rcond=None)[0]
+        total = max(least / room) if (room > 0).all() else max(least * h / s for h, s in zip(have, share, strict=True) if s > 0)
     targets = share * total
     scale = np.where(some, 1 / np.where(some, have, 1), 0.0)  # each domain's error counts in its own size
     root = np.sqrt(scale)

@@ -107,6 +107,40 @@ def test_blocks_of_a_mixed_bucket(spark, monkeypatch):
     assert got == least(range(len(texts)), links)
 
 
+def test_query_is_the_definition(spark, small):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    links = [(i, j) for i, j in combinations(sorted(sets), 2) if sets[i] and sets[j] and 0.3 < len(sets[i]) / len(sets[j]) < 3.4 and similar(sets[i], sets[j]) >= 0.8]
+    rows = neardup.op5_neardup(spark, small).collect()
+    comp = least(sorted(sets), links)
+    assert {r["doc_id"]: (r["class_id"], r["kept"]) for r in rows} == {i: (c, c == i) for i, c in comp.items()}
+
+
+@pytest.mark.parametrize("rate,least_recall,most_recall", [(0.0, 1.0, 1.0), (0.01, 0.95, 1.0), (0.02, 0.4, 0.9), (0.03, 0.0, 0.2)])
+def test_near_copies_by_rate_of_edits(spark, rate, least_recall, most_recall):
+    """Each copy is caught if it is above the threshold: nearly all with a word in a hundred changed, few with three in a hundred."""
+    rng = random.Random(int(rate * 1000))
+    texts, _ = corpus(60, seed=41)
+    texts = [" ".join(rng.choice(texts).split() + t.split() + rng.choice(texts).split() * 3) + f" {i} {rng.random()}" for i, t in enumerate(texts)]
+    words = [" ".join(f"{w}{rng.randint(0, 9)}" for w in t.split() * 3) for t in texts]
+    copies = [" ".join("changed" if rng.random() < rate else w for w in t.split()) for t in words]
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(documents(spark, words + copies)).collect()}
+    n = len(words)
+    caught = [got[i] == got[n + i] for i in range(n)]
+    assert caught == [similar(shingles(a), shingles(b)) >= 0.8 for a, b in zip(words, copies, strict=True)]
+    assert least_recall <= np.mean(caught) <= most_recall
+    assert len({got[i] for i in range(n)}) == n
+
+
+def test_the_bitmap_lets_every_wanted_id_through(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    ids = rows.where("doc_id % 7 = 0")
+    got = neardup.might_hold(ids, rows, bits=1 << 20)
+    assert ids.join(got, "doc_id", "left_anti").count() == 0 and got.count() < 1.1 * ids.count()
+    assert neardup.might_hold(ids, rows, bits=1 << 10).count() >= ids.count()  # a full bitmap tells nothing, and loses nothing
+    assert neardup.might_hold(ids.limit(0), rows).count() == 0
+
+
 def test_near_duplicate_edges(spark):
     docs = documents(spark, ["a b c d e f", "a b c d e f", "x"])
     twice = docs.unionByName(docs)

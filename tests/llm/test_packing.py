@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from formline.llm import packing
 from tests.llm.helpers import corpus, documents
@@ -70,3 +71,41 @@ def test_repeated_nameless_and_no_rows(spark):
     got = packing.pack(both).toPandas()
     assert got["length"].sum() == 10 and got["doc_id"].isna().sum() > 0
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def pieces_of(rows):
+    """The pieces by document in order, each document's number of ids, and whether they tile documents and sequences."""
+    by_doc, by_seq = {}, {}
+    for r in rows:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_seq.setdefault(r["sequence_id"], []).append(r)
+    for key, groups in (("start", by_doc), ("offset", by_seq)):
+        for g in groups.values():
+            g.sort(key=lambda r: r[key])
+            at = 0
+            for r in g:
+                assert r[key] == at
+                at += r["length"]
+    used = [sum(r["length"] for r in g) for g in by_seq.values()]
+    assert max(used) <= 4096
+    return by_doc, used
+
+
+def test_query_packs_all_ids_of_whole_texts(spark, small):
+    e = packing.Encoder(PATH)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    by_doc, used = pieces_of(packing.op1_packing(spark, small).collect())
+    assert set(by_doc) == set(texts)
+    for i, t in texts.items():
+        ids = np.array([*e.tokenizer.encode(t, add_special_tokens=False).ids, 2], dtype="<u4")
+        assert {r["doc_tokens"] for r in by_doc[i]} == {len(ids)} and sum(r["length"] for r in by_doc[i]) == len(ids)
+        assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) for r in by_doc[i])
+    padded = sum(0 if n & (n - 1) == 0 else 4096 - n for n in used)
+    assert padded <= 0.01 * sum(used)
+
+
+def test_rows_without_ids_and_equal_rows_spread_over_shards(spark):
+    docs = documents(spark, ["the same words in every row " * 40] * 600).withColumn("doc_id", F.lit(None).cast("long")).repartition(4)
+    out = packing.pack(docs, shard_chars=60_000)
+    shards = out.select((F.col("sequence_id") / F.lit(1 << 32)).cast("long").alias("s"), "length").groupBy("s").agg(F.sum("length").alias("n")).collect()
+    assert len(shards) > 5 and max(r["n"] for r in shards) < 0.4 * sum(r["n"] for r in shards)

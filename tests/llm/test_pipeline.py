@@ -85,6 +85,38 @@ def test_mixing(spark, docs):
     assert out.exceptAll(docs).count() == out.count() - docs.count() > 0
 
 
+def test_packing(spark, docs):
+    """Every row's ids are in the pieces once, and pieces tile sequences."""
+    from formline.llm import packing
+    from tests.llm.test_packing import PATH, pieces_of
+
+    rows = docs.where("doc_id is not null")
+    by_doc, _ = pieces_of(STAGES["packing"](spark, rows, "").collect())
+    e = packing.Encoder(PATH)
+    assert {i: g[0]["doc_tokens"] for i, g in by_doc.items()} == {i: len(e.tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in texts_of(rows).items()}
+    assert all(sum(r["length"] for r in g) == g[0]["doc_tokens"] for g in by_doc.values())
+
+
+def test_mixing_meets_its_targets(spark, docs):
+    """Copies follow the rates that a plain projected gradient finds for the stage's own posteriors."""
+    import numpy as np
+
+    from formline.llm import mixing
+
+    mixed = mixing.mix(docs.drop("rate"), mixing.domains_of(docs), least=1.0).collect()
+    t, p = np.array([r["n_tokens"] for r in mixed], dtype=float), np.array([r["posterior"] for r in mixed])
+    have = t @ p
+    share = (have / have.sum()) ** mixing.TEMPER
+    goal = share / share.sum() / min(np.linalg.solve((p * t[:, None]).T @ p, share / share.sum()))
+    rate = np.ones(len(t))
+    for _ in range(3000):
+        rate = np.maximum(1, rate - 0.3 * p @ ((t * rate @ p - goal) / have))
+    assert np.abs(t * np.array([r["rate"] for r in mixed]) @ p - t * rate @ p).max() < 0.01 * goal.sum()
+    out = STAGES["mixing"](spark, docs, "")
+    copies = {r["doc_id"]: r["copies"] for r in mixed}
+    assert {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()} == copies
+
+
 def test_run(spark, small):
     out = corpus_pipeline.run(spark, small)
     assert corpus_pipeline.ORACLE_SQL is None
