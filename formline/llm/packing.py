@@ -47,9 +47,8 @@ class Encoder:
 
     The tokenizer's pattern never spans white space, so the ids of a text are those of its words in
     order, and it parts a run of letters from the marks after it. New words go to it many at a time: those
-    of letters alone, but for marks at their end, without these and in lower case to the same model behind a
-    plain split at spaces; others to the tokenizer itself, with a word between them whose one id no other word
-    can give. Texts with separators U+001C to U+001F, on which Python and the tokenizer disagree about
+    of letters alone, but for marks at their end, once for all that differ in marks and case alone, and parted by
+    the ids that close a word; others with a word between them whose one id no other word can give. Texts with separators U+001C to U+001F, on which Python and the tokenizer disagree about
     white space, go to the tokenizer whole. That all this gives the ids of the whole text is tried once on ``TRIAL``; if it does
     not, whole texts are encoded.
     """
@@ -61,13 +60,10 @@ class Encoder:
     TRIAL = "Ab ab. é É! don't x1 12.5 naïve—so... ÀÉ, 日本 word?! ~ ^ \U0001f389 straße STRASSE; a:b"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype(np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.closing[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -86,7 +82,7 @@ class Encoder:
         out: list[bytes] = []
         for i in range(0, len(words), self.AT_ONCE):
             part = words[i : i + self.AT_ONCE]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.kind)
             ends = ((np.flatnonzero(self.closing[ids]) + 1) * self.kind.itemsize).tolist()
             if len(ends) != len(part):  # a tokenizer whose ids do not say where words end
                 out += [self._ids(w).tobytes() for w in part]
