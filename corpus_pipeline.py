@@ -27,11 +27,9 @@ def _together(rows: DataFrame, columns: list[str], **own: Column) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ledger holds verdicts by 128 bits of id and text, which rows that agree on both share; rejected rows leave by it."""
-    key = [F.xxhash64("doc_id", "text").alias("__k1"), F.xxhash64(F.lit(7), "doc_id", "text").alias("__k2")]
-    entries = quality.ledger(docs.select(*key, "text"), "__k1", "__k2")
-    gone = entries.where(~quality.passes("v1")).select("__k1", "__k2").distinct()
-    return docs.select("*", *key).join(gone.hint("shuffle_hash"), ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    """One policy, once: the entries of the ledger stay beside their rows and are not written apart."""
+    rows = docs.select("text", F.struct(*docs.columns).alias("__all"))
+    return quality.judged(rows, "__all").where(quality.passes("v1")).select(*[F.col("__all")[c].alias(c) for c in docs.columns])
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
