@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import unicodedata
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.identity import DEFAULT_TAGS, IdentityTags
 
 # Units and currencies that annotations may name.
-UCUM = "1 % By Cel K [degF] g kg L m mL mm cm km mol s ms min h d Hz V A W J N Pa".split()
-ISO4217 = "USD EUR GBP JPY PLN CHF CAD AUD NZD CNY INR BRL MXN ZAR SEK NOK DKK SGD HKD KRW".split()
+UCUM = ("1", "%", "By", "Cel", "K", "[degF]", "g", "kg", "L", "m", "mL", "mm", "cm", "km", "mol", "s", "ms", "min", "h", "d", "Hz", "V", "A", "W", "J", "N", "Pa")
+ISO4217 = ("USD", "EUR", "GBP", "JPY", "PLN", "CHF", "CAD", "AUD", "NZD", "CNY", "INR", "BRL", "MXN", "ZAR", "SEK", "NOK", "DKK", "SGD", "HKD", "KRW")
 
 _DECIMAL = re.compile(r"(-?)(0|[1-9][0-9]*)(?:\.([0-9]+))?(?:[eE]([+-]?[0-9]+))?")
 
@@ -54,6 +55,42 @@ def _string(text: str) -> bytes:
     return struct.pack(">I", len(raw)) + raw
 
 
+def steps_of(canonical: str, canonicalizer: str, tags: IdentityTags = DEFAULT_TAGS) -> set[tuple[str | None, ...]]:
+    """Every path of a canonical form as its steps, None being the step to an array's elements, for shapes and for generalized forms; another canonicalizer raises.
+
+    An array has the step to its elements whether or not any were seen, if the form is a shape.
+    """
+    if canonicalizer not in (tags.canon, tags.generalizer):
+        raise ValueError(f"unknown canonicalizer {canonicalizer}")
+    out: set[tuple] = set()
+
+    def walk(node: dict, at: tuple) -> None:
+        if at:
+            out.add(at)
+        if canonicalizer == tags.canon:
+            if node["t"] == "arr":
+                out.add((*at, None))
+            below = [*node.get("f", {}).items(), *((None, x) for x in node.get("of", ()))]
+        else:
+            below = [*node.get("children", {}).items(), *([(None, node["elem"])] if "elem" in node else [])]
+        for key, x in below:
+            walk(x, (*at, key))
+
+    walk(json.loads(canonical), ())
+    return out
+
+
+def paths_of(canonical: Column, canonicalizer: str, tags: IdentityTags = DEFAULT_TAGS) -> Column:
+    """The same as an array of paths in text."""
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        text = lambda steps: "".join("/~*" if s is None else f"/{s.replace('~', '~0').replace('/', '~1')}" for s in steps)
+        return values.map(lambda c: None if c is None else sorted(text(s) for s in steps_of(c, canonicalizer, tags)))
+
+    return run(canonical)
+
+
 def path_bytes(steps: list[str | None]) -> bytes:
     """A path as bytes that sort and compare by its steps; None is the step to an array's elements."""
     if any(s is not None and any(unicodedata.category(c) == "Cc" for c in s) for s in steps):

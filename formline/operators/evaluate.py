@@ -210,3 +210,32 @@ def repeatability(runs: DataFrame) -> DataFrame:
     """(n, repeated): cases (run, id, decision) that all runs decide alike."""
     each = runs.groupBy("id").agg((F.count_distinct(F.coalesce("decision", F.lit(""))) == 1).alias("same"))
     return each.agg(F.count("*").alias("n"), share(F.col("same")).alias("repeated"))
+
+
+def field_additions(versions: DataFrame) -> DataFrame:
+    """(schema_id, added): whether a version's top-level fields strictly hold those of an earlier version of its family that has any; from (schema_id, family_id, version, keys)."""
+    earlier = versions.select("family_id", F.col("version").alias("__v"), F.col("keys").alias("__k"))
+    pairs = versions.join(earlier, "family_id", "left").withColumn("__before", F.coalesce(F.col("__v") < F.col("version"), F.lit(False)))
+    more = F.col("__before") & (F.size("__k") > 0) & (F.size(F.array_except("__k", "keys")) == 0) & (F.size(F.array_except("keys", "__k")) > 0)
+    return pairs.groupBy("schema_id").agg(F.bool_or(F.coalesce(more, F.lit(False))).alias("added"))
+
+
+def histogram(rows: DataFrame, value: str, *by: str, digits: int = 3) -> DataFrame:
+    """(by, low, n): counts of whole values that are not negative, by their first digits; ``low`` is the least value of a bucket, so no value is off by more than one in 10 ** (digits - 1)."""
+    step = F.pow(F.lit(10), F.greatest(F.length(F.col(value).cast("string")) - digits, F.lit(0))).cast("long")
+    return rows.where(F.col(value) >= 0).groupBy(*by, (F.floor(F.col(value) / step) * step).cast("long").alias("low")).agg(F.count("*").alias("n"))
+
+
+#: What a counter may be labelled by; anything else is "other", so that series stay few.
+REASONS = ("size_exceeded", "depth_exceeded", "field_count_exceeded", "key_length_exceeded", "duplicate_key", "parse_error", "utf8_error")
+
+
+def counters(classified: DataFrame) -> DataFrame:
+    """(series, label, value) of classified records: by fate, by reason of quarantine, and records and bytes in all."""
+    reason = F.when(F.col("reason").isin(*REASONS), F.col("reason")).otherwise("other")
+    each = F.array_compact(F.array(
+        F.struct(F.lit("records_total").alias("series"), F.lit("").alias("label"), F.lit(1).cast("long").alias("x")), F.struct(F.lit("fate_total").alias("series"), F.col("fate").alias("label"), F.lit(1).cast("long").alias("x")),
+        F.when(F.col("fate") == "malformed", F.struct(F.lit("quarantine_total").alias("series"), reason.alias("label"), F.lit(1).cast("long").alias("x"))),
+        F.struct(F.lit("bytes_total").alias("series"), F.lit("").alias("label"), F.coalesce(F.octet_length("value"), F.lit(0)).cast("long").alias("x")),
+    ))
+    return classified.select(F.explode(each).alias("e")).groupBy(F.col("e.series").alias("series"), F.col("e.label").alias("label")).agg(F.sum("e.x").alias("value"))

@@ -129,6 +129,13 @@ def promote(candidates: DataFrame, profiles: DataFrame, concrete: DataFrame, pub
     return Promotion(schemas, registry.variant_index(by.select("bucket", F.col("schema_id").alias("fp"), "schema_id"), shapes_of), found.select("schema_id", "path", "present", "denom", "optional", "mask"), aliases.select("candidate", "schema_id").unionByName(now).distinct(), staged, audit)
 
 
+def apply_trusted(verdicts: DataFrame, candidates: DataFrame, profiles: DataFrame, concrete: DataFrame, published: DataFrame, aliases: DataFrame, healthy: bool = True) -> Promotion:
+    """Promotes the candidates whose verdict (candidate, verdict, family_id) is to apply into the family that they match; all others stay as they are."""
+    fit = verdicts.where("verdict = 'apply' and family_id is not null").select("candidate", F.col("family_id").alias("__family")).distinct()
+    matched = candidates.join(fit, "candidate").withColumn("family_id", F.col("__family")).drop("__family")
+    return promote(matched, profiles, concrete, published, aliases, healthy)
+
+
 def listed(candidates: DataFrame) -> DataFrame:
     """(state, candidate): the listing by state, made anew from the records; rejected ones are in none."""
     return candidates.where(F.col("state").isin("provisional", "staged")).select("state", "candidate").distinct()

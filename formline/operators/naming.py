@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 # Words of fields that say nothing about what a record is.
 PLUMBING = (
-    "id uuid guid url uri href link ts time timestamp date datetime created updated modified at version rev type kind data items item list array object node children key value "
-    "val meta metadata self count index idx hash etag seq dtime dt utc tz zone offset epoch millis ms nanos secs pomiar pomiaru stan status"
-).split()
+    "id", "uuid", "guid", "url", "uri", "href", "link", "ts", "time", "timestamp", "date", "datetime", "created", "updated", "modified", "at", "version", "rev", "type",
+    "kind", "data", "items", "item", "list", "array", "object", "node", "children", "key", "value", "val", "meta", "metadata", "self", "count", "index", "idx", "hash",
+    "etag", "seq", "dtime", "dt", "utc", "tz", "zone", "offset", "epoch", "millis", "ms", "nanos", "secs", "pomiar", "pomiaru", "stan", "status",
+)
 
 # Words that a schema must have, and the name that then fits; the first match counts.
 SIGNATURES = [

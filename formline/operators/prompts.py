@@ -16,9 +16,11 @@ NAME_CHARS, MAX_FIELDS, MAX_DEPTH = 64, 64, 12
 
 
 def flagged(name: Column) -> Column:
-    """Whether a name looks like an instruction, a turn mark, or hides its reading direction."""
+    """Whether a name looks like an instruction, a turn mark, hides its reading direction, or mixes letters of scripts that look alike."""
     low = F.lower(name)
+    latin, cyrillic, greek = (name.rlike(rf"\p{{Is{x}}}") for x in ("Latin", "Cyrillic", "Greek"))
     out = name.rlike(r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}\x{0}-\x{1F}\x{7F}-\x{9F}]")
+    out = out | (latin & cyrillic) | (latin & greek) | (cyrillic & greek)
     for text in [*PHRASES, *MARKS]:
         out = out | low.contains(text)
     return out

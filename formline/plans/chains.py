@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.identity import DEFAULT_TAGS, field_band
-from ..functions.records import observe
-from ..operators import classify, evaluate, gates, lifecycle, profile, registry, reshape, retrieval, semantic, umbrella
+from ..functions.records import observe, parse_records
+from ..operators import annotate, classify, evaluate, gates, lifecycle, profile, registry, reshape, retrieval, semantic, umbrella
 from .derive import RECORDS, records, sql
 from .queries import _BODIES, _GENERALIZED, _LEAVES, _SIMHASH, _SUMMARY, ORACLE_SQL, QUERIES, _known, query, with_paths
 
@@ -315,6 +315,42 @@ def upper_bounds(spark, sf_dir):
     return each.select("event_type", F.round(evaluate.upper_bound_95(F.col("k"), F.col("n")), 9).alias("bound"))
 
 
+@query(f"{with_paths()} SELECT source, path FROM s WHERE path <> ''")
+def generalized_paths(spark, sf_dir):
+    """The paths that annotations may name, read back from the generalized forms."""
+    p = profile.profile(observe(records(spark, sf_dir), "source"), "source")
+    made = profile.generalized(p, p.where("path = ''").select("source", F.col("present").alias("n")), "source")
+    return made.select("source", F.explode(annotate.paths_of(F.col("canonical"), DEFAULT_TAGS.generalizer)).alias("path"))
+
+
+@query("SELECT k, path FROM (VALUES (0, ['/amount', '/id', '/kind']), (1, ['/id', '/user', '/user/id', '/user/tags', '/user/tags/~*']), (2, ['/id', '/tags', '/tags/~*']), (3, ['/id', '/tags', '/tags/~*']), (7, ['/amount', '/id', '/kind'])) AS v(k, ps), unnest(ps) AS u(path) WHERE k IN (SELECT event_id % 8 FROM events)")
+def shape_paths(spark, sf_dir):
+    one = parse_records(records(spark, sf_dir)).where("canonical is not null").select((F.col("rec_id") % 8).cast("int").alias("k"), "canonical").distinct()
+    return one.select("k", F.explode(annotate.paths_of(F.col("canonical"), DEFAULT_TAGS.canon)).alias("path"))
+
+
+@query(f"""WITH r AS (SELECT event_id % 8 AS k, value FROM (SELECT rec_id AS event_id, value FROM ({RECORDS}))), f AS (SELECT CASE WHEN k IN (0, 1) THEN 'known' WHEN k IN (4, 5) THEN 'malformed' WHEN k = 6 THEN 'tombstone' ELSE 'provisional' END AS fate, k, value FROM r)
+ SELECT 'records_total' AS series, '' AS label, count(*) AS value FROM f UNION ALL SELECT 'fate_total', fate, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'quarantine_total', CASE k WHEN 4 THEN 'duplicate_key' ELSE 'parse_error' END, count(*) FROM f WHERE k IN (4, 5) GROUP BY 2
+ UNION ALL SELECT 'bytes_total', '', CAST(sum(coalesce(strlen(value), 0)) AS BIGINT) FROM f""")
+def counters(spark, sf_dir):
+    return evaluate.counters(classify.classify(classify.with_identity(records(spark, sf_dir)), _known(spark)))
+
+
+@query("SELECT event_type, CAST(floor(v / s) * s AS BIGINT) AS low, count(*) AS n FROM (SELECT event_type, event_id * 7 AS v, CAST(power(10, greatest(length(CAST(event_id * 7 AS VARCHAR)) - 3, 0)) AS BIGINT) AS s FROM events) GROUP BY 1, 2")
+def latency_histogram(spark, sf_dir):
+    return evaluate.histogram(sql(spark, sf_dir, "SELECT event_type, event_id * 7 AS v FROM events"), "v", "event_type")
+
+
+_VERSION_KEYS = "SELECT o_custkey AS family_id, o_orderkey AS schema_id, o_orderkey AS version, {0} AS keys FROM orders LEFT JOIN (SELECT l_orderkey, {1} AS k FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"
+
+
+@query(f"""WITH v AS ({_VERSION_KEYS.format("coalesce(k, [])", "list(DISTINCT l_linenumber)")}) SELECT x.schema_id, coalesce(bool_or(y.version < x.version AND len(y.keys) > 0 AND len(list_intersect(y.keys, x.keys)) = len(y.keys) AND len(x.keys) > len(y.keys)), false) AS added
+ FROM v x JOIN v y ON x.family_id = y.family_id GROUP BY 1""")
+def field_additions(spark, sf_dir):
+    """Versions that only add fields to an earlier one of their family."""
+    return evaluate.field_additions(sql(spark, sf_dir, _VERSION_KEYS.format("coalesce(k, CAST(array() AS array<int>))", "collect_set(l_linenumber)")))
+
+
 # Evaluation in full.
 
 _CASES = """SELECT o_orderkey AS id, o_orderstatus AS run, o_orderkey % 10 > 0 AS parsed, o_orderkey % 9 > 1 AS valid, o_orderkey % 3 = o_custkey % 3 AS correct, o_totalprice > 5000 AS accepted, CASE o_orderkey % 3 WHEN 0 THEN 'match' WHEN 1 THEN 'new' ELSE 'abstain' END AS expected,

@@ -38,6 +38,31 @@ def archive(rows: DataFrame, at: str, path: str) -> None:
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy("dt").json(path)
 
 
+def without_topics(rows: DataFrame, dropped: list[str]) -> DataFrame:
+    """Rows of other topics than those that are not worth keeping."""
+    return rows.where(~F.col("topic").isin(*dropped)) if dropped else rows
+
+
+def prune(spark: SparkSession, path: str, today: str, keep_days: int = 365) -> list[str]:
+    """Drops the days of an archive that are older than so many before ``today`` (yyyy-MM-dd), and names them; other folders stay."""
+    from datetime import date, timedelta
+
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    first, gone = date.fromisoformat(today) - timedelta(days=keep_days), []
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        try:
+            day = date.fromisoformat(name.removeprefix("dt=")) if name.startswith("dt=") else None
+        except ValueError:
+            day = None
+        if day is not None and day < first:
+            fs.delete(status.getPath(), True)
+            gone.append(name.removeprefix("dt="))
+    return sorted(gone)
+
+
 def snapshot(rows: DataFrame, key: str) -> DataFrame:
     """(split, n, digest) of rows with a split: the digest is over the rows' hashes in the order of the key.
 

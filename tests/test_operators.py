@@ -377,3 +377,95 @@ def test_candidates_are_never_cut(spark):
 
 def test_round_robin(spark):
     assert generate.round_robin(spark, ["{}", "[]"], 5).where("fixture = 0").count() == 3
+
+
+def test_paths_of_both_grammars():
+    from formline.functions.identity import DEFAULT_TAGS
+    from formline.operators.annotate import steps_of
+
+    shape = '{"t":"obj","f":{"a":{"t":"arr","e":"empty","of":[]},"b/c":{"t":"arr","e":"nonempty","of":[{"t":"obj","f":{"x":{"t":"num"}}},{"t":"null"}]}}}'
+    assert steps_of(shape, DEFAULT_TAGS.canon) == {("a",), ("a", None), ("b/c",), ("b/c", None), ("b/c", None, "x")}
+    body = '{"optional":false,"types":["object"],"children":{"a":{"optional":true,"types":["array","object"],"children":{"k":{"optional":false,"types":["null"]}},"elem":{"optional":false,"types":["number"]}}}}'
+    assert steps_of(body, DEFAULT_TAGS.generalizer) == {("a",), ("a", "k"), ("a", None)}
+    with pytest.raises(ValueError, match="unknown canonicalizer"):
+        steps_of(shape, "other")
+
+
+def test_a_format_grows_and_holds():
+    from formline.operators.normalize import Format
+
+    v1 = {"order_id": "string", "customer_name": "string", "amount": "number", "currency": "string"}
+    base = Format.seeded(v1)
+    same, takes = base.plan(v1)
+    doc = {"order_id": "o", "customer_name": "n", "amount": 2.5, "currency": "EUR"}
+    assert same == base and base.record(doc, takes) == doc
+    v2 = {"order_id": "string", "customer.name": "string", "total_cents": "number", "currency": "string", "shipping.method": "string"}
+    grown, takes = base.plan(v2)
+    assert {n: t.kind for n, t in takes.items()} == {"order_id": "same", "customer_name": "rename", "amount": "held", "currency": "same", "shipping_method": "added"}
+    two = {"order_id": "p", "customer": {"name": "m"}, "total_cents": 250, "currency": "EUR", "shipping": {"method": "air"}}
+    assert grown.record(two, takes) is None  # a core field waits
+    done = grown.approve("amount")
+    assert done.record(two, takes) == {"order_id": "p", "customer_name": "m", "amount": 2.5, "currency": "EUR", "shipping_method": "air"}
+    assert done.record({**doc}, base.plan(v1)[1])["shipping_method"] is None
+    assert base.plan({"order_id": "string"})[1]["amount"].reason == "no_field"
+
+
+def test_answers_are_cached_repaired_once_and_retried(spark):
+    from formline.operators import infer
+
+    calls = []
+
+    def model(q):
+        calls.append(q)
+        if q == "down":
+            raise infer.Unavailable("timeout")
+        return "{}" if q.startswith("again") or q == "good" else "bad"
+
+    repair = lambda p, a: f"again {p}"
+    assert infer.ask("good", model, lambda a: a == "{}", 3, repair) == ("{}", True, 0, 1, None)
+    assert infer.ask("odd", model, lambda a: a == "{}", 3, repair) == ("{}", True, 1, 2, None)
+    assert infer.ask("odd", lambda q: "bad", lambda a: False, 5, repair) == ("bad", False, 1, 2, None)
+    assert infer.ask("down", model, lambda a: True, 3) == (None, False, 0, 3, "timeout")
+    rows = spark.createDataFrame([("d1", "x"), ("d1", "x"), ("d2", "y"), ("d3", "z")], "digest string, prompt string")
+    known = spark.createDataFrame([("d2", True), ("d3", False)], "digest string, valid boolean")
+    got = infer.infer(rows, lambda q: q.upper(), lambda a: a == "X", known=known).collect()
+    assert sorted((r["digest"], r["answer"], r["valid"]) for r in got) == [("d1", "X", True), ("d3", "Z", False)]
+
+
+def test_names_of_mixed_scripts_are_flagged(spark):
+    from formline.operators import prompts
+
+    rows = spark.createDataFrame([("p\u0430yload",), ("цена",), ("αβ",), ("prix_été",), ("αx",)], "n string")
+    assert [r["f"] for r in rows.select(prompts.flagged(F.col("n")).alias("f")).collect()] == [True, False, False, False, True]
+
+
+def test_archives_lose_old_days(spark, tmp_path):
+    at = str(tmp_path / "a")
+    rows = spark.sql("SELECT timestamp'2024-01-02 03:04:05' AS at, 'x' AS topic UNION ALL SELECT timestamp'2025-06-03 00:00:00', 'x' UNION ALL SELECT timestamp'2025-06-03 00:00:00', 'firehose'")
+    files.archive(files.without_topics(rows, ["firehose"]), "at", at)
+    assert files.prune(spark, at, "2025-06-04") == ["2024-01-02"] and files.prune(spark, at, "2025-06-04") == []
+    assert spark.read.json(at).count() == 1
+
+
+def test_snapshot_digest_is_that_of_the_rows(spark):
+    rows = [(i, "ab"[i % 2], "train" if i % 3 else "safety") for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, x string, split string")
+    got = {r["split"]: (r["n"], r["digest"]) for r in files.snapshot(df.repartition(5), "id").collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for split in ("train", "safety"):
+        slices = {}
+        for h in sorted(sha(json.dumps({"id": i, "x": x}, separators=(",", ":"))) for i, x, s in rows if s == split):
+            slices.setdefault(h[:3], []).append(h)
+        assert got[split] == (sum(s == split for _, _, s in rows), sha("".join(sha("".join(v)) for _, v in sorted(slices.items()))))
+
+
+def test_only_trusted_candidates_are_applied(spark):
+    rows = spark.createDataFrame([("c1", '{"a":1}'), ("c2", '{"b":1}')], "candidate string, value string")
+    p = profile.profile(observe(rows, "candidate"), "candidate")
+    from formline.operators.classify import with_identity
+
+    cands = spark.createDataFrame([("c1", "s", "own", 1, "provisional"), ("c2", "s", "own", 2, "provisional")], "candidate string, source string, family_id string, order int, state string")
+    verdicts = spark.createDataFrame([("c1", "apply", "fam"), ("c2", "propose", "fam")], "candidate string, verdict string, family_id string")
+    empty = spark.createDataFrame([], "schema_id string, family_id string, canonical string, version long")
+    done = lifecycle.apply_trusted(verdicts, cands, p, lifecycle.variants(with_identity(rows), "candidate"), empty, spark.createDataFrame([], "candidate string, schema_id string"))
+    assert [(r["candidate"], r["family_id"], r["version"]) for r in done.schemas.collect()] == [("c1", "fam", 1)]
