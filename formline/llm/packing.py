@@ -21,6 +21,7 @@ import unicodedata
 import zlib
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -134,28 +135,17 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         words = [None if self.whole or any(c in t for c in self.ODD) else t.split() for t in texts]
         memo = self.memo
-        asked = set().union(*filter(None, words))
-        new = asked.difference(memo)
-        if len(memo) >= MEMO_WORDS and 2 * len(new) > len(asked):
+        new = set(filterfalse(memo.__contains__, chain.from_iterable(filter(None, words))))
+        if len(memo) >= MEMO_WORDS and 4 * len(new) > sum(map(len, filter(None, words))):
             memo.clear()  # other words than before are common now
-            new = asked
+            new = set().union(*filter(None, words))
         rest = self._new(list(new))
-        for w, ids in rest.items():
-            if len(memo) >= MEMO_WORDS:
-                break
-            if len(w) <= MEMO_CHARS:
-                memo[w] = ids
-        out = []
-        known = memo.__getitem__
-        for text, ws in zip(texts, words, strict=True):
-            if ws is None:
-                out.append(self._ids(text))
-                continue
-            try:
-                raw = b"".join(map(known, ws))
-            except KeyError:
-                raw = b"".join([memo[w] if w in memo else rest[w] for w in ws])
-            out.append(np.frombuffer(raw, dtype=self.kind))
+        room = max(0, MEMO_WORDS - len(memo))
+        memo.update(rest)  # all of them for these texts, and only as many as there is room for afterwards
+        out = [self._ids(t) if ws is None else np.frombuffer(b"".join(map(memo.__getitem__, ws)), dtype=self.kind) for t, ws in zip(texts, words, strict=True)]
+        for i, w in enumerate(rest):
+            if i >= room or len(w) > MEMO_CHARS:
+                del memo[w]
         return out
 
 
