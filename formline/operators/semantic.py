@@ -46,19 +46,51 @@ def weighted(signatures: DataFrame, idfs: DataFrame) -> DataFrame:
     return signatures.join(idfs, "feature").withColumn("w", class_weight(F.col("kind")) * F.col("idf"))
 
 
-def similarities(signatures: DataFrame, idfs: DataFrame) -> DataFrame:
+#: Schemas of a feature that one row pairs with the rest; longer lists are dealt out in steps of so many.
+STEP = 256
+#: So many masses are broadcast; more are joined by shuffles.
+MAX_BROADCAST = 2_000_000
+
+
+def _postings(signatures: DataFrame, idfs: DataFrame | None, schemas: int) -> DataFrame:
+    """(idf, p): the schemas (schema_id, w, c) of each feature with weight, in order and one row a feature; w is still to be multiplied by idf."""
+    rows = signatures.where("feature is not null").select("feature", F.struct("schema_id", class_weight(F.col("kind")).cast("long").alias("w"), F.col("count").cast("long").alias("c")).alias("e"))
+    by = rows.repartition("feature").groupBy("feature").agg(F.count("*").alias("df"), F.collect_list(F.when(F.col("e.schema_id").isNotNull() & (F.col("e.w") > 0), F.col("e"))).alias("p"))
+    by = by.withColumn("idf", idf_multiplier(F.lit(schemas), F.col("df"))) if idfs is None else by.join(idfs.select("feature", "idf"), "feature")
+    return by.where("idf > 0 and size(p) > 0").select("idf", F.sort_array("p").alias("p"))
+
+
+def similarities(signatures: DataFrame, idfs: DataFrame | None = None, schemas: int | None = None) -> DataFrame:
     """(a, b, num, den) of pairs that share a feature with weight: exact integers of the weighted Jaccard.
 
-    den = sum of both less num, so only shared features are joined. Features of half the schemas or
-    more have no weight and are left out before the join.
+    den = sum of both less num, so only shared features are paired. Features of half the schemas or more have no weight.
+    A pair is counted once, from its lesser id, and told both ways. What is shuffled is, for each feature of a schema, the list of the
+    greater ids that share it, dealt by the schema: pairs are made and summed after that, and are never shuffled themselves.
+    Without ``idfs`` they are those of the signatures; ``schemas`` is how many have one, and is counted if not given.
     """
-    s = weighted(signatures, idfs).where("w > 0").select("schema_id", "feature", "w", "count")
-    mass = s.groupBy("schema_id").agg(F.sum(F.col("w") * F.col("count")).alias("mass"))
-    other = s.select(F.col("schema_id").alias("b"), "feature", F.col("count").alias("__c"))
-    shared = s.withColumnRenamed("schema_id", "a").join(other, "feature").where("a <> b")
-    num = shared.groupBy("a", "b").agg(F.sum(F.col("w") * F.least("count", "__c")).alias("num"))
+    if schemas is None:
+        schemas = signatures.select("schema_id").distinct().count()
+    lists = _postings(signatures, idfs, schemas)
+    mass = lists.select("idf", F.explode("p").alias("e")).groupBy(F.col("e.schema_id").alias("schema_id")).agg(F.sum(F.col("e.w") * F.col("idf") * F.col("e.c")).alias("mass"))
+    mass = F.broadcast(mass) if schemas <= MAX_BROADCAST else mass
+
+    # Weights that are alike in a list, and counts of one, stay out of the shuffle.
+    flat = lists.select("idf", F.col("p.schema_id").alias("ids"), F.when(F.array_max("p.w") > F.array_min("p.w"), F.col("p.w")).alias("ws"), F.when(F.array_max("p.c") > 1, F.col("p.c")).alias("cs"), F.element_at("p.w", 1).alias("w"))
+    size = F.size("ids")
+    short = flat.where(size <= STEP).withColumn("start", F.lit(0))
+    steps = flat.where(size > STEP).withColumn("start", F.explode(F.sequence(F.lit(0), size - 1, F.lit(STEP))))
+    rest = lambda c: F.slice(c, F.col("start") + 1, size).alias(c)
+    dealt = short.unionByName(steps.select("idf", rest("ids"), rest("ws"), rest("cs"), "w", "start").repartition(F.hash("start", F.element_at("ids", 1))))
+    each = dealt.select("*", F.posexplode(F.slice("ids", 1, STEP)).alias("i", "a"))
+    tail = lambda c: F.slice(c, F.col("i") + 2, size).alias(c)
+    sent = each.where(F.col("i") + 1 < size).select("a", "idf", F.coalesce(F.get("ws", F.col("i")), F.col("w")).alias("w"), F.coalesce(F.get("cs", F.col("i")), F.lit(1)).alias("c"), tail("ids"), tail("ws"), tail("cs"))
+
+    shared = sent.repartition("a").select("a", "idf", "w", "c", "ws", "cs", F.posexplode("ids").alias("i", "b")).where("a < b")
+    least = F.least("c", F.coalesce(F.get("cs", F.col("i")), F.lit(1))) * F.col("idf")
+    num = shared.groupBy("a", "b").agg(F.sum(F.col("w") * least).alias("num"), F.sum(F.coalesce(F.get("ws", F.col("i")), F.col("w")) * least).alias("back"))
     both = num.join(mass.select(F.col("schema_id").alias("a"), F.col("mass").alias("__ma")), "a").join(mass.select(F.col("schema_id").alias("b"), F.col("mass").alias("__mb")), "b")
-    return both.select("a", "b", "num", (F.col("__ma") + F.col("__mb") - F.col("num")).alias("den"))
+    told = lambda a, b, n: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(n).alias("num"), (F.col("__ma") + F.col("__mb") - F.col(n)).alias("den"))
+    return both.select(F.inline(F.array(told("a", "b", "num"), told("b", "a", "back"))))
 
 
 def ratio_text(num: Column, den: Column) -> Column:

@@ -401,8 +401,8 @@ _WEIGHTED = f"""{_IDF}, w AS (SELECT schema_id, s.feature, c, idf * CASE kind WH
 
 @query(f"WITH {_WEIGHTED} SELECT a, b, num, den, concat(CAST(num * 1000000 // den // 1000000 AS VARCHAR), '.', lpad(CAST(num * 1000000 // den % 1000000 AS VARCHAR), 6, '0')) AS score FROM j")
 def signature_weighted_jaccard(spark, sf_dir):
-    s = _signatures(spark, sf_dir)
-    return semantic.similarities(s, semantic.idf(s)).withColumn("score", semantic.ratio_text(F.col("num"), F.col("den")))
+    n = sql(spark, sf_dir, _FEATURES).select("schema_id").distinct().count()
+    return semantic.similarities(_signatures(spark, sf_dir), schemas=n).withColumn("score", semantic.ratio_text(F.col("num"), F.col("den")))
 
 
 _CLUSTER = "CASE split_part({0}, '.', 2) WHEN 'compute' THEN 'tech' WHEN 'energy' THEN 'energy' WHEN 'grid' THEN 'energy' WHEN 'weather' THEN 'geo' END"
