@@ -76,9 +76,16 @@ def assemble(paired: DataFrame) -> DataFrame:
 def sound(bindings: DataFrame, child: DataFrame, umbrella: DataFrame) -> DataFrame:
     """(schema_id, problems) of assembled transforms, one row for each schema of ``child``: what static verification finds.
 
-    ``umbrella`` has (target, target_type, target_unit, required).
+    ``umbrella`` has (target, target_type, target_unit, required). A schema's fields and bindings meet in its own rows, so a child that
+    is dealt by schemas is not shuffled again, and required targets are one list that each schema's own are taken from.
     """
-    b = bindings.join(child.select("schema_id", "path", F.col("type").alias("__type"), F.col("unit").alias("__unit")), ["schema_id", "path"], "left").join(umbrella, "target", "left")
+    own, bound = "struct<type:string,unit:string>", "struct<target:string,cast:string,rule:string,on_missing:string>"
+    held = child.groupBy("schema_id").agg(F.collect_list(F.struct("path", F.struct("type", "unit").cast(own).alias("f"), F.lit(None).cast(bound).alias("b"))).alias("held"))
+    bind = bindings.groupBy("schema_id").agg(F.collect_list(F.struct("path", F.lit(None).cast(own).alias("f"), F.struct("target", "cast", "rule", "on_missing").cast(bound).alias("b"))).alias("bind"))
+    each = held.join(bind, "schema_id", "left").select("schema_id", F.explode(F.when(F.col("bind").isNull(), F.col("held")).otherwise(F.concat("held", "bind"))).alias("e"))
+    by = each.groupBy("schema_id", F.col("e.path").alias("path")).agg(F.collect_list("e.f").alias("fs"), F.collect_list("e.b").alias("bs"))
+    b = by.select("schema_id", "path", F.when(F.col("path").isNotNull() & (F.size("bs") > 0), F.col("fs")).alias("fs"), F.explode_outer("bs").alias("b")).select("schema_id", "path", "b", F.explode_outer("fs").alias("f"))
+    b = b.select("schema_id", "path", F.col("b").isNotNull().alias("__bound"), "b.*", F.col("f.type").alias("__type"), F.col("f.unit").alias("__unit")).join(umbrella, "target", "left")
     ends = F.when(F.col("rule").isNotNull(), F.lit("decimal")).otherwise(F.coalesce("cast", "__type"))
     unit = F.when(F.col("rule").isNotNull(), F.split_part("rule", F.lit(">"), F.lit(2))).otherwise(F.col("__unit"))
     b = b.withColumn("__twice", F.count("*").over(W.partitionBy("schema_id", "target")) > 1)
@@ -92,12 +99,12 @@ def sound(bindings: DataFrame, child: DataFrame, umbrella: DataFrame) -> DataFra
         F.when(F.col("rule").isNotNull() & ~F.col("rule").isin(*[f"{x}>{y}" for x, y in CONVERSIONS]), F.concat_ws(":", F.lit("bad_unit_op"), "target")),
         F.when(F.col("target_unit").isNotNull() & ~unit.eqNullSafe(F.col("target_unit")), F.concat_ws(":", F.lit("bad_unit"), "target")),
     ))
-    listed = b.select("schema_id", F.explode(found).alias("problem"))
-    total = bindings.where("on_missing <> 'omit'").select("schema_id", "target").distinct()
-    lacking = child.select("schema_id").distinct().join(umbrella.where("required").select("target"), how="cross").join(total, ["schema_id", "target"], "left_anti")
-    every = listed.unionByName(lacking.select("schema_id", F.concat_ws(":", F.lit("required_not_total"), "target").alias("problem")))
-    by = every.groupBy("schema_id").agg(F.sort_array(F.collect_set("problem")).alias("problems"))
-    return child.select("schema_id").distinct().join(by, "schema_id", "left").select("schema_id", F.coalesce("problems", F.array().cast("array<string>")).alias("problems"))
+    lacks = lambda c: F.concat_ws(":", F.lit("required_not_total"), c)
+    total = F.when((F.col("on_missing") != "omit") & F.col("target").isNotNull(), lacks("target"))
+    told = b.groupBy("schema_id").agg(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("__bound"), found)))).alias("found"), F.collect_set(total).alias("total"))
+    needs = umbrella.where("required").agg(F.sort_array(F.collect_set(lacks("target"))).alias("needs"))
+    problems = F.sort_array(F.concat("found", F.array_except("needs", "total")))
+    return told.crossJoin(F.broadcast(needs)).select("schema_id", F.when(F.col("schema_id").isNull(), F.array().cast("array<string>")).otherwise(problems).alias("problems"))
 
 
 def proposals(fields: DataFrame, members: DataFrame, verified: DataFrame, decided: DataFrame | None = None, least: int = 2) -> DataFrame:
@@ -108,8 +115,9 @@ def proposals(fields: DataFrame, members: DataFrame, verified: DataFrame, decide
     decided keeps its state.
     """
     sets = fields.groupBy("schema_id").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "cfid", "type"))), "|").alias("signature"))
-    rows = sets.join(members, "schema_id", "left").join(verified, "schema_id", "left")
-    by = rows.groupBy("signature").agg(F.count("*").alias("n"), F.count_if(F.size("problems") == 0).alias("n_verified"), F.count_distinct("cluster").alias("n_clusters")).where(F.col("n") >= least)
+    rows = sets.join(verified.select("schema_id", (F.size("problems") == 0).alias("__sound")), "schema_id", "left").join(members, "schema_id", "left")
+    # A set of clusters and not a distinct count, which would shuffle every signature twice.
+    by = rows.groupBy("signature").agg(F.count("*").alias("n"), F.count_if("__sound").alias("n_verified"), F.size(F.collect_set("cluster")).cast("long").alias("n_clusters")).where(F.col("n") >= least)
     state = F.when(F.col("n_clusters") > 1, "suppressed").when(F.col("n_verified") < least, "unverified").otherwise("proposed")
     if decided is None:
         return by.withColumn("state", state)

@@ -172,12 +172,22 @@ _PROBLEMS = f"""k AS (SELECT DISTINCT schema_id FROM a WHERE cfid IS NOT NULL),
  y AS (SELECT k.schema_id, coalesce(string_agg(problem, ',' ORDER BY problem), '') AS problems FROM k LEFT JOIN x ON x.schema_id = k.schema_id GROUP BY 1)"""
 
 
+#: So many targets are broadcast; more are joined by shuffles.
+_MAX_TARGETS = 10_000
+
+
 def _fields(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """A schema's annotated fields, and the target of each canonical field."""
+    """A schema's annotated fields, and the target of each canonical field.
+
+    Fields are dealt by schemas once. They are gathered whole, so that all that is asked of them reads the same shuffle.
+    """
     a = sql(spark, sf_dir, _ANNOTATED)
-    kept = a.where("cfid is not null").select("schema_id", "path", "cfid", "type", "unit")
+    held = a.where("cfid is not null").select("schema_id", F.struct("path", "cfid", "type", "unit").alias("f")).repartition("schema_id").groupBy("schema_id").agg(F.collect_list("f").alias("f"))
+    kept = held.select("schema_id", F.explode("f").alias("f")).select("schema_id", "f.*")
     targets = kept.groupBy("cfid").agg(F.concat(F.lit("g_"), F.first("cfid")).alias("target"), F.when(F.bool_or(F.col("type") == "string"), "string").otherwise("decimal").alias("target_type"), F.max("unit").alias("target_unit"), (F.count("*") > 400).alias("required"))
-    return kept, targets
+    # A target's name comes from a part's.
+    few = sql(spark, sf_dir, "SELECT DISTINCT p_name FROM part").limit(_MAX_TARGETS).count() < _MAX_TARGETS
+    return kept, F.broadcast(targets) if few else targets
 
 
 def _transforms(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from formline.operators import semantic
+from formline.operators import semantic, umbrella
 
 
 def exchanged(df):
@@ -18,7 +18,7 @@ def exchanged(df):
 
 
 def test_similarities_are_summed_where_they_are_made(spark, monkeypatch):
-    monkeypatch.setattr(semantic, "STEP", 3)
+    monkeypatch.setattr(semantic, "STEP", 3, raising=False)
     rows = [(s, f"f{f}", "event" if (s + f) % 3 else "field", (s * f) % 4 + 1) for s in range(40) for f in range(1, 9) if s % f == 0 or s == f] + [(4, "f3", "unit", 2), (None, "f3", "unit", 1), (5, None, "unit", 1)]
     s = spark.createDataFrame(rows, "schema_id long, feature string, kind string, count long")
     got = semantic.similarities(s)
@@ -37,3 +37,18 @@ def test_similarities_are_summed_where_they_are_made(spark, monkeypatch):
     assert {tuple(r) for r in semantic.similarities(s, semantic.idf(s)).collect()} == want
     monkeypatch.setattr(semantic, "MAX_BROADCAST", 0)
     assert {tuple(r) for r in semantic.similarities(s).collect()} == want
+
+
+def test_required_targets_are_not_joined_to_every_schema(spark):
+    child = spark.createDataFrame([("s", "/a", "string", None), ("s", "/b", "integer", "kW"), ("t", "/a", "decimal", None), (None, "/a", "decimal", None), ("u", None, "decimal", None)], "schema_id string, path string, type string, unit string")
+    targets = spark.createDataFrame([("x", "decimal", None, True), ("y", "decimal", "W", False), (None, "decimal", None, True), ("z", "string", None, True)], "target string, target_type string, target_unit string, required boolean")
+    schema = "schema_id string, path string, target string, cast string, rule string, on_missing string"
+    bound = [("s", "/a", "x", None, None, "reject"), ("s", "/b", "x", None, None, "omit"), ("s", "/b", "z", None, None, None), ("t", "/a", "z", None, None, "reject"), ("t", "/c", None, None, None, "reject"), (None, "/a", "x", None, None, "reject"), ("u", None, "x", None, None, "reject"), ("gone", "/a", "x", None, None, "omit")]
+    got = umbrella.sound(spark.createDataFrame(bound, schema), child, targets)
+    want = {
+        "s": ["duplicate_target:x", "omit_on_required:x", "required_not_total", "required_not_total:z", "type_mismatch:x", "type_mismatch:z"],
+        "t": ["required_not_total", "required_not_total:x", "source_missing:/c", "type_mismatch:z", "unknown_target"],
+        "u": ["required_not_total", "required_not_total:z", "source_missing"], None: [],
+    }
+    assert {r["schema_id"]: r["problems"] for r in got.collect()} == want
+    assert ["schema_id", "target"] not in exchanged(got)
