@@ -230,13 +230,23 @@ def family_drift(versions: DataFrame, paths: DataFrame) -> DataFrame:
     """(schema_id, prior, relation, drifted): every version (schema_id, family_id, version, sem_id) against each earlier one of its family.
 
     ``paths`` has (schema_id, path, types). Meaning drifts where both are annotated, differently, and the structures are compatible.
+    A version goes to its family with its paths as one list, so pairs are made and compared after the shuffle and are never shuffled.
     """
-    prior = versions.select("family_id", F.col("schema_id").alias("prior"), F.col("version").alias("__v"), F.col("sem_id").alias("__sem"))
-    pairs = versions.join(prior, "family_id").where(F.col("__v") < F.col("version")).withColumn("pair", F.concat_ws(">", "schema_id", "prior"))
-    side = lambda c: pairs.select("pair", F.col(c).alias("schema_id")).join(paths, "schema_id").select("pair", "path", "types")
-    told = pairs.join(structural_relation(side("schema_id"), side("prior"), "pair"), "pair", "left").withColumn("relation", F.coalesce("relation", F.lit("compatible")))
-    drifted = (F.col("relation") == "compatible") & F.coalesce(F.col("sem_id") != F.col("__sem"), F.lit(False))
-    return told.select("schema_id", "prior", "relation", drifted.alias("drifted"))
+    whole = F.col("path").isNotNull() & F.col("types").isNotNull()
+    shape = paths.where("schema_id is not null").groupBy("schema_id").agg(F.collect_set(F.when(whole, F.struct("path", "types"))).alias("e"), F.bool_or(~whole).alias("bare"))
+    laid = versions.select("family_id", "schema_id", "version", "sem_id").join(shape, "schema_id", "left").repartition("family_id")
+    laid = laid.select("family_id", "schema_id", "version", F.col("sem_id").alias("sem"), "e", F.array_distinct("e.path").alias("p"), F.coalesce("bare", F.lit(False)).alias("bare"))
+    side = lambda n: laid.select("family_id", *[F.col(c).alias(f"{n}_{c}") for c in laid.columns[1:]])
+    pairs = side("a").join(side("b"), "family_id").where("b_version < a_version")
+    # Entries agree on shared paths if they share as many; where a path has types of several kinds, each is held against each.
+    shared, same = F.size(F.array_intersect("a_p", "b_p")), F.size(F.array_intersect("a_e", "b_e"))
+    several = (F.size("a_e") > F.size("a_p")) | (F.size("b_e") > F.size("b_p"))
+    each = F.exists("a_e", lambda x: F.exists("b_e", lambda y: (x["path"] == y["path"]) & (x["types"] != y["types"])))
+    differ = F.coalesce(F.when(several, each).otherwise(shared > same), F.lit(False))
+    all_shared = ~F.col("a_bare") & ~F.col("b_bare") & (shared == F.size("a_p")) & (shared == F.size("b_p"))
+    told = pairs.withColumn("relation", F.when(~differ, "compatible").when(all_shared, "identical_paths_changed_types").otherwise("incompatible"))
+    drifted = (F.col("relation") == "compatible") & F.coalesce(F.col("a_sem") != F.col("b_sem"), F.lit(False))
+    return told.select(F.col("a_schema_id").alias("schema_id"), F.col("b_schema_id").alias("prior"), "relation", drifted.alias("drifted"))
 
 
 def coverage(leaves: DataFrame, annotated: DataFrame) -> DataFrame:

@@ -52,3 +52,16 @@ def test_required_targets_are_not_joined_to_every_schema(spark):
     }
     assert {r["schema_id"]: r["problems"] for r in got.collect()} == want
     assert ["schema_id", "target"] not in exchanged(got)
+
+
+def test_versions_bring_their_paths(spark):
+    v = [(k, f, k, s) for k, f, s in ((1, "x", "m"), (2, "x", "n"), (3, "x", None), (4, "x", "m"), (5, "x", "m"), (6, None, "m"), (7, "y", "m"), (8, "y", "q"), (9, "y", "q"))]
+    p = [(1, "/a", "A"), (1, "/b", "B"), (2, "/a", "A"), (2, "/b", "C"), (3, "/a", "A"), (3, "/c", "B"), (4, "/a", "A"), (4, "/a", "Z"), (7, "/a", "A"), (7, "/b", None), (8, "/a", "R"), (8, "/b", "B"), (9, "/b", "B"), (9, None, "B")]
+    versions, paths = spark.createDataFrame(v, "schema_id long, family_id string, version long, sem_id string"), spark.createDataFrame(p, "schema_id long, path string, types string")
+    got = semantic.family_drift(versions, paths)
+    assert ["pair"] not in exchanged(got) and ["pair", "path"] not in exchanged(got)
+    pairs = versions.alias("x").join(versions.alias("y"), F.expr("x.family_id = y.family_id and y.version < x.version")).selectExpr("x.schema_id", "y.schema_id as prior", "concat(x.schema_id, '>', y.schema_id) as pair", "coalesce(x.sem_id <> y.sem_id, false) as moved")
+    side = lambda c: pairs.selectExpr("pair", f"{c} as schema_id").join(paths, "schema_id").select("pair", "path", "types")
+    plain = pairs.join(semantic.structural_relation(side("schema_id"), side("prior"), "pair"), "pair", "left").selectExpr("schema_id", "prior", "coalesce(relation, 'compatible')", "coalesce(relation, 'compatible') = 'compatible' and moved")
+    want = sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, got.collect())) == want and len({r[2] for r in want}) == 3 and len(want) == 13
