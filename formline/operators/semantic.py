@@ -142,6 +142,17 @@ def collisions(annotated: DataFrame) -> DataFrame:
     return annotated.withColumnRenamed("schema_id", "a").join(other, "sem_id").where("a < b").select("sem_id", "a", "b")
 
 
+def colliding(annotated: DataFrame) -> DataFrame:
+    """(sem_id, a, b, strength) of schemas with one meaning, each pair once; from (sem_id, schema_id, coverage, event).
+
+    What is compared goes along to the meaning, so pairs are not shuffled to fetch it.
+    """
+    laid = annotated.select("sem_id", "schema_id", "coverage", F.col("event").isNotNull().alias("has")).repartition("sem_id")
+    other = laid.select("sem_id", F.col("schema_id").alias("b"), F.col("coverage").alias("__c"))
+    pairs = laid.withColumnRenamed("schema_id", "a").join(other, "sem_id").where("a < b")
+    return pairs.select("sem_id", "a", "b", collision_strength(F.col("has"), F.col("coverage"), F.col("__c")).alias("strength"))
+
+
 def collision_strength(has_event: Column, coverage_a: Column, coverage_b: Column) -> Column:
     least = F.least(coverage_a, coverage_b)
     return F.when(has_event & (least >= 0.8), "strong").when(has_event & (least > 0), "medium").otherwise("weak")

@@ -152,11 +152,10 @@ def family_version_drift(spark, sf_dir):
 def collision_strength(spark, sf_dir):
     """Schemas of one meaning, with coverage counted from their annotated leaves."""
     a = sql(spark, sf_dir, _ANNOTATED)
-    cov = semantic.coverage(a.select("schema_id", "path").distinct(), a.where("cfid is not null"))
+    leaves = a.select("schema_id", "path", F.col("cfid").isNotNull().alias("known")).repartition("schema_id").groupBy("schema_id", "path").agg(F.bool_or("known").alias("known"))
+    cov = leaves.groupBy("schema_id").agg((F.count_if("known") / F.count("*")).alias("coverage"))
     rows = cov.join(sql(spark, sf_dir, _EVENTS), "schema_id").join(sql(spark, sf_dir, "SELECT o_orderkey AS schema_id, o_custkey AS sem_id FROM orders"), "schema_id")
-    pairs = semantic.collisions(rows.select("sem_id", "schema_id"))
-    side = lambda n: rows.select(F.col("schema_id").alias(n), F.col("coverage").alias(f"c{n}"), F.col("event").alias(f"e{n}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", semantic.collision_strength(F.col("ea").isNotNull(), F.col("ca"), F.col("cb")).alias("strength"))
+    return semantic.colliding(rows).select("a", "b", "strength")
 
 
 # Consolidation: annotated fields to verified transforms, proposals and decisions.

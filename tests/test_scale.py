@@ -54,6 +54,13 @@ def test_required_targets_are_not_joined_to_every_schema(spark):
     assert ["schema_id", "target"] not in exchanged(got)
 
 
+def test_meanings_that_collide_bring_what_is_compared(spark):
+    rows = spark.createDataFrame([("m", 1, 0.9, "e"), ("m", 2, 0.8, None), ("m", 3, 0.0, None), ("n", 4, 1.0, "e"), (None, 5, 1.0, "e"), (None, 6, 1.0, "e")], "sem_id string, schema_id long, coverage double, event string")
+    got = semantic.colliding(rows)
+    assert sorted(map(tuple, got.collect())) == [("m", 1, 2, "strong"), ("m", 1, 3, "weak"), ("m", 2, 3, "weak")]
+    assert not {("a",), ("b",)} & set(map(tuple, exchanged(got)))
+
+
 def test_versions_bring_their_paths(spark):
     v = [(k, f, k, s) for k, f, s in ((1, "x", "m"), (2, "x", "n"), (3, "x", None), (4, "x", "m"), (5, "x", "m"), (6, None, "m"), (7, "y", "m"), (8, "y", "q"), (9, "y", "q"))]
     p = [(1, "/a", "A"), (1, "/b", "B"), (2, "/a", "A"), (2, "/b", "C"), (3, "/a", "A"), (3, "/c", "B"), (4, "/a", "A"), (4, "/a", "Z"), (7, "/a", "A"), (7, "/b", None), (8, "/a", "R"), (8, "/b", "B"), (9, "/b", "B"), (9, None, "B")]
